@@ -265,30 +265,34 @@ class ParityJoin:
         """Candidate pairs of different components within a group.
 
         Large groups are cut into blocks; a cell holds two blocks and gives
-        out only pairs that the sizes and the bit sketches allow.
+        out only pairs that the sizes and the bit sketches allow, and each pair
+        in one of the groups it shares (a text has as many as its sketch words).
         """
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 outs = []
-                for i, j, cell in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("cell").to_pylist(), strict=True):
+                for key, i, j, cell in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "cell")), strict=True):
+                    for r in cell:
+                        r["keys"] = set(r["keys"])
                     left, right = [r for r in cell if r["blk"] == i], [r for r in cell if r["blk"] == j]
                     for p, r in enumerate(left):
                         for q in left[p + 1 :] if i == j else right:
                             s, t = sorted((r["n"], q["n"]))
-                            if r["label"] != q["label"] and s * den >= num * t and _hamming(r["bits"], q["bits"]) * (den + num) <= (den - num) * (s + t):
+                            if r["label"] != q["label"] and s * den >= num * t and _hamming(r["bits"], q["bits"]) * (den + num) <= (den - num) * (s + t) and key == min(r["keys"] & q["keys"]):
                                 outs.append(sorted((r["cid"], q["cid"])))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in outs], pa.int64()), pa.array([o[1] for o in outs], pa.int64())], ["a", "b"])
 
+        own = groups.groupBy("cid").agg(F.collect_list("key").alias("keys"))
         size = groups.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         placed = groups.join(size, "key").select("key", "cid", "label", "blocks", F.pmod(F.hash("cid"), "blocks").alias("blk"))
         cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "key", "cid", "label", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")
         )
-        rows = cells.join(sets.select("cid", "n", "bits"), "cid")
-        whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits")).alias("cell"))
-        return whole.select("i", "j", "cell").mapInArrow(run, "a long, b long").distinct()
+        rows = cells.join(sets.select("cid", "n", "bits"), "cid").join(own, "cid")
+        whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits", "keys")).alias("cell"))
+        return whole.select("key", "i", "j", "cell").mapInArrow(run, "a long, b long")
 
     def components(self, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(classes: d1, d2, cid, n; roots: cid, root of every linked class)."""
@@ -301,12 +305,14 @@ class ParityJoin:
         sets = st.write(self.sets(wanted).join(known, ["cid", "h"], "left_semi").dropDuplicates(["cid", "h"]), "sets")
         st.release()
         links, tested = None, None
+        held = [groups, sets]
         roots = st.write(wanted.select("cid", F.col("cid").alias("root")), "roots")
         # Rows that share an id are one node: their classes compare as separate sets under it.
         for turn in range(3):  # after the last, every pair of different components has been compared
             now = groups.join(roots, "cid").select("key", "cid", F.col("root").alias("label"))
             live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot"), F.min_by("label", F.xxhash64("cid", F.lit(turn))).alias("plabel")).where("lo < hi")
             active = st.write(now.join(live, "key").select("key", "cid", "label", "pivot", "plabel"), "active")
+            held.append(active)
             if active.isEmpty():
                 break
             if turn < 2:
@@ -325,6 +331,7 @@ class ParityJoin:
             found = components(links, "a", "b", st)
             roots = st.write(wanted.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "roots")
             st.release()
+        st.drop(*[t for t in held if t is not roots])
         return classes, roots
 
     def run(self) -> DataFrame:
