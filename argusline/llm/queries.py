@@ -5,18 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from argusline.llm import parity_join
+from argusline.llm import mixing, packing, parity_join, quality, secrets
 from argusline.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: doc_id, start, length, token_sha256, score."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.train_scanner(docs).findings(docs)
+    return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), "score")
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at 0.9 or more: doc_id, n_shingles, component_id."""
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document and whether it is kept."""
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.round("quality", 6).alias("quality"), (F.col("quality") >= 0.5).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op5_parity_join": op5_parity_join,
+    "op7_min_slack_packing": op7_min_slack_packing,
+    "op9_sainte_lague_mix": op9_sainte_lague_mix,
+    "op10_weak_label_quality": op10_weak_label_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

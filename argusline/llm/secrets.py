@@ -180,7 +180,9 @@ class Scanner:
         Null and empty texts have none; repeated rows repeat theirs.
         """
         slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        rows = self.scored(slim, "text", "found").select("doc_id", F.explode("found").alias("f"))
+        slim = slim.where(F.col("text").rlike(CANDIDATE))
+        # Not `explode`: the optimizer would add a filter that computes the whole array again.
+        rows = self.scored(slim, "text", "found").select("doc_id", F.explode_outer("found").alias("f"))
         return rows.where(F.col("f.score") >= self.cutoff).select("doc_id", "f.start", F.length("f.token").cast("long").alias("length"), "f.token", F.round("f.score", 6).alias("score"))
 
     def redact(self, docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -207,7 +209,8 @@ def train_scanner(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
     language = learn_language(docs, text_col)
     if labelled is None:
         stages = Stages(docs.sparkSession, "findings")
-        rows = candidates(docs.select(F.col(text_col).alias("text")), language, "text", "found").select(F.explode("found").alias("f"))
+        some = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).rlike(CANDIDATE))
+        rows = candidates(some, language, "text", "found").select(F.explode_outer("found").alias("f"))
         rows = rows.withColumn("label", weak_label(F.col("f"))).where(F.col("label").isNotNull())
         # Many candidates are alike, so a hash picks about the sample first.
         by = F.xxhash64("f.token", "f.start")
