@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusline.llm import mixing, packing, parity_join, quality, secrets
-from argusline.llm.common import table
+from argusline.llm import ann, chunk_dedup, compaction, media, mixing, packing, parity_join, quality, secrets, url_filter
+from argusline.llm.common import Stages, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,16 +18,55 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), "score")
 
 
+def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as sound, and its features."""
+    return media.audio(table(spark, sf_dir, "documents"), keep_media=False).select("doc_id", *media.DIGESTS)
+
+
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents and where they stand first."""
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at 0.9 or more: doc_id, n_shingles, component_id."""
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, appended in four arrivals, compacted and read back."""
+    root = Stages(spark, "shards").root
+    shards = compaction.ingest(table(spark, sf_dir, "documents"), root, arrivals=4, key="doc_id")
+    rows = shards.read(schema=table(spark, sf_dir, "documents").schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, path prefix) of the production list.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -42,8 +81,13 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_media_features": op2_media_features,
+    "op3_chunk_dedup": op3_chunk_dedup,
+    "op4_nn_descent": op4_nn_descent,
     "op5_parity_join": op5_parity_join,
+    "op6_compaction": op6_compaction,
     "op7_min_slack_packing": op7_min_slack_packing,
+    "op8_url_filter": op8_url_filter,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_weak_label_quality": op10_weak_label_quality,
 }
