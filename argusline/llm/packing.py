@@ -17,6 +17,7 @@ a few numbers for each piece is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,23 @@ from argusline.llm.common import Stages
 END_ID = 1
 
 
+#: Words that normalisation leaves as they are and that are one piece before merging.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Visible Latin-1 characters stand for themselves, the others for the
+    characters from 256 on, in order.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
 #: ASCII marks that the vocabulary's rules always part from a letter or digit before them.
 MARKS = b'.,|!%&*#$":;?'
 
@@ -46,11 +64,12 @@ class TokenBytes(dict):
     marks'.  At most two times ``limit`` words are kept, the recent ones.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
@@ -62,7 +81,11 @@ class TokenBytes(dict):
             if core != word and (core.decode("utf-8")[-1:].isalnum() and core[-1:] not in b"<'"):
                 out = self[core] + self[word[len(core) :]]
             else:
-                ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+                text = word.decode("utf-8")
+                if _PLAIN(text):  # nothing to normalise or to part: merge at once
+                    ids = [t.id for t in self.model.tokenize("".join([_LETTERS[b] for b in word]))]
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out = np.asarray(ids, "<u4").tobytes()
         self[word] = out
         return out
