@@ -44,6 +44,8 @@ from argusline.llm.shingles import WordHashes, digests, mix, shingle_set
 
 #: Members of a block when groups are compared across components.
 BLOCK = 256
+#: Smallest group keys that a member carries to find the first shared one.
+FIRST_KEYS = 16
 #: Texts whose digest a task remembers, to state copies once.
 SEEN = 500_000
 #: Ids that may be broadcast; above it they are joined by a shuffle.
@@ -265,8 +267,10 @@ class ParityJoin:
         """Candidate pairs of different components within a group.
 
         Large groups are cut into blocks; a cell holds two blocks and gives
-        out only pairs that the sizes and the bit sketches allow, and each pair
-        in one of the groups it shares (a text has as many as its sketch words).
+        out only pairs that the sizes and the bit sketches allow.  Similar texts
+        share many groups: a pair is given in the first of them.  Members carry
+        their first few keys for that; if those have none in common, the pair
+        is given in each group and made distinct afterwards.
         """
         num, den = self.num, self.den
 
@@ -280,11 +284,14 @@ class ParityJoin:
                     for p, r in enumerate(left):
                         for q in left[p + 1 :] if i == j else right:
                             s, t = sorted((r["n"], q["n"]))
-                            if r["label"] != q["label"] and s * den >= num * t and _hamming(r["bits"], q["bits"]) * (den + num) <= (den - num) * (s + t) and key == min(r["keys"] & q["keys"]):
+                            if r["label"] != q["label"] and s * den >= num * t and _hamming(r["bits"], q["bits"]) * (den + num) <= (den - num) * (s + t):
+                                common = r["keys"] & q["keys"]
+                                if common and key != min(common):
+                                    continue
                                 outs.append(sorted((r["cid"], q["cid"])))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in outs], pa.int64()), pa.array([o[1] for o in outs], pa.int64())], ["a", "b"])
 
-        own = groups.groupBy("cid").agg(F.collect_list("key").alias("keys"))
+        own = groups.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
         size = groups.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         placed = groups.join(size, "key").select("key", "cid", "label", "blocks", F.pmod(F.hash("cid"), "blocks").alias("blk"))
         cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -292,7 +299,7 @@ class ParityJoin:
         )
         rows = cells.join(sets.select("cid", "n", "bits"), "cid").join(own, "cid")
         whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits", "keys")).alias("cell"))
-        return whole.select("key", "i", "j", "cell").mapInArrow(run, "a long, b long")
+        return whole.select("key", "i", "j", "cell").mapInArrow(run, "a long, b long").distinct()
 
     def components(self, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(classes: d1, d2, cid, n; roots: cid, root of every linked class)."""
