@@ -58,6 +58,15 @@ def _reflect(i: Column, n: Column) -> Column:
     return F.when(i >= n, 2 * (n - 1) - i).otherwise(i)
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once.
+
+    The optimizer would else put a computed array's expression wherever a
+    lambda reads an element of it.
+    """
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _at(px: Column, i: Column) -> Column:
     return F.get(px, i.cast("int"))
 
@@ -71,7 +80,7 @@ def stencil(px: Column, h: Column, w: Column, kernel: Sequence[Sequence[float]])
     """Weighted sum of each neighbourhood, mirrored at the border."""
     ky, kx = len(kernel) // 2, len(kernel[0]) // 2
 
-    def of(y: Column, x: Column) -> Column:
+    def of(px: Column, y: Column, x: Column) -> Column:
         out = None
         for dy, row in enumerate(kernel):
             for dx, k in enumerate(row):
@@ -80,7 +89,7 @@ def stencil(px: Column, h: Column, w: Column, kernel: Sequence[Sequence[float]])
                     out = term if out is None else out + term
         return out
 
-    return _grid(h, w, of)
+    return let(px, lambda p: _grid(h, w, lambda y, x: of(p, y, x)))
 
 
 def gaussian(size: int) -> list[list[float]]:
@@ -96,11 +105,11 @@ def morph(mask: Column, h: Column, w: Column, op: str, size: int = 3) -> Column:
         return morph(morph(mask, h, w, first, size), h, w, then, size)
     r = size // 2
 
-    def of(y: Column, x: Column) -> Column:
+    def of(mask: Column, y: Column, x: Column) -> Column:
         near = [_at(mask, F.greatest(F.lit(0), F.least(h - 1, y + dy)) * w + F.greatest(F.lit(0), F.least(w - 1, x + dx))) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
         return F.greatest(*near) if op == "dilate" else F.least(*near)
 
-    return _grid(h, w, of)
+    return let(mask, lambda m: _grid(h, w, lambda y, x: of(m, y, x)))
 
 
 def mask_op(a: Column, b: Column, op: str) -> Column:
@@ -119,7 +128,7 @@ def count_true(mask: Column) -> Column:
 def border_ignore(mask: Column, h: Column, w: Column, margin: int) -> Column:
     """Flags in the outer margin are cleared."""
     inside = lambda i, n: (i >= margin) & (i < n - margin)
-    return _grid(h, w, lambda y, x: _at(mask, y * w + x) & inside(y, h) & inside(x, w))
+    return let(mask, lambda m: _grid(h, w, lambda y, x: _at(m, y * w + x) & inside(y, h) & inside(x, w)))
 
 
 def threshold(px: Column, level: float, inverse: bool = False) -> Column:
@@ -140,7 +149,7 @@ def local_threshold(px: Column, h: Column, w: Column, size: int = 15, c: float =
 def resample(px: Column, h: Column, w: Column, oh: int, ow: int) -> Column:
     """Bilinear with half-pixel centres."""
 
-    def of(y: Column, x: Column) -> Column:
+    def of(px: Column, y: Column, x: Column) -> Column:
         sy = F.greatest(F.lit(0.0), F.least(h - 1.0, (y + 0.5) * h / oh - 0.5))
         sx = F.greatest(F.lit(0.0), F.least(w - 1.0, (x + 0.5) * w / ow - 0.5))
         y0, x0 = F.floor(sy).cast("int"), F.floor(sx).cast("int")
@@ -150,13 +159,13 @@ def resample(px: Column, h: Column, w: Column, oh: int, ow: int) -> Column:
         low = _at(px, y1 * w + x0) * (1 - fx) + _at(px, y1 * w + x1) * fx
         return top * (1 - fy) + low * fy
 
-    return _grid(F.lit(oh), F.lit(ow), of)
+    return let(px, lambda p: _grid(F.lit(oh), F.lit(ow), lambda y, x: of(p, y, x)))
 
 
 def apply_shift(px: Column, h: Column, w: Column, dx: Column, dy: Column, zero: bool = False) -> Column:
     """Moved by (dx, dy) if under a quarter of the size; borders repeat or are 0."""
 
-    def of(y: Column, x: Column) -> Column:
+    def of(px: Column, y: Column, x: Column) -> Column:
         sy, sx = y - dy, x - dx
         inside = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
         clamp = lambda i, n: F.greatest(F.lit(0), F.least(n - 1, i))
@@ -164,7 +173,7 @@ def apply_shift(px: Column, h: Column, w: Column, dx: Column, dy: Column, zero:
         return F.when(inside, value).otherwise(0.0) if zero else value
 
     fits = (F.abs(dx) < 0.25 * w) & (F.abs(dy) < 0.25 * h)
-    return F.when(fits, _grid(h, w, of)).otherwise(px)
+    return F.when(fits, let(px, lambda p: _grid(h, w, lambda y, x: of(p, y, x)))).otherwise(px)
 
 
 def gradients(px: Column, h: Column, w: Column) -> Column:
@@ -177,14 +186,14 @@ def gradients(px: Column, h: Column, w: Column) -> Column:
 def block_means(px: Column, h: Column, w: Column, block: int) -> Column:
     """Means of ``block`` x ``block`` tiles, row by row, / 255."""
 
-    def of(y: Column, x: Column) -> Column:
+    def of(px: Column, y: Column, x: Column) -> Column:
         cells = [_at(px, (y * block + i) * w + x * block + j) for i in range(block) for j in range(block)]
         total = cells[0]
         for c in cells[1:]:
             total = total + c
         return total / (block * block) / 255
 
-    return _grid(F.floor(h / block).cast("int"), F.floor(w / block).cast("int"), of)
+    return let(px, lambda p: _grid(F.floor(h / block).cast("int"), F.floor(w / block).cast("int"), lambda y, x: of(p, y, x)))
 
 
 def ssim(a: Column, b: Column, h: Column, w: Column, win: int = 7) -> Column:

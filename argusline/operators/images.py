@@ -92,7 +92,7 @@ def shift_estimate(pairs: DataFrame, radius: int = 2) -> DataFrame:
 
 def mask_pixels(masks: DataFrame, mask: str = "mask", id_col: str = "pair_id") -> DataFrame:
     """Flagged pixels (image_id, y, x) of array masks."""
-    rows = masks.select(F.col(id_col).alias("image_id"), "w", F.posexplode(mask).alias("i", "flag")).where("flag")
+    rows = masks.select(F.col(id_col).alias("image_id"), "w", F.posexplode_outer(mask).alias("i", "flag")).where("flag")
     return rows.select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"))
 
 
@@ -115,6 +115,7 @@ def detect_anomalies(pairs: DataFrame, level: float = 0.5, border: int = 1, leas
     h, w = F.col("h"), F.col("w")
     rows = pairs.withColumns({"d": abs_diff(), "m": P.ssim(F.col("gab"), F.col("test"), h, w, 3)})
     # The map of a 3 x 3 window lacks a border of one pixel.
-    low = P._grid(h, w, lambda y, x: F.coalesce(F.get(F.col("m"), ((y - 1) * (w - 2) + x - 1).cast("int")) < level, F.lit(False)))
+    inside = lambda y, x: (y > 0) & (x > 0) & (y < h - 1) & (x < w - 1)
+    low = P.let(F.col("m"), lambda m: P._grid(h, w, lambda y, x: F.when(inside(y, x), F.get(m, ((y - 1) * (w - 2) + x - 1).cast("int")) < level).otherwise(False)))
     rows = rows.withColumn("mask", P.border_ignore(F.zip_with(low, F.col("d"), lambda a, b: a & (b > 0.15 * 255)), h, w, border))
     return components(rows).where(F.col("area") >= least)
