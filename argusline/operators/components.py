@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables; a temporary one only if none is set."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="argusline-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder of ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="argusline-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

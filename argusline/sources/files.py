@@ -18,7 +18,7 @@ SIDECAR = (
 )
 
 
-def scan_memory(spark: SparkSession, ok_root: str, ng_root: str) -> DataFrame:
+def scan_memory(spark: SparkSession, ok_root: str, ng_root: str, multi_line: bool = True) -> DataFrame:
     """Memory rows of the JSON records below two roots.
 
     The root gives the label; records that cannot be read or hold no embedding
@@ -26,7 +26,7 @@ def scan_memory(spark: SparkSession, ok_root: str, ng_root: str) -> DataFrame:
     """
 
     def root(path: str, label: str) -> DataFrame:
-        raw = spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+        raw = spark.read.schema(SIDECAR).option("multiLine", multi_line).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
         rows = raw.where(F.col("_corrupt_record").isNull() & (F.size("analysis.embedding") > 0))
         folder = F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "")
         return rows.select(
