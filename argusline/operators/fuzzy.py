@@ -8,12 +8,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from argusline.functions import text as T
 from argusline.functions.fixed import ALIASES, CATEGORIES, WORDINGS
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(word: pd.Series, category: pd.Series) -> pd.Series:
     """Sequence-matcher ratio with the category's characters first matched in the word."""
     return pd.Series([SequenceMatcher(None, c, w).ratio() for w, c in zip(word, category, strict=True)])

@@ -82,8 +82,9 @@ def shift_estimate(pairs: DataFrame, radius: int = 2) -> DataFrame:
     w = F.col("w")
     y1, y2 = F.greatest(F.lit(0), F.col("dy")), F.least(F.col("h"), F.col("h") + F.col("dy"))
     x1, x2 = F.greatest(F.lit(0), F.col("dx")), F.least(w, w + F.col("dx"))
+    # Golden (y, x) against suspect (y - dy, x - dx), where both are.
     part = lambda px, oy, ox: F.flatten(F.transform(F.sequence(y1, y2 - 1), lambda r: F.slice(px, ((r - oy) * w + x1 - ox + 1).cast("int"), (x2 - x1).cast("int"))))
-    rows = offsets.withColumns({"a": part(F.col("gab"), F.lit(0), F.lit(0)), "b": part(F.col("test"), -F.col("dy"), -F.col("dx"))})
+    rows = offsets.withColumns({"a": part(F.col("gab"), F.lit(0), F.lit(0)), "b": part(F.col("test"), F.col("dy"), F.col("dx"))})
     far = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
     scored = rows.select("pair_id", "dx", "dy", F.round(V.correlation(F.col("a"), F.col("b")), 9).alias("score"), far.alias("far"))
     best = scored.groupBy("pair_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "far", "dy", "dx")).alias("b"))
