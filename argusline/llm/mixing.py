@@ -115,7 +115,7 @@ def mix(
     plan = spark.createDataFrame([(r.source, n, float(g), p) for r, n, g, p in zip(totals, sizes, goal, parts, strict=True)], "s string, source_size long, target double, parts int")
     keyed = lambda df, source, mark_: df.join(plan, F.col(source).eqNullSafe(F.col("s")), "inner").withColumn(shard, F.pmod(F.shiftright(mark_, 20), F.col("parts")).cast("int")).drop("s", "parts")
 
-    seats = sainte_lague(goal, round(sum(goal) / block), [max_repeat * n // block for n in sizes])
+    seats = sainte_lague(goal, round(sum(goal) / block), [-(-max_repeat * n // block) for n in sizes])
     quota = {}
     by_shard = keyed(narrow, "source", F.col("order")).groupBy("source", shard).agg(F.sum("size").alias("n")).collect()
     by_source: dict = {}
@@ -123,10 +123,10 @@ def mix(
         by_source.setdefault(r.source, []).append((r[shard], r.n))
     for r, q in zip(totals, seats, strict=True):
         ns = [n for _, n in by_source[r.source]]
-        got = sainte_lague(ns, q, [max_repeat * n // block for n in ns])
+        got = sainte_lague(ns, q, [-(-max_repeat * n // block) for n in ns])
         for (k, n), x in zip(by_source[r.source], got, strict=True):
-            # A last block that the cap cuts short is given as well.
-            quota[r.source, k] = (n, x * block if max_repeat * n - x * block >= block else max_repeat * n)
+            # The cap may cut the last block short.
+            quota[r.source, k] = (n, min(x * block, max_repeat * n))
     shards = spark.createDataFrame([(s, k, n, x) for (s, k), (n, x) in quota.items()], "s string, k int, ring long, words long")
 
     wide = keyed(sized.withColumn(order, mark), source_col, F.col(order))

@@ -92,4 +92,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_label_quality": op10_weak_label_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+_FITS = "(host = '{1}' OR host LIKE '%.{1}') AND starts_with(path, '{2}')"
+
+
+def _when(value) -> str:
+    return "CASE " + " ".join(f"WHEN {_FITS.format(*r)} THEN '{value(r)}'" for r in _RULES) + " END"
+
+
+#: The rest is training, graph search, packing or seeded choice; tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_parity_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+c AS (SELECT a, min(b) AS root FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id""",
+    "op6_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    # The standard pages declare no links, so aliases are spellings of one address.
+    "op8_url_filter": f"""WITH u AS (SELECT page_id, url, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, regexp_replace('?' || regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\\1', 'gi') AS q0 FROM u),
+v AS (SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '(/index)?(\\.html?)?/*$', '') || regexp_replace(regexp_replace(regexp_replace(q0, '&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+$', '') END AS node, {_when(lambda r: r[1] + r[2])} AS rule, {_when(lambda r: r[0])} AS said FROM q),
+b AS (SELECT node FROM v WHERE node IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (said = 'block') > 0 AND count(*) FILTER (said = 'allow') = 0)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN node IN (SELECT node FROM b) THEN 'block' END, 'allow') AS verdict FROM v""",
+}
