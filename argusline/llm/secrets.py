@@ -80,9 +80,9 @@ def learn_language(docs: DataFrame, text_col: str = "text") -> Language:
 def _features(c: str, i: str, parts: str, language: str, bitmap: str) -> dict[str, str]:
     """SQL of each feature of candidate ``c``, the ``i``-th between ``parts``."""
     left = f"lower(right({parts}[{i}], {NEAR}))"
-    before = f"regexp_extract({parts}[{i}], '([^ \\\\t-\\\\r]+[ \\\\t-\\\\r]*){{0,3}}$', 0)"
     right = f"{parts}[{i} + 1]"
-    code = lambda at: f"if(substr(lower({c}), {at}, 1) between 'a' and 'z', ascii(substr(lower({c}), {at}, 1)) - 97, 26)"
+    # Characters are parted once: `substr` walks from the start each time.
+    code = lambda at: f"if(l[{at}] between 'a' and 'z', ascii(l[{at}]) - 97, 26)"
     hit = f"shiftright(cast(conv(hex(substring({bitmap}, cast(shiftright(h, 3) as int) + 1, 1)), 16, 10) as int), cast(h & 7 as int)) & 1"
     words = f"transform(regexp_extract_all(regexp_replace({c}, '([a-z])([A-Z])', '$1 $2'), '[A-Za-z]{{3,15}}', 0), w -> named_struct('n', length(w), 'h', pmod(xxhash64(lower(w)), {BITS})))"
     covered = f"aggregate({words}, 0D, (acc, x) -> acc + if({hit.replace('h,', 'x.h,').replace('(h &', '(x.h &')} = 1, x.n, 0))"
@@ -91,7 +91,7 @@ def _features(c: str, i: str, parts: str, language: str, bitmap: str) -> dict[st
         "digits": f"length(regexp_replace({c}, '[^0-9]', '')) / length({c})",
         "upper": f"length(regexp_replace({c}, '[^A-Z]', '')) / length({c})",
         "switches": f"regexp_count({c}, '(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]') / length({c})",
-        "transitions": f"aggregate(sequence(1, length({c}) - 1), 0D, (acc, p) -> acc + {language}[{code('p')} * 27 + {code('p + 1')}]) / (length({c}) - 1)",
+        "transitions": f"transform(array(split(lower({c}), '')), l -> aggregate(sequence(0, length({c}) - 2), 0D, (acc, p) -> acc + {language}[{code('p')} * 27 + {code('p + 1')}]))[0] / (length({c}) - 1)",
         "coverage": f"{covered} / length({c})",
         "path": f"cast(regexp_count({c}, '/') + if(right({parts}[{i}], 1) in ('/', '.', '@', ':') or left({right}, 1) in ('/', '.', '@'), 1, 0) as double)",
         "key_word": f"if({left} rlike '({KEY_WORDS})', 1D, 0D)",
@@ -103,16 +103,17 @@ def _features(c: str, i: str, parts: str, language: str, bitmap: str) -> dict[st
 
 
 def candidates(docs: DataFrame, language: Language, text_col: str, out_col: str) -> DataFrame:
-    """``docs`` with an array of candidates: token, at, start and features."""
+    """``docs`` with an array of candidates: token, at and features.
+
+    The pieces of text between the candidates are left in a column ``parts``.
+    """
     cands, parts, table, bitmap = (fresh([*docs.columns, out_col], c) for c in ("cands", "parts", "letters", "bits"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.withColumn(cands, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     split = split.withColumn(parts, F.when(F.size(cands) > 0, F.split(text, CANDIDATE, -1)))
     split = split.withColumn(table, F.array(*[F.lit(round(x, 4)) for x in language.transitions])).withColumn(bitmap, F.lit(language.bitmap))
     feats = ", ".join(f"'{k}', {v}" for k, v in _features("c", "i", parts, table, bitmap).items())
-    # Every candidate starts where the pieces before it end.
-    start = f"aggregate(sequence(0, i), 0L, (acc, j) -> acc + length({parts}[j]) + if(j > 0, length({cands}[j - 1]), 0))"
-    made = F.expr(f"transform({cands}, (c, i) -> named_struct('token', c, 'at', i, 'start', {start}, {feats}))")
+    made = F.expr(f"transform({cands}, (c, i) -> named_struct('token', c, 'at', i, {feats}))")
     return split.withColumn(out_col, made).drop(table, bitmap, cands if cands != out_col else "")
 
 
@@ -171,7 +172,7 @@ class Scanner:
         if self.trees is None:
             return found.withColumn(out_col, F.transform(out_col, lambda x: x.withField("score", score(x))))
         votes = " + ".join(t.replace("{x}", "x") for t in self.trees)
-        fields = ", ".join(f"'{k}', x.{k}" for k in ("token", "at", "start"))
+        fields = ", ".join(f"'{k}', x.{k}" for k in ("token", "at"))
         return found.withColumn(out_col, F.expr(f"transform({out_col}, x -> named_struct({fields}, 'score', ({votes}) / {len(self.trees)}D))"))
 
     def findings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +183,12 @@ class Scanner:
         slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         slim = slim.where(F.col("text").rlike(CANDIDATE))
         # Not `explode`: the optimizer would add a filter that computes the whole array again.
-        rows = self.scored(slim, "text", "found").select("doc_id", F.explode_outer("found").alias("f"))
-        return rows.where(F.col("f.score") >= self.cutoff).select("doc_id", "f.start", F.length("f.token").cast("long").alias("length"), "f.token", F.round("f.score", 6).alias("score"))
+        rows = self.scored(slim, "text", "found")
+        # Where each candidate starts: a running sum of the pieces' and candidates' lengths.
+        sums = "aggregate(found, named_struct('pos', 0L, 'out', cast(array() as array<bigint>)), (acc, x) -> named_struct('pos', acc.pos + length(parts[x.at]) + length(x.token), 'out', concat(acc.out, array(acc.pos + length(parts[x.at]))))).out"
+        rows = rows.withColumn("starts", F.expr(sums)).select("doc_id", F.explode_outer(F.arrays_zip(F.col("found").alias("f"), F.col("starts").alias("start"))).alias("z"))
+        rows = rows.select("doc_id", "z.f", "z.start").where(F.col("f.score") >= self.cutoff)
+        return rows.select("doc_id", "start", F.length("f.token").cast("long").alias("length"), "f.token", F.round("f.score", 6).alias("score"))
 
     def redact(self, docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
         """``docs`` with secrets replaced by ``mark``; other rows unchanged."""
@@ -213,7 +218,7 @@ def train_scanner(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
         rows = candidates(some, language, "text", "found").select(F.explode_outer("found").alias("f"))
         rows = rows.withColumn("label", weak_label(F.col("f"))).where(F.col("label").isNotNull())
         # Many candidates are alike, so a hash picks about the sample first.
-        by = F.xxhash64("f.token", "f.start")
+        by = F.xxhash64("f.token", "f.at")
         each = [rows.where(F.col("label") == k).orderBy(by).limit(sample // 2) for k in (0, 1)]
         labelled = stages.write(each[0].union(each[1]).select("f.*", "label"), "labelled")
     return Scanner(language, train_forest(labelled))
