@@ -244,6 +244,22 @@ class ParityJoin:
         return out
 
     # -- verification -----------------------------------------------------------
+    def sift(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs that the sizes and the bit sketches allow to link."""
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, m, x, y = (b.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+                ok = [
+                    min(s, t) * den >= num * max(s, t) and _hamming(p, q) * (den + num) <= (den - num) * (s + t)
+                    for s, t, p, q in zip(n, m, x, y, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        side = lambda i, n, o: sets.select(F.col("cid").alias(i), F.col("n").alias(n), F.col("bits").alias(o))
+        return pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those that link, on whole sets."""
         num, den = self.num, self.den
@@ -329,7 +345,11 @@ class ParityJoin:
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = st.write(pairs, "pairs")
-            good = st.write(self.verify(pairs, sets).distinct(), "links")
+            # Whole sets are moved only for pairs that the sketches leave.
+            left = st.write(self.sift(pairs, sets), "left")
+            good = st.write(self.verify(left, sets).distinct(), "links")
+            st.drop(left)
+            st.release()
             tested = pairs if tested is None else tested.union(pairs)
             groups = active.select("key", "cid")
             if good.isEmpty():
