@@ -88,6 +88,8 @@ def fit_votes(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: i
     raise says more than what most texts get), which also says which class is
     good.
     """
+    if not counts:
+        return {}, np.full((2, labellers, 3), 1 / 3)
     codes = sorted(counts)
     n = np.array([counts[c] for c in codes], float)
     said = np.array([[c // 3 ** (labellers - 1 - i) % 3 for i in range(labellers)] for c in codes]).reshape(len(codes), labellers)
