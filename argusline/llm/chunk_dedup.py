@@ -1,11 +1,12 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of a text and cuts it where some bits of the
-hash are zero.  The hash forgets a byte after 16 more, so equal passages get
-equal cuts wherever they stand: an insertion shifts nothing but the chunk it is
-in.  Chunks are counted by a 128-bit digest; runs of chunks that stand
-elsewhere too are repeated passages, and all occurrences but the first (by id,
-then place) can be removed.
+A gear hash rolls over the bytes of a text and cuts it where the hash is the
+largest among its neighbours.  The hash forgets a byte after 16 more, so equal
+passages get equal cuts wherever they stand: an insertion shifts nothing but the
+chunks around it.  Chunks are counted by a 128-bit digest.  A chunk that stands elsewhere too
+is a seed: its match with its first occurrence (by id, then place) is extended
+byte by byte to both sides, and matches that touch are one repeated passage.
+All occurrences but the first can be removed.
 """
 
 from __future__ import annotations
@@ -15,26 +16,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusline.llm.common import Stages
 
-MASK_BITS = 5  #: a cut in 32 bytes on average
-LEAST, MOST = 16, 256  #: bytes of a chunk
-#: Bytes of a run of repeated chunks that make a repeated passage; a passage
-#: loses less than a chunk at each end, so one of 50 words still has as many.
+#: A cut has the largest hash among as many bytes before and after it: cuts are
+#: so far apart at least, twice as far on average, and no earlier cut shifts them.
+AROUND = 24
+MOST = 96  #: bytes of a chunk
+#: Bytes of a run of extended matches that make a repeated passage.
 PASSAGE = 96
+#: Bytes compared at once on each side of a match; longer ones go on.
+REACH = 256
 
 _TABLE = np.random.default_rng(2024).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
+def _largest_before(h: np.ndarray) -> np.ndarray:
+    """The largest of the ``AROUND`` values before each one; -1 without any."""
+    n = len(h)
+    wide, width = np.r_[np.full(AROUND, -1, np.int32), h], 1
+    while width < AROUND:
+        step = min(width, AROUND - width)
+        wide = np.maximum(wide[:-step], wide[step:])
+        width += step
+    return wide[:n]
+
+
 def cuts(raw: bytes) -> np.ndarray:
-    """Ends of the chunks of a text: gear cuts at least ``LEAST`` bytes apart.
+    """Ends of the chunks of a text: the largest gear hashes of their surroundings.
 
-    A chunk that finds no cut in ``MOST`` bytes ends there.  Cuts stand before
-    the first byte of a character.
+    A chunk that finds no cut in ``MOST`` bytes (the text repeats itself) ends
+    at the largest hash of its second half, which falls in step with the text's
+    period.  Cuts stand before the first byte of a character.
     """
     n = len(raw)
     if not n:
@@ -44,26 +60,30 @@ def cuts(raw: bytes) -> np.ndarray:
     h = g.copy()
     for j in range(1, min(16, n)):
         h[j:] += g[:-j] << np.uint16(j)
-    # The top bits depend on the last 16 bytes.
-    at = np.flatnonzero((h >> np.uint16(16 - MASK_BITS)) == 0) + 1
+    h = h.astype(np.int32)
+    # Of equal hashes the first.
+    at = np.flatnonzero((h > _largest_before(h)) & (h >= _largest_before(h[::-1])[::-1])) + 1
     starts = (b & 0xC0) != 0x80
     ok = np.append(starts, True)
     out, last = [], 0
+
+    def forced(last: int) -> int:
+        c = last + MOST // 2 + int(h[last + MOST // 2 : last + MOST].argmax()) + 1
+        while not ok[c]:
+            c -= 1
+        return c
+
     for c in at.tolist():
         while not ok[c]:
             c += 1
         while c - last > MOST:
-            last += MOST
-            while not ok[last]:
-                last -= 1
+            last = forced(last)
             out.append(last)
-        if c - last >= LEAST and c < n:
+        if last < c < n:
             out.append(c)
             last = c
     while n - last > MOST:
-        last += MOST
-        while not ok[last]:
-            last -= 1
+        last = forced(last)
         out.append(last)
     out.append(n)
     return np.array(out, np.int64)
@@ -102,11 +122,75 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long")
 
 
+def _grown(left: bytes, first_left: bytes, right: bytes, first_right: bytes, reach: int) -> tuple[int, int, bool, bool]:
+    """Bytes that a match grows to the left and right, and which sides go on.
+
+    Its ends stay before the first byte of a character.
+    """
+    n = min(len(left), len(first_left))
+    low = 0
+    while low < n and left[-1 - low] == first_left[-1 - low]:
+        low += 1
+    more_left = low == reach
+    while low and left[-low] & 0xC0 == 0x80:
+        low -= 1
+    n = min(len(right), len(first_right))
+    high = 0
+    while high < n and right[high] == first_right[high]:
+        high += 1
+    more_right = high == reach
+    if more_right:
+        high -= 1
+    while high and high < len(right) and right[high] & 0xC0 == 0x80:
+        high -= 1
+    return low, high, more_left, more_right
+
+
+def _extend(matches: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
+    """``matches`` with ``start``, ``end`` moved by ``reach`` bytes at most.
+
+    ``more_left`` and ``more_right`` say which sides to extend, and come back
+    as those that may go on.
+    """
+
+    def around(raw: str, start: Column, end: Column) -> tuple[Column, Column]:
+        low = F.greatest(start - reach, F.lit(0))
+        left = F.when(F.col("more_left"), F.substring(F.col(raw), (low + 1).cast("int"), (start - low).cast("int"))).otherwise(F.lit(b""))
+        right = F.when(F.col("more_right"), F.substring(F.col(raw), (end + 1).cast("int"), F.lit(reach))).otherwise(F.lit(b""))
+        return left, right
+
+    def seed(raw: str, at: Column) -> Column:
+        return F.xxhash64(F.substring(F.col(raw), (at + 1).cast("int"), F.col("bytes").cast("int")))
+
+    columns = matches.columns
+    left, right = around("raw", F.col("start"), F.col("end"))
+    here = matches.join(texts, F.col("doc_id") == F.col("text_id")).select(*columns, left.alias("left"), right.alias("right"), seed("raw", F.col("seed")).alias("hash"))
+    shift = F.col("seed") - F.col("first_seed")
+    first_left, first_right = around("raw", F.col("start") - shift, F.col("end") - shift)
+    # Of several texts with one id only those that hold the seed count.
+    both = here.join(texts, F.col("first_id") == F.col("text_id")).where(F.col("hash") == seed("raw", F.col("first_seed")))
+    both = both.select(*columns, "left", "right", first_left.alias("first_left"), first_right.alias("first_right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(c).to_pylist() for c in ("left", "first_left", "right", "first_right")]
+            grown = [_grown(*row, reach) for row in zip(*sides, strict=True)]
+            low, high, more_left, more_right = zip(*grown, strict=True) if grown else ((), (), (), ())
+            new = {
+                "start": pa.array(b.column("start").to_numpy() - np.array(low, np.int64)),
+                "end": pa.array(b.column("end").to_numpy() + np.array(high, np.int64)),
+                "more_left": pa.array(more_left, pa.bool_()), "more_right": pa.array(more_right, pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], columns)
+
+    return both.mapInArrow(run, matches.schema)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
     """Passages that stand somewhere else before: one row for each.
 
     Returns doc_id, start, length (bytes of the UTF-8 text), chunks, and
-    first_doc_id, first_start, where the passage's first chunk stands first.
+    first_doc_id, first_start, where the passage's first match stands first.
     Rows that share an id and a text are one document.  Null and empty texts
     and null ids have no passages; no rows give none; other columns are not
     read.  A passage may lie in one document twice: the later one counts.
@@ -120,13 +204,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     often = seen.where("first < last").select("d1", "d2", "first")
     again = stages.write(found.join(often, ["d1", "d2"]).where(place > F.col("first")).select("doc_id", "start", "end", "first").distinct(), "again")
     stages.drop(found)
-    # Chunks that touch make a run.
+    stages.release()
+    # Chunks that touch here and at their first occurrences are one match.
+    flat = again.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start"))
+    shift = F.col("start") - F.col("first_start")
+    w = W.partitionBy("doc_id").orderBy("first_id", "shift", "start", "end")
+    joins = (F.lag("first_id").over(w) == F.col("first_id")) & (F.lag("shift").over(w) == F.col("shift")) & (F.col("start") <= F.lag("end").over(w))
+    lined = flat.withColumn("shift", shift).withColumn("begins", F.when(joins, 0).otherwise(1)).withColumn("match", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    matches = lined.groupBy("doc_id", "match").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("first_id").alias("first_id"), F.min("first_start").alias("first_seed"), F.count("*").alias("chunks")
+    ).select("doc_id", "start", "end", "first_id", F.col("start").alias("seed"), (F.col("end") - F.col("start")).alias("bytes"), "first_seed", "chunks", F.lit(True).alias("more_left"), F.lit(True).alias("more_right"))
+    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).cast("binary").alias("raw")).where("text_id IS NOT NULL AND raw IS NOT NULL")
+    state, settled, reach, going = stages.write(_extend(matches, texts, REACH), "matches"), [], REACH, F.col("more_left") | F.col("more_right")
+    stages.release()
+    while not state.where(going).isEmpty():
+        settled.append(state.where(~going))
+        reach *= 16
+        state = stages.write(_extend(state.where(going), texts, reach), "matches")
+        stages.release()
+    spans = state
+    for part in settled:
+        spans = spans.union(part)
+    # A row for each match, also where rows share an id.
+    spans = spans.repartition("doc_id").groupBy("doc_id", "seed", "first_id", "first_seed", "bytes").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("chunks").alias("chunks"))
+    # Matches that touch make a passage.
     w = W.partitionBy("doc_id").orderBy("start", "end")
     fresh_run = F.when(F.col("start") <= F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
-    runs = again.withColumn("begins", fresh_run).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = spans.withColumn("begins", fresh_run).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.struct(F.col("first_id").alias("doc_id"), (F.col("start") - F.col("seed") + F.col("first_seed")).alias("start"))
+    # Of matches that start together the longest says where.
     out = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.count("*").alias("chunks"), F.min_by("first", "start").alias("first")
-    )
+        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.sum("chunks").alias("chunks"),
+        F.min_by(first, F.struct("start", -F.col("end"), "first_id", "first_seed")).alias("first"),
+    )
     return out.where(F.col("length") >= passage).select("doc_id", "start", "length", "chunks", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
