@@ -62,7 +62,7 @@ def normal_url(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """src, dst (normal spellings): declared canonical links and refreshes.
+    """src, dst (as written, dst made absolute): declared canonical links and refreshes.
 
     Targets without ``://`` are taken from the page's own host.
     """
@@ -72,7 +72,7 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         goal = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
         full = F.when(goal.contains("://"), goal).when(goal.startswith("//"), F.concat(F.lit("http:"), goal)).otherwise(F.concat(F.lit("http://"), host_of(url), F.when(goal.startswith("/"), "").otherwise("/"), goal))
         rows = pages.where(url.contains("://") & html.rlike(tag)).withColumn("_goal", goal)
-        return rows.where(F.col("_goal") != "").select(normal_url(url).alias("src"), normal_url(full).alias("dst"))
+        return rows.where(F.col("_goal") != "").select(url.alias("src"), full.alias("dst"))
 
     return edge(CANONICAL, HREF).union(edge(REFRESH, TARGET))
 
@@ -95,10 +95,10 @@ def judge(
     """
     stages = Stages(pages.sparkSession, "url-filter")
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), *([F.col(html_col).alias("html")] if html_col else []))
-    edges = link_edges(slim, "url", "html") if html_col else None
+    links = link_edges(slim, "url", "html") if html_col else None
     if redirects is not None:
-        given = redirects.where(F.col("src").contains("://") & F.col("dst").contains("://")).select(normal_url(F.col("src")).alias("src"), normal_url(F.col("dst")).alias("dst"))
-        edges = given if edges is None else edges.union(given)
+        given = redirects.where(F.col("src").contains("://") & F.col("dst").contains("://")).select("src", "dst")
+        links = given if links is None else links.union(given)
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, said = rule_columns(host, path, rules)
@@ -108,14 +108,21 @@ def judge(
     # A node's group: the root of its component, or itself.
     spelt = rows
     group = F.col("node")
-    if edges is not None:
+    ends = None
+    if links is not None:
+        links = stages.write(links.distinct(), "links")
+        edges = links.select(normal_url(F.col("src")).alias("src"), normal_url(F.col("dst")).alias("dst"))
         roots = components(edges, "src", "dst", stages).withColumnsRenamed({"node": "n", "root": "r"})
         spelt = rows.join(roots, rows["node"] == roots["n"], "left")
         group = F.coalesce("r", "node")
+        # Addresses that no page has are judged too.
+        named = links.select(F.col("src").alias("url")).union(links.select(F.col("dst").alias("url"))).distinct()
+        ends = named.select(normal_url(F.col("url")).alias("node"), rule_columns(host, path, rules)[1].alias("said")).where("said IS NOT NULL").join(roots, F.col("node") == F.col("n"), "left").select(group.alias("group"), "said")
     spelt = spelt.withColumn("group", group)
     # Blocks reach aliases; an explicit allow in the group stops them.
+    members = spelt.select("group", "said").where(F.col("said").isNotNull() & F.col("group").isNotNull())
     decided = (
-        spelt.where(F.col("said").isNotNull() & F.col("group").isNotNull())
+        (members if ends is None else members.union(ends))
         .groupBy("group").agg(F.max((F.col("said") == "block").cast("int")).alias("b"), F.max((F.col("said") == "allow").cast("int")).alias("a"))
         .where("b = 1 and a = 0").select("group", F.lit("block").alias("inherited"))
     )

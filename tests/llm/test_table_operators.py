@@ -147,6 +147,20 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(pages.limit(0), RULES).collect() == []
 
 
+def test_url_targets_that_are_no_pages_are_judged(spark):
+    canonical = '<link rel="canonical" href="http://x.com/en/1">'
+    rows = [
+        (1, "http://a.info/", canonical), (2, "http://b.info/", '<meta http-equiv="refresh" content="0; url=http://x.com/en/2">'),
+        (3, "http://c.info/", ""), (4, "http://d.info/", canonical.replace("en/1", "en/4")), (5, "http://e.info/", ""), (6, "http://f.info/", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    redirects = spark.createDataFrame(
+        [("http://c.info/", "http://x.com/en/3"), ("http://d.info/", "http://example.com/en/7"), ("http://x.com/en/9", "http://e.info/")], "src string, dst string"
+    )
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, queries.URL_RULES, redirects=redirects).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
+
+
 def test_mixing(spark):
     docs = table(spark, SF, "documents")
     rows = docs.union(spark.createDataFrame([(9000, None, "en", None, 0), (9001, "a b " * 40_000, "en", None, 0), (9001, "a b " * 40_000, "en", None, 0), (None, "", "en", "zz", 0)], docs.schema))
