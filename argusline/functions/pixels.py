@@ -224,5 +224,6 @@ def hsv_histograms(h: Column, s: Column, v: Column, bins: int = 32) -> Column:
     parts = []
     for a, high in ((h, 180.0), (s, 256.0), (v, 256.0)):
         counts = histogram(a, 0.0, high, bins)
-        parts.append(F.transform(counts, lambda x, n=norm(counts): F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+        # A second parameter of the inner lambda would be the element's index.
+        parts.append(let(counts, lambda c: F.transform(c, lambda x: F.coalesce(F.try_divide(x, norm(c)), F.lit(0.0)))))
     return F.concat(*parts)

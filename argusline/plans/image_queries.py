@@ -255,15 +255,19 @@ def detect_anomalies(spark, d):
 
 @query("structural_embedding")
 def structural_embedding(spark, d):
-    """Blocks of edges and grays and three colour histograms of each order's pixels."""
+    """Blocks of edges and grays and three colour histograms of each supplier's pixels.
+
+    Every 64 rows are an 8 x 8 image, ``tile``; black pixels fill up the last.
+    """
     from pyspark.sql import Window as W
 
     h, s, v = P.to_hsv(F.col("r"), F.col("g"), F.col("b"))
-    n = F.row_number().over(W.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber"))
+    n = F.row_number().over(W.partitionBy("image_id").orderBy("l_orderkey", "l_linenumber", "r", "b")) - 1
     rows = B.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey AS image_id", "CAST(l_partkey % 256 AS INT) AS r", "CAST(l_suppkey * 7 % 256 AS INT) AS g", "CAST(CAST(l_quantity * 5 AS BIGINT) % 256 AS INT) AS b")
-    first = rows.withColumn("i", n).where("i <= 64").withColumns({"h": h, "s": s, "v": v, "gray": P.to_gray(F.col("r"), F.col("g"), F.col("b"))})
-    image = first.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "h", "s", "v", "gray"))).alias("p")).where(F.size("p") == 64)
+    pixels = rows.withColumn("i", n).withColumns({"h": h, "s": s, "v": v, "gray": P.to_gray(F.col("r"), F.col("g"), F.col("b"))})
+    image = pixels.groupBy("image_id", F.floor(F.col("i") / 64).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("i", "h", "s", "v", "gray"))).alias("p"))
+    image = image.select("image_id", "tile", *[F.concat(F.col(f"p.{c}"), F.array_repeat(F.lit(0.0), F.lit(64) - F.size("p"))).alias(c) for c in ("h", "s", "v", "gray")])
     eight = F.lit(8)
-    edges = F.transform(P.threshold(P.gradients(F.col("p.gray"), eight, eight), 150), lambda e: F.when(e, 255.0).otherwise(0.0))
-    vector = F.concat(P.block_means(edges, eight, eight, 2), P.block_means(F.col("p.gray"), eight, eight, 2), P.hsv_histograms(F.col("p.h"), F.col("p.s"), F.col("p.v")))
-    return image.select("image_id", F.posexplode(vector).alias("pos", "value")).withColumn("value", F.round("value", 5))
+    edges = F.transform(P.threshold(P.gradients(F.col("gray"), eight, eight), 150), lambda e: F.when(e, 255.0).otherwise(0.0))
+    vector = F.concat(P.block_means(edges, eight, eight, 2), P.block_means(F.col("gray"), eight, eight, 2), P.hsv_histograms(F.col("h"), F.col("s"), F.col("v")))
+    return image.select("image_id", "tile", F.posexplode(vector).alias("pos", "value")).withColumn("value", F.round("value", 5))

@@ -153,3 +153,33 @@ def test_feedback_reaches_the_next_batch(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         streams.feedback_loop(stream, str(tmp_path / "memory"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "memory")).count() == 5
+
+
+def test_structural_embedding_reads_every_row(spark):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from argusline.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    columns = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    rows = sorted(tuple(r[c] for c in columns) for r in pq.read_table(f"{d}/lineitem.parquet", columns=columns).to_pylist())
+    groups = {}
+    for supplier, order, line, part, quantity in rows:
+        r, g, b = part % 256, supplier * 7 % 256, int(quantity * 5) % 256
+        groups.setdefault(supplier, []).append(((order, line, r, b), 0.299 * r + 0.587 * g + 0.114 * b, max(r, g, b)))
+    want = {}
+    for supplier, pixels in groups.items():
+        pixels.sort()
+        for tile in range(-(-len(pixels) // 64)):
+            part = pixels[64 * tile : 64 * tile + 64]
+            gray, high = (np.array([p[k] for p in part] + [0.0] * (64 - len(part))) for k in (1, 2))
+            counts = np.bincount((high // 8).astype(int), minlength=32)
+            want[supplier, tile] = np.r_[gray.reshape(4, 2, 4, 2).mean(axis=(1, 3)).ravel() / 255, counts / np.linalg.norm(counts)]
+    got = {}
+    for r in catalog.QUERIES["structural_embedding"](spark, d).collect():
+        got.setdefault((r.image_id, r.tile), {})[r.pos] = r.value
+    assert sum(map(len, groups.values())) == len(rows) and set(got) == set(want)
+    for k, values in got.items():
+        assert sorted(values) == list(range(128))
+        assert np.abs([values[i] for i in [*range(16, 32), *range(96, 128)]] - want[k]).max() < 1e-4
