@@ -19,12 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only if none is set."""
+    """The folder for intermediate tables.
+
+    A temporary one is made only in a local session that names none; on a
+    cluster the executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="argusline-checkpoint-")
-        sc.setCheckpointDir(folder)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="argusline-checkpoint-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
@@ -33,27 +38,29 @@ class Stages:
     """Intermediate tables of one operator run, written once and read back.
 
     ``write`` materialises a DataFrame and returns it with its lineage cut;
-    ``drop`` deletes tables that no later step reads.
+    ``drop`` deletes tables that no later step reads.  What a returned, still
+    lazy result reads stays until the folder is cleared with the cluster's
+    checkpoint folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the frame is held, so its id stays its own
 
-    def write(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, label: str = "t", **options: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = self.paths.pop(id(df), None)
+            _, path = self.paths.pop(id(df), (None, None))
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
@@ -62,7 +69,8 @@ class Stages:
         """Let the context cleaner drop shuffle files of finished jobs now.
 
         The cleaner acts on driver garbage collection only; a long loop would
-        otherwise keep every round's shuffle files until its end.
+        otherwise keep every round's shuffle files until its end (a cluster may
+        set ``spark.cleaner.periodicGC.interval`` instead).
         """
         self.spark._jvm.System.gc()
 

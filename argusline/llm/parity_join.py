@@ -15,17 +15,22 @@ word shingles.  The join finds every link without comparing all pairs:
   out unless a set has more than ``slack`` of them: of two linked sets either
   one has at most ``slack``, and then they share a filled word, or both state
   their empty words.  Nothing is lost.
-* **Verification.**  Within a shared word, a pivot is verified against the
-  others first (two rounds with different pivots), and components are formed.
-  Only members of *different* components are compared further, in blocks, by
-  bit-level parity sketches, whose Hamming distance is a lower bound too; the
-  pairs that remain are verified on the whole sets.  A group of thousands of
-  copies thus costs a star, not all pairs, and no link between components is
-  lost.
-
-Equal sets are one class from the start.  Shingles are compared by 64-bit
-hashes.  Rows with a null id return a null component; rows that share an id
-are one node; empty texts link with nothing.
+* **Verification.**  Candidate pairs are sifted by bit-level parity sketches,
+  whose Hamming distance is a lower bound too; those that remain are verified
+  on the whole sets.
+
+For components a pivot of each group is verified against the others first, in
+two rounds, and only members of *different* components go on.  Groups of up to
+``BLOCK`` members are then compared by their bits.  Members of larger groups
+are grouped anew by their rarest shingles, in narrow bands of sizes: of the
+shingles in one order that all sets share, two linked sets have one in common
+among so many first ones that the others would not suffice.  A shingle that
+one member alone has makes no group, so near copies that differ too much to
+link are not even candidates.  What is still large then is cut into blocks and
+compared block by block, so that no link is lost, whatever the data.
+
+Equal sets are one class from the start, represented by one row.  Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,21 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusline.llm.common import Stages
 from argusline.llm.components import components
-from argusline.llm.shingles import WordHashes, digests, mix, shingle_set
+from argusline.llm.shingles import WordHashes, digests, mix, shingle_sets
 
-#: Members of a block when groups are compared across components.
-BLOCK = 256
-#: Smallest group keys that a member carries to find the first shared one.
-FIRST_KEYS = 16
-#: Texts whose digest a task remembers, to state copies once.
-SEEN = 500_000
-#: Ids that may be broadcast; above it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Members of a group that are compared at once.
+BLOCK = 64
+#: Narrow bands in the range of smaller sizes that a set may link to.
+NARROW = 8
+#: Texts whose digest a task remembers, to state the sets of copies once.
+SEEN = 200_000
+#: Texts and characters that are worked on at once.
+SLICE, SLICE_CHARS = 256, 1 << 20
 
 
 def _likely_empty(n: int, k: int, slack: int) -> bool:
@@ -72,6 +79,7 @@ class Bands:
         self.num, self.den = num, den
         self.low: list[int] = [1]
         self.plan: list[tuple[int, int, int]] = []
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
 
     def _grow(self, n: int) -> None:
         while self.low[-1] <= n or len(self.plan) < len(self.low) - 1:
@@ -85,10 +93,12 @@ class Bands:
             self.low.append(high)
 
     def of(self, n: int) -> list[tuple[int, int, int]]:
+        if n in self.known:
+            return self.known[n]
         self._grow(n)
         least = -(-n * self.num // self.den)
         i = int(np.searchsorted(self.low, n, side="right")) - 1
-        out = []
+        out = self.known[n] = []
         while i >= 0 and self.low[i + 1] - 1 >= least:
             d, k, slack = self.plan[i]
             if d:  # with d = 0 only equal sets link
@@ -97,36 +107,59 @@ class Bands:
         return out
 
 
-def words_of(s: np.ndarray, band: int, k: int, slack: int) -> np.ndarray:
-    """Keys of the filled words of a sketch, and of the empty ones if many."""
-    at = (mix(s + np.uint64(band)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-    order = np.argsort(at, kind="stable")
-    at, s = at[order], s[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    value, where = np.bitwise_xor.reduceat(s, first), at[first]
-    if k - len(where) > slack:
-        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), where)
-        value, where = np.r_[value, np.zeros(len(empty), np.uint64)], np.r_[where, empty]
-    return mix(value ^ mix(where + np.uint64(band << 32)))
+def words_of(sets: list[np.ndarray], band: int, k: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the filled words of each set's sketch, and of the empty ones if many.
 
+    Returns the keys and how many each set has.
+    """
+    s = np.concatenate(sets)
+    place = np.repeat(np.arange(len(sets)) * k, [len(x) for x in sets])
+    place += ((mix(s + np.uint64(band)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+    value = np.zeros(len(sets) * k, np.uint64)
+    np.bitwise_xor.at(value, place, s)
+    filled = (np.bincount(place, minlength=len(value)) > 0).reshape(-1, k)
+    stated = filled | (k - filled.sum(axis=1) > slack)[:, None]
+    keys = mix(value.reshape(-1, k) ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32)))
+    return keys[stated], stated.sum(axis=1)
+
+
+def bit_sketches(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set, 8 to 16 for each ninth shingle, a power of two long.
+
+    Returns 64-bit words and how many each set has.
+    """
+    m = np.array([1 << max(6, int(n * 8 / 9).bit_length()) for n in sizes.tolist()], np.int64)
+    begin = np.cumsum(m) - m
+    at = (mix(flat ^ np.uint64(0xA5A5)) & np.repeat(m - 1, sizes).astype(np.uint64)).astype(np.int64)
+    bits = np.bincount(at + np.repeat(begin, sizes), minlength=int(m.sum())) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64), m // 64
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray, given: np.ndarray | None = None) -> pa.ListArray:
+    """64-bit lists of the given sizes; null where not ``given`` (of size 0 there)."""
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    mask = None if given is None else pa.array(~given)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)), mask=mask)
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """Bit sketch, 8 to 16 bits for each ninth shingle, a power of two long."""
-    m = 1 << max(6, int(len(s) * 8 / 9).bit_length())
-    bits = np.bincount((mix(s ^ np.uint64(0xA5A5)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold few texts and, but for single texts, few characters."""
+    at = chars = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()):
+        if i > at and (i - at >= SLICE or chars + n > SLICE_CHARS):
+            yield b.slice(at, i - at)
+            at, chars = i, 0
+        chars += n
+    if at < b.num_rows:
+        yield b.slice(at)
 
-def _hamming(a: bytes, b: bytes) -> int:
-    """Distance of two bit sketches, the longer folded onto the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) != len(y):
-        # The place of a bit is its hash modulo the length, so halves fold.
-        if len(x) > len(y):
-            x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-        else:
-            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+
+def _folded(x: str, y: str) -> str:
+    """SQL: ``x`` folded to the length of ``y`` if it is twice as long.
+
+    The place of a bit is its hash modulo the length, so halves fold.
+    """
+    return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
 
 
 class ParityJoin:
@@ -140,75 +173,73 @@ class ParityJoin:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.width, self.num, self.den = width, num, den
         self.stages = Stages(self.spark, "parity-join")
+        st = self.stages
+        self.texts = st.write(self.sets(), "texts", **{"parquet.enable.dictionary": "false"})
+        # The first row of equal sets represents them; it always holds the set.
+        told = self.texts.where("doc_id IS NOT NULL AND n > 0")
+        self.classes = st.write(told.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("first"), F.min("n").alias("n")), "classes")
 
-    # -- passes over the texts -------------------------------------------------
-    def heads(self) -> DataFrame:
-        """A row for each document: doc_id, n, d1, d2."""
-        width = self.width
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for b in batches:
-                sets = (shingle_set(t, width, words) for t in b.column("text").to_pylist())
-                rows = [(len(s), *digests(s)) for s in sets]
-                n, d1, d2 = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
-
-        return self.docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
-
-    def keys(self) -> DataFrame:
-        """Sketch words of every text: key, h (the text's first digest)."""
-        width, num, den = self.width, self.num, self.den
+    # -- the pass over the texts -----------------------------------------------
+    def sets(self) -> DataFrame:
+        """A row for each document: row, doc_id, n, d1, d2, and bits and items.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, bands, seen = WordHashes(), Bands(num, den), set()
-            for b in batches:
-                keys, hs, held = [], [], 0
-                for t in b.column("text").to_pylist():
-                    s = shingle_set(t, width, words)
-                    if not len(s):
-                        continue
-                    h, _ = digests(s)
-                    if h in seen:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(h)
-                    for band, k, slack in bands.of(len(s)):
-                        w = words_of(s, band, k, slack)
-                        keys.append(w.view(np.int64))
-                        hs.append(np.full(len(w), h, np.int64))
-                        held += len(w)
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hs))], ["key", "h"])
-                        keys, hs, held = [], [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(hs))], ["key", "h"])
-
-        return self.docs.select("text").mapInArrow(run, "key long, h long")
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """Whole sets of the documents in ``wanted`` (cid): cid, n, bits, items."""
+        Copies of a text that the task has seen before hold no bits and items.
+        """
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    sets = [shingle_set(t, width, words) for t in part.column("text").to_pylist()]
+            words, seen, row = WordHashes(200_000), set(), TaskContext.get().partitionId() << 40
+            for whole in batches:
+                for b in _slices(whole):
+                    flat, sizes = shingle_sets(b.column("text").to_pylist(), width, words)
+                    ends = np.cumsum(sizes)
+                    sets = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                    marks = [digests(s) for s in sets]
+                    new = np.zeros(len(sets), bool)
+                    for i, (doc, d) in enumerate(zip(b.column("doc_id").to_pylist(), marks, strict=True)):
+                        if doc is not None and sizes[i] and d not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(d)
+                            new[i] = True
+                    held = np.concatenate([s for s, x in zip(sets, new, strict=True) if x] or [flat[:0]])
+                    kept = np.where(new, sizes, 0)
+                    bits, many = bit_sketches(held, sizes[new])
+                    count = np.zeros(len(sets), np.int64)
+                    count[new] = many
+                    d1, d2 = (pa.array([d[i] for d in marks], pa.int64()) for i in (0, 1))
+                    rows = pa.array(np.arange(row, row + len(sets)))
+                    row += len(sets)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digests(s)[0] for s in sets], pa.int64()), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                        ["cid", "n", "h", "bits", "items"],
+                        [rows, b.column("doc_id"), pa.array(sizes), d1, d2, _lists(bits, count, new), _lists(held, kept, new)],
+                        ["row", "doc_id", "n", "d1", "d2", "bits", "items"],
                     )
 
-        few = wanted.count() <= BROADCAST_IDS
-        side = F.broadcast(wanted) if few else wanted
-        docs = self.docs.join(side, self.docs["doc_id"] == side["cid"], "left_semi")
-        return docs.mapInArrow(run, "cid long, n long, h long, bits binary, items binary")
+        return self.docs.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, bits array<long>, items array<long>")
+
+    def keys(self) -> DataFrame:
+        """Sketch words of every set: key, h (the set's first digest)."""
+        num, den = self.num, self.den
 
-    # -- groups of texts that share a sketch word ------------------------------
-    def groups(self, classes: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bands = Bands(num, den)
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    b = whole.slice(at, SLICE)
+                    flat, offsets = b.column("items").values.to_numpy().view(np.uint64), b.column("items").offsets.to_numpy()
+                    h, own = b.column("d1").to_numpy(), {}
+                    for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                        for plan in bands.of(y - x):
+                            own.setdefault(plan, []).append((i, flat[x:y]))
+                    for plan, members in own.items():
+                        keys, many = words_of([s for _, s in members], *plan)
+                        hs = np.repeat(h[[i for i, _ in members]], many)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hs)], ["key", "h"])
+
+        return self.texts.where("items IS NOT NULL").select("d1", "items").mapInArrow(run, "key long, h long")
+
+    # -- groups of sets that share a sketch word -------------------------------
+    def groups(self) -> DataFrame:
         """key, cid of every sketch word that two or more classes share.
 
         Rows are dealt by key and sorted, so that a task sees a key's members
@@ -235,149 +266,206 @@ class ParityJoin:
                 last_key, last_h, open_ = key[-1], h[-1], bool(keep[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_h)], ["key", "h"])
 
-        found = self.stages.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words")
+        st = self.stages
+        found = st.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words")
+        st.release()
         # Keys with the same members say the same: one of them is enough.
         sign = found.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"), F.min("h").alias("z"))
         one = sign.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")).select("key")
-        out = self.stages.write(found.join(one, "key", "left_semi").join(classes.select(F.col("d1").alias("h"), "cid"), "h").select("key", "cid"), "groups")
-        self.stages.drop(found)
+        out = st.write(found.join(one, "key", "left_semi").join(self.classes.select(F.col("d1").alias("h"), "cid", "n"), "h").select("key", "cid", "n"), "groups")
+        st.drop(found)
         return out
 
+    def refined(self, members: DataFrame) -> DataFrame:
+        """key, cid, n: groups of ``members`` (cid, n) by rare shingles.
+
+        In the order of their counts among the members, shingles of one member
+        first, linked sets of ``n <= m`` shingles share at least
+        ``num * (n + m) / (num + den)`` of them, so one is among the first
+        ``m + 1`` less so many of the larger set, and of the smaller set too.
+        A set states its first shingles for every narrow band of sizes that a
+        smaller partner may have, counted for the smallest size in it.
+        """
+        st, num, den = self.stages, self.num, self.den
+        step = (den / num) ** (1 / NARROW)
+        told = members.join(self.texts.select("row", "items"), F.col("cid") == F.col("row")).select("cid", "n", F.explode("items").alias("item"))
+        told = st.write(told, "items")
+        shared = told.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+        kept = st.write(told.join(shared, "item"), "shared")
+        st.drop(told)
+        # Few shingles of a set stand first, so an array of them is small.
+        own = kept.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("items"))
+        most = F.expr(f"n + 1 - (({num} * n + {den - 1}) div {den})")
+        rows = own.select("cid", "n", (F.col("n") - F.size("items")).alias("alone"), F.expr("items").alias("items"), most.alias("most"))
+        rows = rows.where("most > alone").select("cid", "n", "alone", F.posexplode(F.slice("items", 1, F.greatest(F.lit(1), F.col("most") - F.col("alone")).cast("int"))).alias("at", "x"))
+        place = F.col("alone") + F.col("at") + 1
+        # A size is in the band of the largest power of `step` up to it.
+        band = lambda size: F.floor(F.log(size) / math.log(step) + 1e-9).cast("int")
+        rows = rows.select("cid", "n", place.alias("place"), "x.item", F.explode(F.sequence(band(F.ceil(F.col("n") * num / den)) - 1, band(F.col("n")))).alias("band"))
+        low = F.floor(F.pow(F.lit(step), F.col("band")) - 1e-6)
+        rows = rows.where(F.col("place") <= F.col("n") + 1 - F.ceil(num * (low + F.col("n")) / (num + den) - 1e-6))
+        return st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined")
+
     # -- verification -----------------------------------------------------------
-    def sift(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def sift(self, pairs: DataFrame) -> DataFrame:
         """Pairs that the sizes and the bit sketches allow to link."""
         num, den = self.num, self.den
+        side = lambda i, n, o: self.texts.select(F.col("row").alias(i), F.col("n").alias(n), F.col("bits").alias(o))
+        both = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a")
+        apart = f"aggregate(zip_with({_folded('x', 'y')}, {_folded('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, p) -> s + p)"
+        return both.where(f"least(n, m) * {den} >= {num} * greatest(n, m)").where(f"{apart} * {den + num} <= {den - num} * (n + m)").select("a", "b")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n, m, x, y = (b.column(c).to_pylist() for c in ("n", "m", "x", "y"))
-                ok = [
-                    min(s, t) * den >= num * max(s, t) and _hamming(p, q) * (den + num) <= (den - num) * (s + t)
-                    for s, t, p, q in zip(n, m, x, y, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        side = lambda i, n, o: sets.select(F.col("cid").alias(i), F.col("n").alias(n), F.col("bits").alias(o))
-        return pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those that link, on whole sets."""
         num, den = self.num, self.den
+        side = lambda i, o: self.texts.select(F.col("row").alias(i), F.col("items").alias(o))
+        both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+        return both.where(f"{den} * common >= {num} * (all - common)").select("a", "b")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    if min(len(s), len(t)) * den < num * max(len(s), len(t)):
-                        ok.append(False)
-                        continue
-                    common = len(s) + len(t) - len(np.union1d(s, t))
-                    ok.append(den * common >= num * (len(s) + len(t) - common))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        side = lambda i, o: sets.select(F.col("cid").alias(i), F.col("items").alias(o))
-        return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-    def across(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
-        """Candidate pairs of different components within a group.
-
-        Large groups are cut into blocks; a cell holds two blocks and gives
-        out only pairs that the sizes and the bit sketches allow.  Similar texts
-        share many groups: a pair is given in the first of them.  Members carry
-        their first few keys for that; if those have none in common, the pair
-        is given in each group and made distinct afterwards.
+    def cells(self, groups: DataFrame) -> DataFrame:
+        """Pairs of differently labelled members of a group, as the bits allow.
+
+        ``groups`` has key, cid, n, label.  A group of more than ``BLOCK``
+        members is cut into blocks, and a cell holds two of them.
         """
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                outs = []
-                for key, i, j, cell in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "cell")), strict=True):
-                    for r in cell:
-                        r["keys"] = set(r["keys"])
-                    left, right = [r for r in cell if r["blk"] == i], [r for r in cell if r["blk"] == j]
-                    for p, r in enumerate(left):
-                        for q in left[p + 1 :] if i == j else right:
-                            s, t = sorted((r["n"], q["n"]))
-                            if r["label"] != q["label"] and s * den >= num * t and _hamming(r["bits"], q["bits"]) * (den + num) <= (den - num) * (s + t):
-                                common = r["keys"] & q["keys"]
-                                if common and key != min(common):
-                                    continue
-                                outs.append(sorted((r["cid"], q["cid"])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in outs], pa.int64()), pa.array([o[1] for o in outs], pa.int64())], ["a", "b"])
-
-        own = groups.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
+                outs = [np.empty((2, 0), np.int64)]
+                for i, j, cell in zip(*(b.column(c).to_pylist() for c in ("i", "j", "cell")), strict=True):
+                    cid, label, n, blk = (np.array([r[c] for r in cell], np.int64) for c in ("cid", "label", "n", "blk"))
+                    wide = min(len(r["bits"]) for r in cell)
+                    # Longer sketches are folded, which keeps the bound.
+                    bits = np.stack([np.bitwise_xor.reduce(np.array(r["bits"], np.int64).view(np.uint64).reshape(-1, wide), axis=0) for r in cell])
+                    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+                    for p in left.tolist():
+                        q = right[right > p] if i == j else right
+                        q = q[(label[q] != label[p]) & (np.minimum(n[q], n[p]) * den >= num * np.maximum(n[q], n[p]))]
+                        apart = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64)
+                        q = q[apart * (den + num) <= (den - num) * (n[q] + n[p])]
+                        outs.append(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])]))
+                a, c = np.concatenate(outs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
         size = groups.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-        placed = groups.join(size, "key").select("key", "cid", "label", "blocks", F.pmod(F.hash("cid"), "blocks").alias("blk"))
-        cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            "key", "cid", "label", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")
+        placed = groups.join(size, "key").withColumn("blk", F.pmod(F.hash("cid"), "blocks"))
+        # A group of one block, as nearly all are, is not dealt any further.
+        single = placed.where("blocks = 1").select("key", "cid", "label", "n", "blk", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        many = placed.where("blocks > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "key", "cid", "label", "n", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")
         )
-        rows = cells.join(sets.select("cid", "n", "bits"), "cid").join(own, "cid")
-        whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits", "keys")).alias("cell"))
-        return whole.select("key", "i", "j", "cell").mapInArrow(run, "a long, b long").distinct()
-
-    def components(self, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(classes: d1, d2, cid, n; roots: cid, root of every linked class)."""
+        rows = single.union(many).join(self.texts.select(F.col("row").alias("cid"), "bits"), "cid")
+        whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits")).alias("cell"))
+        return whole.select("i", "j", "cell").mapInArrow(run, "a long, b long").distinct()
+
+    # -- components -------------------------------------------------------------
+    def shared_ids(self) -> DataFrame:
+        """Links a, b between the classes of texts that share an id."""
+        told = self.texts.where("doc_id IS NOT NULL AND n > 0").join(self.classes, ["d1", "d2"]).select("doc_id", "cid")
+        least = told.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("doc_id", "a")
+        return told.join(least, "doc_id").where("cid != a").select("a", F.col("cid").alias("b")).distinct()
+
+    def roots(self) -> DataFrame:
+        """cid, root of every class that is linked with others."""
         st = self.stages
-        classes = st.write(heads.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("n").alias("n")), "classes")
-        groups = self.groups(classes)
-        st.release()
-        wanted = st.write(groups.select("cid").distinct(), "wanted")
-        known = classes.select("cid", F.col("d1").alias("h"))
-        sets = st.write(self.sets(wanted).join(known, ["cid", "h"], "left_semi").dropDuplicates(["cid", "h"]), "sets")
-        st.release()
-        links, tested = None, None
-        held = [groups, sets]
-        roots = st.write(wanted.select("cid", F.col("cid").alias("root")), "roots")
-        # Rows that share an id are one node: their classes compare as separate sets under it.
-        for turn in range(3):  # after the last, every pair of different components has been compared
-            now = groups.join(roots, "cid").select("key", "cid", F.col("root").alias("label"))
-            live = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pivot"), F.min_by("label", F.xxhash64("cid", F.lit(turn))).alias("plabel")).where("lo < hi")
-            active = st.write(now.join(live, "key").select("key", "cid", "label", "pivot", "plabel"), "active")
-            held.append(active)
-            if active.isEmpty():
-                break
-            if turn < 2:
-                pairs = active.where("label != plabel").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-            else:
-                pairs = self.across(active.select("key", "cid", "label"), sets)
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        forest = components(self.shared_ids(), "a", "b", st).withColumnRenamed("node", "cid")
+        forest = st.write(forest, "roots")
+
+        def labelled(groups: DataFrame) -> DataFrame:
+            """Members of groups with the component that each is in."""
+            return groups.join(forest, "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("label"))
+
+        def live(groups: DataFrame, turn: int) -> DataFrame:
+            """Members of the groups that still hold different components."""
+            now, mark = labelled(groups), F.xxhash64("cid", F.lit(turn))
+            split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min_by("cid", mark).alias("pivot"), F.min_by("label", mark).alias("plabel")).where("lo < hi").drop("lo", "hi")
+            return st.write(now.join(split, "key"), "active")
+
+        def linked(pairs: DataFrame) -> bool:
+            """Takes the links among candidate pairs into the forest."""
+            nonlocal forest
             pairs = st.write(pairs, "pairs")
-            # Whole sets are moved only for pairs that the sketches leave.
-            left = st.write(self.sift(pairs, sets), "left")
-            good = st.write(self.verify(left, sets).distinct(), "links")
-            st.drop(left)
+            left = st.write(self.sift(pairs), "left")
+            good = st.write(self.verify(left).distinct(), "links")
+            st.drop(pairs, left)
             st.release()
-            tested = pairs if tested is None else tested.union(pairs)
-            groups = active.select("key", "cid")
             if good.isEmpty():
-                continue
-            links = good if links is None else links.union(good)
-            found = components(links, "a", "b", st)
-            roots = st.write(wanted.join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "roots")
+                return False
+            name = lambda df, c: df.join(forest.select(F.col("cid").alias(c), F.col("root").alias(f"{c}r")), c, "left").withColumn(c, F.coalesce(f"{c}r", c)).drop(f"{c}r")
+            above = components(name(name(good, "a"), "b"), "a", "b", st).withColumnRenamed("node", "cid")
+            higher = forest.join(above.select(F.col("cid").alias("root"), F.col("root").alias("top")), "root", "left").select("cid", F.coalesce("top", "root").alias("root"))
+            forest = st.write(higher.union(above.join(forest, "cid", "left_anti").select("cid", "root")), "roots")
             st.release()
-        st.drop(*[t for t in held if t is not roots])
-        return classes, roots
+            return True
+
+        groups = self.groups()
+        st.release()
+        for last in (False, True):
+            for turn in range(2):
+                active = live(groups, turn)
+                linked(active.where("label != plabel").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
+                st.drop(groups)
+                groups = active.select("key", "cid", "n")
+            active = live(groups, 2)
+            if active.isEmpty():
+                break
+            small = active if last else active.where(F.col("m") <= BLOCK)
+            linked(self.cells(small.select("key", "cid", "n", "label")))
+            large = active.where(F.col("m") > BLOCK).select("key", "cid", "n")
+            if last or large.isEmpty():
+                break
+            groups = self.refined(live(large, 3).select("cid", "n").distinct())
+        return forest
+
+    def links(self) -> DataFrame:
+        """a, b: every pair of linked classes (``cid`` of ``classes``), a < b.
+
+        Near copies of different texts all link with each other, so there may
+        be many; equal texts are one class and are not expanded.
+        """
+        st, groups = self.stages, self.groups()
+        m = groups.groupBy("key").agg(F.count("*").alias("m"))
+        sized = st.write(groups.join(m, "key").withColumn("label", F.col("cid")), "sized")
+        pairs = self.cells(sized.where(F.col("m") <= BLOCK))
+        large = self.refined(sized.where(F.col("m") > BLOCK).select("cid", "n").distinct())
+        pairs = pairs.union(self.cells(large.withColumn("label", F.col("cid"))))
+        return self.verify(st.write(pairs.distinct(), "pairs"))
+
+    def membership(self) -> DataFrame:
+        """doc_id, cid of every row with an id and words."""
+        return self.texts.where("doc_id IS NOT NULL AND n > 0").join(self.classes, ["d1", "d2"]).select("doc_id", "cid")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row of the documents."""
-        heads = self.stages.write(self.heads(), "heads")
-        classes, roots = self.components(heads)
-        top = classes.join(roots, "cid", "left").select("d1", "d2", F.coalesce("root", "cid").alias("component_id"))
-        # An id of several texts joins their classes.
-        named = heads.where("n > 0").join(top, ["d1", "d2"], "left")
-        out = named.unionByName(heads.where("n = 0").withColumn("component_id", F.col("doc_id")))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        roots = self.roots()
+        joined = self.classes.join(roots, "cid")
+        least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+        top = joined.join(least, "root").select("d1", "d2", "component_id").unionByName(self.classes.join(roots, "cid", "left_anti").select("d1", "d2", F.col("first").alias("component_id")))
+        top = self.stages.write(top, "components")
+        told = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        out = self.texts.where(told).join(top, ["d1", "d2"]).select("doc_id", "n", "component_id")
+        rest = self.texts.where(~told).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        return out.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links.  Null ids give a
-    null component; null and empty texts link with nothing; repeated rows give
-    repeated results; an empty table gives an empty result.  Other columns of
-    ``docs`` are not read, so their names cannot clash.
+    null component; null and empty texts link with nothing; rows that share an
+    id are one node; repeated rows give repeated results; an empty table gives
+    an empty result.  Other columns of ``docs`` are not read, so their names
+    cannot clash.
     """
     return ParityJoin(docs, id_col, text_col, width, num, den).run()
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every link between different texts, and who has them.
+
+    Links are pairs a < b of class numbers; membership gives each row's class
+    number.  Rows without an id or words are in neither.
+    """
+    join = ParityJoin(docs, id_col, text_col, width, num, den)
+    return join.links(), join.membership()

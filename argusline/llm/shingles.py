@@ -37,19 +37,37 @@ def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
     A-Z are lower-cased and words are split at ASCII white space.  A text with
     fewer words is one shingle of all of them; without words the set is empty.
     """
-    # bytes.lower and bytes.split act on ASCII only, as wanted.
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((words[w] for w in parts), np.uint64, len(parts))
-    wide = min(width, len(h))
+    flat, _ = shingle_sets([text], width, words)
+    return flat
+
+
+def _rolled(h: np.ndarray, wide: int) -> np.ndarray:
+    """Hashes of every ``wide`` values in a row, one for each start."""
     n = len(h) - wide + 1
     out = np.zeros(n, np.uint64)
     for i in range(wide):
         out = mix((out + _GOLD) ^ h[i : i + n])
-    if wide < width:
-        out = mix(out + np.uint64(wide))
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[str | None], width: int, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of several texts one after the other, and how large each is."""
+    # bytes.lower and bytes.split act on ASCII only, as wanted.
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    long = np.array([len(p) for p in parts], np.int64)
+    h = np.fromiter((words[w] for p in parts for w in p), np.uint64, int(long.sum()))
+    # Windows over all texts at once; those that cross an end are left out.
+    rolled = _rolled(h, width) if len(h) >= width else h[:0]
+    ends, out = np.cumsum(long), []
+    for n, end in zip(long.tolist(), ends.tolist(), strict=True):
+        if n >= width:
+            s = np.sort(rolled[end - n : end - width + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        elif n:
+            out.append(mix(_rolled(h[end - n : end], n) + np.uint64(n)))
+        else:
+            out.append(h[:0])
+    return np.concatenate(out) if out else h, np.array([len(s) for s in out], np.int64)
 
 
 def digests(s: np.ndarray) -> tuple[int, int]:

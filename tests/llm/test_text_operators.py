@@ -266,3 +266,43 @@ def test_long_matches_grow_over_many_rounds(spark, monkeypatch):
     for i, r in got.items():
         body = text[i][r.start : r.start + r.length]
         assert p in body.decode() and text[1][r.first_start : r.first_start + r.length] == body
+
+
+def brute_links(rows, width, num):
+    sets = {t: {tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for _, t in rows}
+    texts = sorted(sets)
+    return {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if len(sets[a] & sets[b]) * 100 >= num * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_similar_pairs_lose_no_link(spark, monkeypatch, block):
+    """Near copies on both sides of the threshold, in groups above and below a block."""
+    import random
+
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    rnd, rows = random.Random(8), []
+    for g in range(4):
+        base = [f"g{g}w{rnd.randrange(500)}" for _ in range(120 + 60 * g)]
+        for k in range(25):
+            w = list(base)
+            for _ in range(rnd.randrange(6)):
+                w[rnd.randrange(len(w))] = f"z{rnd.randrange(50)}"
+            rows.append((g * 100 + k, " ".join(w[: len(w) - rnd.randrange(12)])))
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    want = brute_links(rows, 3, 90)
+    links, members = parity_join.similar_pairs(docs_of(spark, rows), width=3, num=90)
+    text = dict(rows)
+    of = defaultdict(set)
+    for r in members.collect():
+        of[r.cid].add(text[r.doc_id])
+    assert all(len(x) == 1 for x in of.values()) and members.count() == len(rows)
+    got = {tuple(sorted((*of[r.a], *of[r.b]))) for r in links.collect()}
+    assert len(want) > 100 and got == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.near_duplicates(docs_of(spark, rows), width=3, num=90).collect()} == brute_components(rows, 3, 90)
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, a), (9, b), (11, "c d e f"), (11, "c d e f"), (11, "x y z")]
+    got = {(r.doc_id, r.component_id) for r in parity_join.near_duplicates(docs_of(spark, rows), width=3, num=90).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (11, 11)}
