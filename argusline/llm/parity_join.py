@@ -57,6 +57,8 @@ NARROW = 8
 SEEN = 200_000
 #: Texts and characters that are worked on at once.
 SLICE, SLICE_CHARS = 256, 1 << 20
+#: Hashes do not repeat enough for dictionaries.
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 
 def _likely_empty(n: int, k: int, slack: int) -> bool:
@@ -174,7 +176,7 @@ class ParityJoin:
         self.width, self.num, self.den = width, num, den
         self.stages = Stages(self.spark, "parity-join")
         st = self.stages
-        self.texts = st.write(self.sets(), "texts", **{"parquet.enable.dictionary": "false"})
+        self.texts = st.write(self.sets(), "texts", **PLAIN)
         # The first row of equal sets represents them; it always holds the set.
         told = self.texts.where("doc_id IS NOT NULL AND n > 0")
         self.classes = st.write(told.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("first"), F.min("n").alias("n")), "classes")
@@ -197,10 +199,11 @@ class ParityJoin:
                     marks = [digests(s) for s in sets]
                     new = np.zeros(len(sets), bool)
                     for i, (doc, d) in enumerate(zip(b.column("doc_id").to_pylist(), marks, strict=True)):
-                        if doc is not None and sizes[i] and d not in seen:
+                        both = d[0] << 64 | d[1] & (1 << 64) - 1
+                        if doc is not None and sizes[i] and both not in seen:
                             if len(seen) >= SEEN:
                                 seen.clear()
-                            seen.add(d)
+                            seen.add(both)
                             new[i] = True
                     held = np.concatenate([s for s, x in zip(sets, new, strict=True) if x] or [flat[:0]])
                     kept = np.where(new, sizes, 0)
@@ -318,9 +321,15 @@ class ParityJoin:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those that link, on whole sets."""
         num, den = self.num, self.den
-        side = lambda i, o: self.texts.select(F.col("row").alias(i), F.col("items").alias(o))
+        # Few classes are in pairs at this point: only their sets are moved.
+        st = self.stages
+        named = st.write(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "named")
+        own = st.write(self.texts.select("row", "items").join(named, "row", "left_semi"), "own", **PLAIN)
+        side = lambda i, o: own.select(F.col("row").alias(i), F.col("items").alias(o))
         both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-        return both.where(f"{den} * common >= {num} * (all - common)").select("a", "b")
+        good = st.write(both.where(f"{den} * common >= {num} * (all - common)").select("a", "b").distinct(), "links")
+        st.drop(named, own)
+        return good
 
     def cells(self, groups: DataFrame) -> DataFrame:
         """Pairs of differently labelled members of a group, as the bits allow.
@@ -387,7 +396,7 @@ class ParityJoin:
             nonlocal forest
             pairs = st.write(pairs, "pairs")
             left = st.write(self.sift(pairs), "left")
-            good = st.write(self.verify(left).distinct(), "links")
+            good = self.verify(left)
             st.drop(pairs, left)
             st.release()
             if good.isEmpty():
