@@ -20,14 +20,13 @@ word shingles.  The join finds every link without comparing all pairs:
   on the whole sets.
 
 For components a pivot of each group is verified against the others first, in
-two rounds, and only members of *different* components go on.  Groups of up to
+a round or two, and only members of *different* components go on.  Groups of up to
 ``BLOCK`` members are then compared by their bits.  Members of larger groups
-are grouped anew by their rarest shingles, in narrow bands of sizes: of the
-shingles in one order that all sets share, two linked sets have one in common
-among so many first ones that the others would not suffice.  A shingle that
-one member alone has makes no group, so near copies that differ too much to
-link are not even candidates.  What is still large then is cut into blocks and
-compared block by block, so that no link is lost, whatever the data.
+that are not in their group's largest component seek partners anew by their
+rarest shingles: so many of them that the rest would not suffice for a link.
+Shingles that nobody else has make no group, so near copies that differ too
+much to link are not even candidates.  What is still large then is cut into
+blocks and compared block by block, so that no link is lost, whatever the data.
 
 Equal sets are one class from the start, represented by one row.  Shingles are
 compared by 64-bit hashes.
@@ -53,6 +52,8 @@ from argusline.llm.shingles import WordHashes, digests, mix, shingle_sets
 BLOCK = 64
 #: Narrow bands in the range of smaller sizes that a set may link to.
 NARROW = 8
+#: Counters of shingles that say which are rare.
+BUCKETS = 1 << 18
 #: Texts whose digest a task remembers, to state the sets of copies once.
 SEEN = 200_000
 #: Texts and characters that are worked on at once.
@@ -279,35 +280,52 @@ class ParityJoin:
         st.drop(found)
         return out
 
-    def refined(self, members: DataFrame) -> DataFrame:
-        """key, cid, n: groups of ``members`` (cid, n) by rare shingles.
-
-        In the order of their counts among the members, shingles of one member
-        first, linked sets of ``n <= m`` shingles share at least
-        ``num * (n + m) / (num + den)`` of them, so one is among the first
-        ``m + 1`` less so many of the larger set, and of the smaller set too.
-        A set states its first shingles for every narrow band of sizes that a
-        smaller partner may have, counted for the smallest size in it.
+    def refined(self, members: DataFrame, seekers: DataFrame) -> DataFrame:
+        """key, cid, n: groups of ``members`` (cid, n) by rare shingles of ``seekers``.
+
+        Sets of ``n`` and ``m`` shingles that link have at least
+        ``num * (n + m) / (num + den)`` of them in common, so of any ``n + 1``
+        less so many of one set the other has one.  Seekers, which are members
+        too, take the rarest for that, as many as partners in each of some
+        narrow bands of sizes make needed; members with such a shingle and a
+        size in its band join them.  How rare a shingle is, is read from
+        ``BUCKETS`` counters, which decide how many candidates there are, not
+        which links are found.
         """
         st, num, den = self.stages, self.num, self.den
-        step = (den / num) ** (1 / NARROW)
-        told = members.join(self.texts.select("row", "items"), F.col("cid") == F.col("row")).select("cid", "n", F.explode("items").alias("item"))
-        told = st.write(told, "items")
-        shared = told.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
-        kept = st.write(told.join(shared, "item"), "shared")
-        st.drop(told)
-        # Few shingles of a set stand first, so an array of them is small.
-        own = kept.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("items"))
-        most = F.expr(f"n + 1 - (({num} * n + {den - 1}) div {den})")
-        rows = own.select("cid", "n", (F.col("n") - F.size("items")).alias("alone"), F.expr("items").alias("items"), most.alias("most"))
-        rows = rows.where("most > alone").select("cid", "n", "alone", F.posexplode(F.slice("items", 1, F.greatest(F.lit(1), F.col("most") - F.col("alone")).cast("int"))).alias("at", "x"))
-        place = F.col("alone") + F.col("at") + 1
-        # A size is in the band of the largest power of `step` up to it.
-        band = lambda size: F.floor(F.log(size) / math.log(step) + 1e-9).cast("int")
-        rows = rows.select("cid", "n", place.alias("place"), "x.item", F.explode(F.sequence(band(F.ceil(F.col("n") * num / den)) - 1, band(F.col("n")))).alias("band"))
-        low = F.floor(F.pow(F.lit(step), F.col("band")) - 1e-6)
-        rows = rows.where(F.col("place") <= F.col("n") + 1 - F.ceil(num * (low + F.col("n")) / (num + den) - 1e-6))
-        return st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined")
+        step = math.log(den / num) / NARROW
+        sets = lambda who: who.join(self.texts.select("row", "items"), F.col("cid") == F.col("row")).select("cid", "n", "items")
+        asked = st.write(sets(seekers), "asked", **PLAIN)
+        counts = asked.select(F.explode("items").alias("item")).select(F.pmod("item", F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias("c")).toArrow()
+        counters = np.zeros(BUCKETS, np.int64)
+        counters[counts.column("b").to_numpy()] = counts.column("c").to_numpy()
+        shared = self.spark.sparkContext.broadcast(counters)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out, held = [], 0
+                for i, (cid, n) in enumerate(zip(b.column("cid").to_pylist(), b.column("n").to_pylist(), strict=True)):
+                    s = b.column("items").slice(i, 1).flatten().to_numpy()
+                    order = s[np.lexsort((s, shared.value[s % BUCKETS]))]
+                    least, most = -(-n * num // den), n * den // num
+                    bands = np.arange(math.floor(math.log(least) / step + 1e-9), math.floor(math.log(most) / step + 1e-9) + 1)
+                    # The smallest size in a band; slightly less does no harm.
+                    low = np.maximum(np.floor(np.exp(bands * step) - 1e-6), least)
+                    many = (n + 1 - np.ceil(num * (low + n) / (num + den) - 1e-6)).astype(np.int64)
+                    items = np.concatenate([order[:k] for k in many.tolist()])
+                    out.append((items, np.repeat(bands, np.minimum(many, n)), np.full(len(items), cid), np.full(len(items), n)))
+                    held += len(items)
+                    if held > 100_000 or i == b.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["item", "band", "cid", "n"])
+                        out, held = [], 0
+
+        stated = st.write(asked.mapInArrow(run, "item long, band long, cid long, n long"), "stated", **PLAIN)
+        own = F.floor(F.log("n") / step + 1e-9)
+        met = sets(members).select("cid", "n", own.alias("band"), F.explode("items").alias("item")).join(stated.select("item", "band").distinct(), ["item", "band"], "left_semi")
+        rows = stated.select("item", "band", "cid", "n").union(met.select("item", "band", "cid", "n"))
+        out = st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined")
+        st.drop(asked, stated)
+        return out
 
     # -- verification -----------------------------------------------------------
     def sift(self, pairs: DataFrame) -> DataFrame:
@@ -342,7 +360,7 @@ class ParityJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 outs = [np.empty((2, 0), np.int64)]
-                for i, j, cell in zip(*(b.column(c).to_pylist() for c in ("i", "j", "cell")), strict=True):
+                for i, j, cell in (row for at in range(0, b.num_rows, 100) for row in zip(*(b.slice(at, 100).column(c).to_pylist() for c in ("i", "j", "cell")), strict=True)):
                     cid, label, n, blk = (np.array([r[c] for r in cell], np.int64) for c in ("cid", "label", "n", "blk"))
                     wide = min(len(r["bits"]) for r in cell)
                     # Longer sketches are folded, which keeps the bound.
@@ -411,7 +429,7 @@ class ParityJoin:
         groups = self.groups()
         st.release()
         for last in (False, True):
-            for turn in range(2):
+            for turn in range(1 if last else 2):
                 active = live(groups, turn)
                 linked(active.where("label != plabel").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
                 st.drop(groups)
@@ -424,7 +442,10 @@ class ParityJoin:
             large = active.where(F.col("m") > BLOCK).select("key", "cid", "n")
             if last or large.isEmpty():
                 break
-            groups = self.refined(live(large, 3).select("cid", "n").distinct())
+            large = live(large, 3)
+            votes = large.groupBy("key", "label").agg(F.count("*").alias("v")).groupBy("key").agg(F.max_by("label", F.struct("v", "label")).alias("main"))
+            seekers = large.join(votes, "key").where("label != main").select("cid", "n").distinct()
+            groups = self.refined(large.select("cid", "n").distinct(), seekers)
         return forest
 
     def links(self) -> DataFrame:
@@ -437,7 +458,8 @@ class ParityJoin:
         m = groups.groupBy("key").agg(F.count("*").alias("m"))
         sized = st.write(groups.join(m, "key").withColumn("label", F.col("cid")), "sized")
         pairs = self.cells(sized.where(F.col("m") <= BLOCK))
-        large = self.refined(sized.where(F.col("m") > BLOCK).select("cid", "n").distinct())
+        large = sized.where(F.col("m") > BLOCK).select("cid", "n").distinct()
+        large = self.refined(large, large)
         pairs = pairs.union(self.cells(large.withColumn("label", F.col("cid"))))
         return self.verify(st.write(pairs.distinct(), "pairs"))
 
