@@ -6,7 +6,9 @@ texts whose five-word shingles agree to 0.8 or more, ``secret_scan`` replaces
 secrets in the texts, ``mix_sources`` repeats and cuts documents to the target
 weights, and ``pack_sequences`` gives the pieces of packed token sequences.
 
-Rows with a null doc_id cannot be told apart in the second stage and are kept.
+Every stage takes nulls in any column, empty and very long texts, repeated rows,
+an empty table and columns of any further names, and says below what it makes
+of them.
 """
 
 from __future__ import annotations
@@ -23,25 +25,46 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the scorer takes for good.
+
+    Texts without words (null, empty) score 0 and go; repeated rows are judged
+    alike; a column of the name ``quality`` is the user's and stays.
+    """
     score = fresh(docs.columns, "quality")
     return quality.classify(docs, out_col=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group: of the smallest id, one if several rows have it.
+
+    Rows that share an id are one node, so one of them stays.  Rows without an
+    id cannot be told apart and stay; texts without words link with nothing.
+    """
     groups = parity_join.near_duplicates(docs, width=5, num=80, den=100)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    told = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    told = Stages(spark, "near-duplicates").write(told.where("first <> doc_id OR n > 1"), "told")
+    kept = docs.join(told.where("first <> doc_id"), "doc_id", "left_anti")
+    several = told.where("first = doc_id").select("doc_id")
+    once = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with secrets in its text replaced; null texts stay null."""
     return secrets.train_scanner(docs).redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each whole or partial use of a document in the mix.
+
+    Texts without words have nothing to take and go; null is a source of its
+    own; columns named like those of the mix are the user's and stay.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; null and empty texts have the end id only."""
     return packing.pack(docs)
 
 
