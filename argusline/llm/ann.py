@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Vectors that are equal are one node with its smallest ids.  NN-descent starts
+Vectors that are equal (up to a power of two) are one node, which answers with
+its smallest ids: they tie.  NN-descent starts
 from random neighbours and joins, for every node, its neighbours and those it
 is a neighbour of: they are likely neighbours of each other.  A round is a
 join that brings the vectors to the nodes whose neighbourhood they are in, a
@@ -10,7 +11,9 @@ keeps the best.  Queries then walk the graph greedily: the best unexpanded
 nodes of a query's beam are joined with their neighbours until the beam holds
 none.  What is found is scored on the original vectors in double precision.
 
-Graph and search use 8-bit copies of the vectors, a quarter of the shuffle.
+Graph and search use 32-bit copies of the unit vectors, taken from their mean:
+that changes no distance between them (and their distances rank as cosines
+do), but leaves the copies exact where one component dominates all vectors.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +36,6 @@ ROUNDS = 8  #: at most; fewer when under a thousandth of the edges change
 SENT = 8  #: best new pairs that a neighbourhood sends for each member
 BEAM, WIDTH, STEPS = 384, 64, 12  #: nodes a query holds, expands at once, and how often
 ENTRIES = 16  #: nodes where every query starts
-COPIES = 8  #: smallest ids that a node answers with
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -42,13 +45,23 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _bytes8(m: np.ndarray) -> np.ndarray:
-    return np.round(m * (127 / np.abs(m).max(axis=1, keepdims=True))).astype(np.int8)
+def _matrix(vectors: list[list[float]], dim: int) -> np.ndarray:
+    """Rows padded with zeros and divided by a power of two near their largest component.
 
+    That is exact and keeps squares from over- and underflowing.
+    """
+    m = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        m[i, : min(dim, len(v))] = v[:dim]
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, initial=0))[1][:, None]) + 0.0
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
-def _unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    m = np.frombuffer(b"".join(blobs), np.int8).reshape(-1, dim).astype(np.float32)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+def _read(blobs: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(-1, dim).astype(np.float64)
 
 
 class Graph:
@@ -61,22 +74,38 @@ class Graph:
         self.dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
         dim = self.dim
 
+        self.mean = mean = self._mean(rows)
+
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = np.zeros((b.num_rows, dim))
-                for i, v in enumerate(b.column("v").to_pylist()):
-                    m[i, : len(v)] = v
-                q = [x.tobytes() for x in _bytes8(m)] if len(m) else []
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(q, pa.binary())], ["vec_id", "q"])
-
-        # Equal 8-bit copies are one node: a common vector is one node, not many.
-        told = st.write(rows.mapInArrow(small, "vec_id long, q binary"), "small")
-        self.members = st.write(told.groupBy("q").agg(F.min("vec_id").alias("node")), "nodes")
-        self.of = st.write(told.join(self.members, "q").select("vec_id", "node"), "of")
-        self.nodes = self.members
+                m = _matrix(b.column("v").to_pylist(), dim)
+                marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in m), np.int64).reshape(-1, 2)
+                q = [x.tobytes() for x in (_unit(m) - mean).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(q, pa.binary())], ["vec_id", "h1", "h2", "q"])
+
+        # Equal vectors are one node: a common vector is one node, not many.
+        told = st.write(rows.mapInArrow(small, "vec_id long, h1 long, h2 long, q binary"), "small")
+        least = st.write(told.groupBy("h1", "h2").agg(F.min("vec_id").alias("node")), "least")
+        self.of = st.write(told.join(least, ["h1", "h2"]).select("vec_id", "node").distinct(), "of")
+        self.nodes = st.write(told.join(least.select("node"), F.col("vec_id") == F.col("node")).select("node", "q").dropDuplicates(["node"]), "nodes")
         self.exact = rows
         self.edges = self._descend()
 
+    def _mean(self, rows: DataFrame) -> np.ndarray:
+        """Mean of the unit vectors: one sum a task, one number a component."""
+        dim = self.dim
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros(dim), 0
+            for b in batches:
+                total += _unit(_matrix(b.column("v").to_pylist(), dim)).sum(axis=0)
+                n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], ["s", "n"])
+
+        parts = rows.select("v").mapInArrow(sums, "s array<double>, n long").select(F.posexplode("s").alias("i", "s"), "n")
+        each = parts.groupBy("i").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1))).alias("s")).orderBy("i").collect()  # `dim` rows
+        return np.array([r.s for r in each]) if each else np.zeros(dim)
+
     def _neighbourhoods(self, rows: DataFrame) -> DataFrame:
         """Pairs that beat a node's worst: src, dst, sim, new.
 
@@ -91,15 +120,17 @@ class Graph:
                     if len(own) < 2:
                         continue
                     ids = np.array([x["v"] for x in own])
-                    m = _unit([x["q"] for x in own], dim)
+                    m = _read([x["q"] for x in own], dim)
                     new = np.array([x["new"] for x in own])
-                    g = m @ m.T
+                    square = np.einsum("ij,ij->i", m, m)
+                    # Less the squared distances, near 0 for near vectors.
+                    g = (2 * (m @ m.T) - square[:, None] - square[None, :]).astype(np.float32)
                     ok = (g > np.array([x["worst"] for x in own], np.float32)[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
-                    g = np.where(ok, g, -9)
+                    g = np.where(ok, g, -99)
                     r = min(sent, len(ids) - 1)
                     best = np.argpartition(-g, r - 1, axis=1)[:, :r]
                     i, j = np.repeat(np.arange(len(ids)), r), best.ravel()
-                    keep = g[i, j] > -5
+                    keep = g[i, j] > -50
                     src.append(ids[i[keep]])
                     dst.append(ids[j[keep]])
                     sim.append(g[i, j][keep])
@@ -126,14 +157,14 @@ class Graph:
         groups = max(1, -(-n // START))
         starts = None
         for turn in range(3):  # three random groups a node, so that groups connect
-            own = self.nodes.select(F.concat(F.lit(f"{turn}-"), F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups))).alias("u"), F.col("node").alias("v"), "q", F.lit(-2.0).cast("float").alias("worst"), F.lit(True).alias("new"))
+            own = self.nodes.select(F.concat(F.lit(f"{turn}-"), F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(groups))).alias("u"), F.col("node").alias("v"), "q", F.lit(-9.0).cast("float").alias("worst"), F.lit(True).alias("new"))
             starts = own if starts is None else starts.union(own)
         edges = st.write(self._best(self._neighbourhoods(starts)), "edges")
         for turn in range(ROUNDS):
-            worst = edges.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(-2.0).cast("float").alias("worst"))
+            worst = edges.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).otherwise(-9.0).cast("float").alias("worst"))
             near = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "new").union(self._reverse(edges, turn))
             near = near.groupBy("u", "v").agg(F.max("new").alias("new"))
-            known = self.nodes.join(worst, F.col("node") == F.col("src"), "left").select(F.col("node").alias("v"), "q", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+            known = self.nodes.join(worst, F.col("node") == F.col("src"), "left").select(F.col("node").alias("v"), "q", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"))
             found = self._neighbourhoods(near.join(known, "v"))
             after = st.write(self._best(edges.withColumn("new", F.lit(False)).union(found)), "edges")
             st.drop(edges)
@@ -145,7 +176,7 @@ class Graph:
         return edges
 
     def adjacency(self) -> DataFrame:
-        """node, near: its neighbours with their 8-bit vectors."""
+        """node, near: its neighbours with their vectors."""
         both = self.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
         named = both.join(self.nodes.select(F.col("node").alias("v"), "q"), "v")
         return named.groupBy(F.col("u").alias("node")).agg(F.collect_list(F.struct("v", "q")).alias("near"))
@@ -158,13 +189,13 @@ class Graph:
         """
         st, dim = self.stages, self.dim
         graph = st.write(self.adjacency(), "graph")
-        asked = _clean(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id")
+        asked = _clean(queries, id_col, vector_col).withColumnRenamed("vec_id", "query_id").distinct()
+
+        mean = self.mean
 
         def pad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = np.zeros((b.num_rows, dim), np.float32)
-                for i, v in enumerate(b.column("v").to_pylist()):
-                    m[i, : min(dim, len(v))] = v[:dim]
+                m = (_unit(_matrix(b.column("v").to_pylist(), dim)) - mean).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([x.tobytes() for x in m], pa.binary())], ["query_id", "qv"])
 
         wanted = st.write(asked.mapInArrow(pad, "query_id long, qv binary"), "queries")
@@ -175,31 +206,42 @@ class Graph:
             begin = begin.join(self.of.withColumnRenamed("vec_id", "query_id"), "query_id", "left").withColumn("first", F.array_compact(F.array_append("first", F.col("node"))))
         state = st.write(begin.select("query_id", "qv", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("sims"), F.array().cast("array<long>").alias("done"), "first").withColumnRenamed("first", "ask"), "beam")
 
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The neighbours of a node and how near they are to the query."""
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    b = whole.slice(at, 500)
+                    near = b.column("near")
+                    flat, many = near.flatten(), np.diff(near.offsets.to_numpy())
+                    apart = _read(flat.field("q").to_pylist(), dim) - np.repeat(_read(b.column("qv").to_pylist(), dim), many, axis=0)
+                    sims = pa.array(-np.einsum("ij,ij->i", apart, apart).astype(np.float32))
+                    offsets = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, x) for x in (flat.field("v"), sims)]
+                    yield pa.RecordBatch.from_arrays([b.column("query_id"), *lists], ["query_id", "ids", "sims"])
+
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
                 for r in b.to_pylist():
-                    qv = np.frombuffer(r["qv"], np.float32)
                     ids, sims = np.array(r["ids"], np.int64), np.array(r["sims"], np.float32)
                     done = np.union1d(np.array(r["done"], np.int64), np.array(r["ask"], np.int64))
-                    near = {x["v"]: x["q"] for row in r["found"] for x in row}
-                    fresh_ = np.setdiff1d(np.fromiter(near, np.int64, len(near)), ids)
-                    if len(fresh_):
-                        s = _unit([near[i] for i in fresh_.tolist()], dim) @ (qv / np.linalg.norm(qv))
-                        ids, sims = np.r_[ids, fresh_], np.r_[sims, s.astype(np.float32)]
-                        top = np.argsort(-sims, kind="stable")[:BEAM]
-                        ids, sims = ids[top], sims[top]
+                    for x in r["found"] or ():
+                        ids, sims = np.r_[ids, np.array(x["ids"], np.int64)], np.r_[sims, np.array(x["sims"], np.float32)]
+                    ids, first = np.unique(ids, return_index=True)
+                    sims = sims[first]
+                    top = np.argsort(-sims, kind="stable")[:BEAM]
+                    ids, sims = ids[top], sims[top]
                     ask = ids[~np.isin(ids, done)][:WIDTH]
                     out.append({"query_id": r["query_id"], "qv": r["qv"], "ids": ids.tolist(), "sims": sims.tolist(), "done": done.tolist(), "ask": ask.tolist()})
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("query_id", pa.int64()), ("qv", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("done", pa.list_(pa.int64())), ("ask", pa.list_(pa.int64()))]))
 
         kind = "query_id long, qv binary, ids array<long>, sims array<float>, done array<long>, ask array<long>"
         for _ in range(STEPS):
-            front = state.select("query_id", F.explode("ask").alias("node"))
+            front = state.select("query_id", "qv", F.explode("ask").alias("node"))
             # The entry nodes themselves are candidates too: a node is near itself.
-            met = front.join(graph, "node").groupBy("query_id").agg(F.collect_list("near").alias("found"))
-            ask = state.join(met, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<array<struct<v:long,q:binary>>>")))
-            after = st.write(ask.mapInArrow(step, kind), "beam")
+            met = front.join(graph, "node").select("query_id", "qv", "near").mapInArrow(meet, "query_id long, ids array<long>, sims array<float>")
+            found = met.groupBy("query_id").agg(F.collect_list(F.struct("ids", "sims")).alias("found"))
+            after = st.write(state.join(found, "query_id", "left").mapInArrow(step, kind), "beam")
             st.drop(state)
             state = after
             st.release()
@@ -210,20 +252,19 @@ class Graph:
         if own:
             nodes = nodes.union(self.of.join(wanted.select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", "node")).distinct()
         rank = F.row_number().over(W.partitionBy("node").orderBy("vec_id"))
-        kin = self.of.withColumn("r", rank).where(F.col("r") <= k + COPIES).drop("r")
+        # Vectors of a node tie, so its smallest ids stand for all of them.
+        kin = self.of.withColumn("r", rank).where(F.col("r") <= k + 1).drop("r")
         pairs = nodes.join(kin, "node").select("query_id", "vec_id").where(F.col("query_id") != F.col("vec_id") if own else F.lit(True))
         pairs = pairs.join(self.exact, "vec_id").join(asked.select("query_id", F.col("v").alias("w")), "query_id")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                s = []
-                for v, w in zip(b.column("v").to_pylist(), b.column("w").to_pylist(), strict=True):
-                    x, y = np.array(v, float), np.array(w, float)
-                    m = min(len(x), len(y))
-                    s.append(float(x[:m] @ y[:m] / (np.sqrt(x @ x) * np.sqrt(y @ y))))
+                wide = max([dim, *(len(w) for w in b.column("w").to_pylist())])
+                x, y = (_matrix(b.column(c).to_pylist(), wide) for c in ("v", "w"))
+                s = [float(u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v))) for u, v in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-        scored = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
+        scored = pairs.mapInArrow(score, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -233,7 +274,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part; shorter ones count as padded with zeros.  Ties go to the smaller id.
-    Ids are unique; with fewer candidates all are returned, and an empty table
+    Repeated rows count once; with fewer candidates all are returned, and an empty table
     gives none.
     """
     graph = Graph(vectors, id_col, vector_col)
