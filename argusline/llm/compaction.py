@@ -7,7 +7,13 @@ sizes within a factor ``fan_in``) into files of up to ``target`` bytes and
 commits a manifest with the merged files in place of their inputs.  A manifest
 is written aside and renamed to its number, which fails if the number exists,
 so readers see one version or the next, and of two writers one must retry.
-Files that no kept manifest lists are removed afterwards.
+(The rename is atomic on HDFS and local file systems.  On an object store
+without it the folder needs a committer with conditional writes.)  A manifest
+also holds the schema, which arrivals may widen: columns are matched by name
+and null where a shard lacks them, and a merge writes all of them.
+
+Files of older versions stay, so that a reader of a version can finish, until
+``vacuum`` removes those that none of the last ``keep`` manifests lists.
 
 Merging shuffles nothing: Spark's file scan packs small files into partitions
 of up to the target size, and every partition writes one file.
@@ -22,6 +28,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -38,11 +45,14 @@ class Conflict(RuntimeError):
 
 
 class ShardTable:
-    """Shards and manifests below ``root`` (any file system Spark can reach)."""
+    """Shards and manifests below ``root`` (any file system Spark can reach).
+
+    ``keep``: manifests whose files compaction leaves in place.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, fan_in: int = 4, least: int = 1 << 20):
+    def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, fan_in: int = 4, least: int = 1 << 20, keep: int = 8):
         self.spark, self.root = spark, root.rstrip("/")
-        self.target, self.fan_in, self.least = target, fan_in, least
+        self.target, self.fan_in, self.least, self.keep = target, fan_in, least, keep
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -54,26 +64,30 @@ class ShardTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def shards(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """(version, shards) of a manifest, the latest if none is named."""
+    def manifest(self, version: int | None = None) -> tuple[int, list[Shard], T.StructType | None]:
+        """(version, shards, schema) of a manifest, the latest if none is named."""
         known = self.versions()
         if not known:
-            return 0, []
+            return 0, [], None
         version = known[-1] if version is None else version
         stream = self._fs.open(self._path(f"{self.root}/_manifest/v{version:08d}.json"))
         try:
             text = bytes(stream.readAllBytes()).decode("utf-8")
         finally:
             stream.close()
-        return version, [Shard(**s) for s in json.loads(text)["shards"]]
+        told = json.loads(text)
+        return version, [Shard(**s) for s in told["shards"]], T.StructType.fromJson(told["schema"])
+
+    def shards(self, version: int | None = None) -> tuple[int, list[Shard]]:
+        return self.manifest(version)[:2]
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
+    def commit(self, base: int, shards: list[Shard], schema: T.StructType) -> int:
         """Makes ``shards`` the version after ``base``, or raises ``Conflict``."""
         aside = self._path(f"{self.root}/_manifest/.{uuid.uuid4().hex}")
         goal = self._path(f"{self.root}/_manifest/v{base + 1:08d}.json")
         stream = self._fs.create(aside, False)
         try:
-            stream.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}).encode("utf-8")))
+            stream.write(bytearray(json.dumps({"version": base + 1, "schema": json.loads(schema.json()), "shards": [asdict(s) for s in shards]}).encode("utf-8")))
         finally:
             stream.close()
         if self._fs.exists(goal) or not self._fs.rename(aside, goal):
@@ -94,15 +108,35 @@ class ShardTable:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return self._written(folder, self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}"))
 
+    def _discard(self, shards: list[Shard]) -> None:
+        """Removes the folders of shards that no manifest lists."""
+        for folder in {s.path.rsplit("/", 1)[0] for s in shards}:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    @staticmethod
+    def widened(known: T.StructType | None, new: T.StructType) -> T.StructType:
+        """Both schemas' columns by name (without case); a clash of types is an error."""
+        fields = {f.name.lower(): f for f in known or ()}
+        for f in new:
+            old = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True))
+            if old.dataType != f.dataType:
+                raise ValueError(f"column {f.name} is {f.dataType.simpleString()} here and {old.dataType.simpleString()} in the table")
+        return T.StructType(list(fields.values()))
+
     def append(self, arrival: DataFrame, attempts: int = 5) -> int:
         """Adds an arrival as shards of its own; returns the new version."""
+        self.widened(self.manifest()[2], arrival.schema)  # refused before anything is written
         new = self._write(arrival, "arrival")
         for _ in range(attempts):
-            base, old = self.shards()
+            base, old, schema = self.manifest()
             try:
-                return self.commit(base, old + new)
+                return self.commit(base, old + new, self.widened(schema, arrival.schema))
             except Conflict:
                 continue
+            except ValueError:
+                self._discard(new)
+                raise
+        self._discard(new)
         raise Conflict("too many writers")
 
     def tier(self, size: int) -> int:
@@ -117,7 +151,7 @@ class ShardTable:
         ready = [t for t, own in tiers.items() if len(own) >= self.fan_in]
         return tiers[min(ready)] if ready else []
 
-    def merge(self, shards: list[Shard], schema) -> list[Shard]:
+    def merge(self, shards: list[Shard], schema: T.StructType) -> list[Shard]:
         """The rows of ``shards`` in files of up to the target size."""
         session = self.spark.newSession()  # these settings are for this scan only
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
@@ -128,27 +162,25 @@ class ShardTable:
     def compact(self, rounds: int = 16) -> int:
         """Merges due tiers until none is left; returns the latest version."""
         for _ in range(rounds):
-            base, old = self.shards()
+            base, old, schema = self.manifest()
             ripe = self.due(old)
             if not ripe:
                 break
             gone = set(ripe)
-            new = self.merge(ripe, self.schema(old))
+            new = self.merge(ripe, schema)
             if len(new) >= len(ripe):
+                self._discard(new)
                 break  # the files are as large as the scan lets them be
             try:
-                self.commit(base, [s for s in old if s not in gone] + new)
+                self.commit(base, [s for s in old if s not in gone] + new, schema)
             except Conflict:
-                continue
-            self.vacuum()
+                self._discard(new)
+        self.vacuum()
         return self.shards()[0]
 
-    def schema(self, shards: list[Shard]):
-        return self.spark.read.parquet(f"{self.root}/{shards[0].path}").schema
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes files that none of the last ``keep`` manifests lists."""
-        known = self.versions()
+    def vacuum(self, keep: int | None = None) -> None:
+        """Removes files and manifests that none of the last ``keep`` versions needs."""
+        keep, known = max(1, self.keep if keep is None else keep), self.versions()
         listed = {s.path for v in known[-keep:] for s in self.shards(v)[1]}
         for v in known[:-keep]:
             for s in self.shards(v)[1]:
@@ -158,10 +190,11 @@ class ShardTable:
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
         """The rows of a version (the schema says what an empty table holds)."""
-        _, shards = self.shards(version)
+        _, shards, known = self.manifest(version)
+        schema = schema or known
         if not shards:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema or self.schema(shards)).parquet(*[f"{self.root}/{s.path}" for s in shards])
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
 
 
 def ingest(rows: DataFrame, root: str, arrivals: int = 4, key: str | None = None, **options) -> ShardTable:
