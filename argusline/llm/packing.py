@@ -77,11 +77,11 @@ class TokenBytes(dict):
             self.clear()
         out = self.old.get(word)
         if out is None:
-            core = word.rstrip(MARKS)
-            if core != word and (core.decode("utf-8")[-1:].isalnum() and core[-1:] not in b"<'"):
+            core, text = word.rstrip(MARKS), word.decode("utf-8")
+            # Other letters may end in a combining mark once they are normalised.
+            if core != word and (core[-1:].isalnum() if core.isascii() else _PLAIN(core.decode("utf-8"))):
                 out = self[core] + self[word[len(core) :]]
             else:
-                text = word.decode("utf-8")
                 if _PLAIN(text):  # nothing to normalise or to part: merge at once
                     ids = [t.id for t in self.model.tokenize("".join([_LETTERS[b] for b in word]))]
                 else:
@@ -201,7 +201,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     before = each.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local"))
+    # The counts grow with the tasks, so they are not broadcast.
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("local"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
