@@ -2,8 +2,8 @@
 
 A rule blocks or allows a host (with its subdomains) and a path prefix; the
 longest fitting rule judges a URL.  A URL that no rule fits is judged by its
-aliases: redirects, declared canonical links and spellings of one address form
-a graph whose components are found by distributed star contraction.  A block
+aliases: redirects, declared canonical links and, if wanted, spellings of one
+address form a graph whose components are found by distributed star contraction.  A block
 decision on any member reaches every alias without a rule, unless another
 member is explicitly allowed; without a decision a URL is allowed.
 """
@@ -52,27 +52,58 @@ def rule_columns(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return (null, null) if name is None else (name, verdict)
 
 
-def normal_url(url: Column) -> Column:
-    """One spelling of an address: no scheme, fragment, tracking, index or final slash."""
+def normal_url(url: Column, spellings: bool = True) -> Column:
+    """One spelling of an address: no scheme and fragment.
+
+    With ``spellings`` also without tracking parameters, index page, ``.html``
+    and final slash: these are taken for one page by policy, not by a link.
+    """
     host, path = host_of(url), path_of(url)
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
+    if not spellings:
+        return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     query = F.regexp_replace(F.concat(F.lit("?"), query), TRACKING, "$1")
     query = F.regexp_replace(F.regexp_replace(F.regexp_replace(query, "&+", "&"), r"\?&", "?"), r"[?&]+\z", "")
     return F.concat(host, F.regexp_replace(path, r"(/index)?(\.html?)?/*\z", ""), query)
 
 
-def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """src, dst (as written, dst made absolute): declared canonical links and refreshes.
+def unescaped(value: Column) -> Column:
+    """HTML references of ``&`` and quotes as the characters."""
+    value = F.regexp_replace(F.regexp_replace(value, "(?i)&quot;|&#34;|&#x22;", '"'), "(?i)&apos;|&#39;|&#x27;", "'")
+    return F.regexp_replace(value, "(?i)&amp;|&#38;|&#x26;", "&")
+
 
-    Targets without ``://`` are taken from the page's own host.
+def resolved(base: Column, goal: Column) -> Column:
+    """``goal`` seen from ``base`` as RFC 3986 says; null if it is no web address.
+
+    The base has ``://``.  A page's ``<base>`` element is not looked at.
     """
+    scheme = F.regexp_extract(goal, r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    origin = F.concat(F.regexp_extract(base, r"(?s)\A(.*?://)", 1), host_of(base))
+    mark = F.regexp_instr(goal, F.lit("[?#]"))
+    own = F.when(mark > 0, F.substring(goal, F.lit(1), mark - 1)).otherwise(goal)
+    rest = F.when(mark > 0, F.substring(goal, mark, F.length(goal))).otherwise("")
+    folder = F.regexp_replace(path_of(base), r"[^/]*\z", "")
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    # Dot segments: ".." takes back the segment before it, "." is nothing.
+    parts = F.split(F.regexp_replace(whole, r"\A/", ""), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)))
+    slash = F.when(whole.rlike(r"(\A|/)\.\.?\z") & (F.size(walked) > 0), "/").otherwise("")
+    path = F.concat(F.lit("/"), F.array_join(walked, "/"), slash)
+    same = F.when(goal.startswith("#"), F.lit(None)).when(goal.startswith("?"), F.concat(origin, path_of(base), goal))
+    out = F.when(goal.startswith("//"), F.concat(F.lit("http:"), goal)).when(goal.startswith("?") | goal.startswith("#"), same).otherwise(F.concat(origin, path, rest))
+    return F.when(scheme != "", F.when(goal.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://"), goal)).otherwise(out)
+
+
+def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """src, dst (as written, dst made absolute): declared canonical links and refreshes."""
     url, html = F.col(url_col), F.col(html_col)
 
     def edge(tag: str, attribute: str) -> DataFrame:
-        goal = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
-        full = F.when(goal.contains("://"), goal).when(goal.startswith("//"), F.concat(F.lit("http:"), goal)).otherwise(F.concat(F.lit("http://"), host_of(url), F.when(goal.startswith("/"), "").otherwise("/"), goal))
-        rows = pages.where(url.contains("://") & html.rlike(tag)).withColumn("_goal", goal)
-        return rows.where(F.col("_goal") != "").select(url.alias("src"), full.alias("dst"))
+        goal = unescaped(F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1))
+        rows = pages.where(url.contains("://") & html.rlike(tag)).select(url.alias("src"), goal.alias("goal"))
+        return rows.where("goal != ''").select("src", resolved(F.col("src"), F.col("goal")).alias("dst")).where("dst IS NOT NULL")
 
     return edge(CANONICAL, HREF).union(edge(REFRESH, TARGET))
 
@@ -84,11 +115,13 @@ def judge(
     url_col: str = "url",
     html_col: str | None = "html",
     redirects: DataFrame | None = None,
+    spellings: bool = True,
 ) -> DataFrame:
     """id, host, path, rule, verdict of every row of ``pages``.
 
     ``redirects`` (src, dst URLs) adds known redirects to those declared in the
-    pages.  Spellings of one address are one node.  A null URL or one without
+    pages.  Spellings of one address (see ``normal_url``) are one node unless
+    ``spellings`` is off.  A null URL or one without
     ``://`` has an empty host and path, no aliases, and is allowed unless a
     rule says otherwise.  Repeated rows give repeated results; only the named
     columns are read, so others cannot clash.
@@ -102,7 +135,8 @@ def judge(
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, said = rule_columns(host, path, rules)
-    node = F.when(F.col("url").contains("://"), normal_url(F.col("url")))
+    name = lambda c: normal_url(F.col(c), spellings)
+    node = F.when(F.col("url").contains("://"), name("url"))
     rows = slim.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), said.alias("said"), node.alias("node"))
     rows = stages.write(rows, "judged")
     # A node's group: the root of its component, or itself.
@@ -111,13 +145,13 @@ def judge(
     ends = None
     if links is not None:
         links = stages.write(links.distinct(), "links")
-        edges = links.select(normal_url(F.col("src")).alias("src"), normal_url(F.col("dst")).alias("dst"))
+        edges = links.select(name("src").alias("src"), name("dst").alias("dst"))
         roots = components(edges, "src", "dst", stages).withColumnsRenamed({"node": "n", "root": "r"})
         spelt = rows.join(roots, rows["node"] == roots["n"], "left")
         group = F.coalesce("r", "node")
         # Addresses that no page has are judged too.
         named = links.select(F.col("src").alias("url")).union(links.select(F.col("dst").alias("url"))).distinct()
-        ends = named.select(normal_url(F.col("url")).alias("node"), rule_columns(host, path, rules)[1].alias("said")).where("said IS NOT NULL").join(roots, F.col("node") == F.col("n"), "left").select(group.alias("group"), "said")
+        ends = named.select(name("url").alias("node"), rule_columns(host, path, rules)[1].alias("said")).where("said IS NOT NULL").join(roots, F.col("node") == F.col("n"), "left").select(group.alias("group"), "said")
     spelt = spelt.withColumn("group", group)
     # Blocks reach aliases; an explicit allow in the group stops them.
     members = spelt.select("group", "said").where(F.col("said").isNotNull() & F.col("group").isNotNull())
