@@ -8,9 +8,10 @@ every source a whole number of blocks, and the same rule deals a source's
 blocks to its shards (parts of bounded size that a hash of the row chooses).
 
 In a shard the documents lie in seeded hash order on a ring of blocks.  With
-``q`` blocks to take from ``n``, every block is taken ``q // n`` times and an
-arc of ``q % n`` blocks from a seeded start once more.  So nearly all documents
-are taken whole, and the words taken from one follow from its place alone.
+``q`` blocks to take from ``n``, every block is taken ``q // n`` times and
+``q % n`` blocks once more: those that follow a block which the seed selects.
+Blocks that follow each other keep documents whole (a block is much shorter
+than a document), and the words taken from one follow from its place alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from argusline.llm.common import Stages, fresh, word_count
 #: Words of a shard on average at most, until there are MAX_SHARDS of them.
 SHARD_WORDS = 500_000
 MAX_SHARDS = 1 << 16
+#: Columns of a mix.
+MIXED = ("size", "source_size", "target", "taken", "whole", "spans")
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], epochs: float, max_repeat: float) -> list[float]:
@@ -50,15 +53,36 @@ def targets(sizes: Sequence[int], weights: Sequence[float], epochs: float, max_r
 def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
     """Seats by highest quotients ``votes / (2 q + 1)``, none above its cap.
 
-    The whole part of the divisor's share is given at once and only the last
-    few seats go through the queue, so the cost does not grow with the seats.
+    Equal quotients go to the first.  The smallest level is bisected above
+    which there are no more quotients than seats; those above it win, and only
+    the few that are left go through the queue, so that the cost does not grow
+    with the seats.
     """
-    total = sum(votes)
-    if total <= 0 or seats <= 0:
-        return [0] * len(votes)
-    # With divisor total / (seats + len), rounding down gives nobody too many.
-    share = [v * seats / total for v in votes]
-    out = [max(0, min(c, int(s) - 1)) for s, c in zip(share, caps, strict=True)]
+    most = [c if v > 0 else 0 for v, c in zip(votes, caps, strict=True)]
+    if seats <= 0 or sum(most) <= seats:
+        return most if seats > 0 else [0] * len(votes)
+
+    def above(level: float) -> list[int]:
+        """How many quotients of each are larger than ``level``."""
+        out = []
+        for v, c in zip(votes, most, strict=True):
+            q = max(0, int(min(c, (v / level + 1) // 2)))
+            while q < c and v / (2 * q + 1) > level:
+                q += 1
+            while q > 0 and v / (2 * q - 1) <= level:
+                q -= 1
+            out.append(q)
+        return out
+
+    low, high = 0.0, float(max(votes))  # none is above `high`
+    while (mid := (low + high) / 2) not in (low, high):
+        if sum(above(mid)) <= seats:
+            high = mid
+            if sum(above(mid)) == seats:
+                break
+        else:
+            low = mid
+    out = above(high)
     queue = [(-v / (2 * q + 1), i) for i, (v, q, c) in enumerate(zip(votes, out, caps, strict=True)) if q < c and v > 0]
     heapq.heapify(queue)
     for _ in range(seats - sum(out)):
@@ -93,9 +117,8 @@ def mix(
     of sources must fit the driver (it is the configuration of a mix), and so
     must that of shards, at most about ``2 * MAX_SHARDS`` besides one for each source.
     """
-    out_cols = ("size", "source_size", "target", "taken", "whole", "spans")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in out_cols and c not in (text_col, source_col, id_col)])
-    order, shard, pos = (fresh([*docs.columns, *out_cols], c) for c in ("order", "shard", "pos"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in MIXED and c not in (text_col, source_col, id_col)])
+    order, shard, pos = (fresh([*docs.columns, *MIXED], c) for c in ("order", "shard", "pos"))
     stages = Stages(docs.sparkSession, "mixing")
     sized = docs.withColumn("size", word_count(F.col(text_col)))
     mark = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col), F.xxhash64(F.col(text_col)))
@@ -135,7 +158,7 @@ def mix(
     placed = placed.join(shards, F.col(source_col).eqNullSafe(F.col("s")) & (F.col(shard) == F.col("k")), "inner")
     # On the ring of `ring` words every word is taken `whole` times and the arc once more.
     ring, extra = F.greatest("ring", F.lit(1)), F.expr("words % greatest(ring, 1)")
-    begin = F.pmod(F.xxhash64(F.lit(seed), F.col("s"), F.col("k")), ring)
+    begin = block * F.pmod(F.xxhash64(F.lit(seed), F.col("s"), F.col("k")), F.ceil(ring / block))
     a, b = F.col(pos), F.col(pos) + F.col("size")
     cut = lambda lo, hi: F.struct((F.greatest(a, lo) - a).alias("start"), (F.least(b, hi) - a).alias("end"))
     spans = F.filter(F.array(cut(begin, begin + extra), cut(begin - ring, begin + extra - ring)), lambda x: x["start"] < x["end"])
@@ -151,15 +174,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document taken twice gives two rows; a part that an arc cuts out gives a
     row with the text of those words.  ``n_chars``, if there, is set anew.
     """
-    mixed = mix(docs, **options)
     text = options.get("text_col", "text")
-    many = mixed.withColumn("_row", F.explode(F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")), F.col("whole")), F.col("spans"))))
+    used = {text, options.get("source_col", "source"), options.get("id_col", "doc_id")}
+    # The user's columns with names of the mix go by others meanwhile.
+    clashing = [c for c in docs.columns if c.lower() in MIXED and c not in used]
+    aside: dict[str, str] = {}
+    for c in clashing:
+        aside[c] = fresh([*docs.columns, *MIXED, *aside.values()], f"own_{c}")
+    mixed = mix(docs.withColumnsRenamed(aside), **options)
+    row = fresh(mixed.columns, "row")
+    many = mixed.withColumn(row, F.explode(F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")), F.col("whole")), F.col("spans"))))
+    start, end = F.col(row)["start"], F.col(row)["end"]
     # The words [start, end) with the white space after each.
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    body = F.when((F.col("_row.start") == 0) & (F.col("_row.end") == F.col("size")), F.col(text)).otherwise(
-        F.array_join(F.slice(words, (F.col("_row.start") + 1).cast("int"), (F.col("_row.end") - F.col("_row.start")).cast("int")), "")
-    )
+    body = F.when((start == 0) & (end == F.col("size")), F.col(text)).otherwise(F.array_join(F.slice(words, (start + 1).cast("int"), (end - start).cast("int")), ""))
     out = many.where(F.col("size") > 0).withColumn(text, body)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*docs.columns)
+    return out.drop(*MIXED).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
