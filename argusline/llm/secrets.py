@@ -4,7 +4,9 @@ Candidates are maximal runs of 16 or more key characters.  Features are their
 length and make-up, how likely their characters follow each other in ordinary
 words, how much of them dictionary words cover, whether they stand in a path,
 and the words around them.  A random forest trained from labelled findings
-decides which candidates are secrets.
+decides which candidates are secrets.  Where no labelled findings are given,
+secrets and look-alikes (digests, paths, identifiers, examples) of known kinds
+are planted in texts of the corpus; a label says what was planted.
 
 The scan is one expression on each row: the text is split at its candidates,
 the forest is compiled to a nested condition, and nothing is shuffled.  Only
@@ -32,8 +34,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 RARE = 100_000
 #: Bits of the dictionary's bitmap.
 BITS = 1 << 20
-#: Labelled findings that the forest is trained on, at most.
-SAMPLE = 20_000
+#: Findings that are planted in texts for training, at most.
+SAMPLE = 12_000
 #: Characters before and after a candidate whose words are looked at.
 NEAR = 48
 
@@ -117,15 +119,6 @@ def candidates(docs: DataFrame, language: Language, text_col: str, out_col: str)
     return split.withColumn(out_col, made).drop(table, bitmap, cands if cands != out_col else "")
 
 
-def weak_label(x: Column) -> Column:
-    """1, 0 or null: labels that the surroundings leave no doubt about."""
-    sure = (x["assigned"] == 1) & (x["example"] == 0) & (x["digits"] > 0.1) & (x["digits"] < 0.9) & (x["length"] >= 20)
-    prose = (x["digits"] == 0) & (x["key_word"] == 0)
-    number = x["digits"] >= 0.95
-    place = (x["path"] >= 2) & (x["assigned"] == 0)
-    return F.when(sure, 1).when(prose | number | place, 0)
-
-
 def train_forest(findings: DataFrame, label_col: str = "label", trees: int = 15, depth: int = 5, seed: int = 3) -> list[str] | None:
     """Trees as SQL over ``{x}.feature``; null without findings of both kinds.
 
@@ -166,11 +159,8 @@ class Scanner:
     def scored(self, docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
         found = candidates(docs, self.language, text_col, out_col)
 
-        def score(x: Column) -> Column:
-            return F.coalesce(weak_label(x), F.lit(0)).cast("double")
-
         if self.trees is None:
-            return found.withColumn(out_col, F.transform(out_col, lambda x: x.withField("score", score(x))))
+            return found.withColumn(out_col, F.transform(out_col, lambda x: x.withField("score", F.lit(0.0))))
         votes = " + ".join(t.replace("{x}", "x") for t in self.trees)
         fields = ", ".join(f"'{k}', x.{k}" for k in ("token", "at"))
         return found.withColumn(out_col, F.expr(f"transform({out_col}, x -> named_struct({fields}, 'score', ({votes}) / {len(self.trees)}D))"))
@@ -203,22 +193,97 @@ class Scanner:
         return out.select(*docs.columns)
 
 
+def _planted_forms() -> list[tuple[int, str]]:
+    """(label, SQL of a piece of text) with one finding each.
+
+    ``hex``, ``mixed``, ``upper``, ``number`` and ``word`` are fields of ``t``:
+    random letters and digits of several alphabets, and a word of the text.
+    """
+    name = "element_at(array('token', 'secret', 'password', 'api_key', 'access_key', 'auth'), 1 + t.pick % 6)"
+    bare = [f"concat(' ', {x}, ' ')" for x in ("substr(t.mixed, 1, 24 + t.pick % 20)", "substr(t.mixed, 1, 32)", "substr(t.hex, 1, 40)", "concat('AK', substr(t.upper, 1, 18))", "concat('ghx_', substr(t.mixed, 1, 36))")]
+    given = [f"concat(' ', {name}, ' = \"', {x}, '\" ')" for x in ("substr(t.hex, 1, 40)", "substr(t.hex, 1, 32)", "substr(t.mixed, 1, 20 + t.pick % 24)", "concat(substr(t.mixed, 1, 20), '/', substr(t.mixed, 21, 19))")]
+    other = [
+        f"concat(' ', {name}, ': ', substr(t.mixed, 1, 28), ' ')", "concat(' Authorization: Bearer ', t.mixed, ' ')",
+        "concat(' https://', t.word, ':', substr(t.mixed, 1, 24), '@host/ ')", f"concat(' export ', upper({name}), '=', substr(t.hex, 1, 32), ' ')",
+    ]
+    looks = [
+        "concat(' commit ', substr(t.hex, 1, 40), ' ')", "concat(' sha256:', t.hex, ' ')", "concat(' checksum ', substr(t.hex, 1, 32), ' ')",
+        "concat(' ', t.uuid, ' ')", "concat(' id=', t.uuid, ' ')", "concat(' /usr/', t.word, '/', t.word, '/share/', t.word, '_', t.pick, ' ')",
+        "concat(' ', t.word, t.word, t.word, t.word, t.word, ' ')", "concat(' ', t.word, '_', t.word, '_', t.word, '_of_the_', t.word, ' ')", "concat(' ', initcap(t.word), initcap(t.word), 'Factory', initcap(t.word), 'Builder ')",
+        "concat(' ', t.number, ' ')", "concat(' 2024-01-', 10 + t.pick % 18, '-', t.number, ' ')", f"concat(' ', {name}, ' = \"your-', replace({name}, '_', '-'), '-goes-here\" ')",
+        f"concat(' example ', {name}, '=', repeat('x', 20), ' ')", f"concat(' ', {name}, ' = \"', t.word, '-', t.word, '-', t.word, '-secret\" ')", "concat(' img/', t.word, '/', substr(t.hex, 1, 20), '.png ')", "concat(' ', repeat('=-', 12), t.word, ' ')",
+        "concat(' etag ', substr(t.hex, 1, 32), ' ')",
+    ]
+    return [(1, x) for x in bare + given + other] + [(0, x) for x in looks]
+
+
+def planted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+    """Labelled texts: text, token, label.
+
+    Secrets and look-alikes of many forms are planted between words of real
+    texts, each form once in every text; the label is what was planted, whatever
+    its features.  A hash chooses texts for ``sample`` findings at most, each
+    distinct one once, so that common copies do not crowd out others.
+    """
+    forms = _planted_forms()
+    most = max(1, sample // len(forms))
+    draw = F.xxhash64(F.lit(seed), text_col)
+    # About three times the sample, for the copies among it.
+    share = int(min(1.0, 3 * most / max(1, docs.count())) * (1 << 30))
+    drawn = docs.select(F.col(text_col).alias("text"), draw.alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < share).where(F.length("text") >= 40)
+    # Words around a random place of the text stand for it.
+    place = F.pmod(F.shiftright("draw", 30), F.length("text") - 39).cast("int") + 1
+    chosen = drawn.select("draw", F.substring("text", place, F.lit(240)).alias("text")).groupBy("draw").agg(F.min("text").alias("text")).orderBy("draw").limit(most)
+    chosen = chosen.select("text", F.col("draw").alias("host"), F.explode(F.sequence(F.lit(0), F.lit(len(forms) - 1))).alias("kind")).withColumn("draw", F.xxhash64("host", "kind"))
+    # Random text from digests of the draw.
+    hexes = "sha2(concat('a', draw), 256)"
+    mixed = " || ".join(f"translate(base64(unhex(sha2(concat('{k}', draw), 256))), '+/=', '')" for k in "bc")
+    words = "filter(split(text, '[^A-Za-z]+'), w -> length(w) between 3 and 9)"
+    given = chosen.selectExpr("text", "host", "kind", "draw", f"coalesce(try_element_at({words}, 1 + cast(pmod(draw, 7) as int)), 'value') AS word", f"{hexes} AS hex", f"{mixed} AS mixed")
+    t = (
+        "named_struct('pick', cast(pmod(shiftright(draw, 8), 1000) as int), 'word', lower(word), 'hex', hex, 'mixed', mixed, 'upper', upper(mixed), 'number', translate(substr(hex, 1, 24), 'abcdef', '123456'), "
+        "'uuid', concat_ws('-', substr(hex, 1, 8), substr(hex, 9, 4), substr(hex, 13, 4), substr(hex, 17, 4), substr(hex, 21, 12)))"
+    )
+    rows = given.withColumn("t", F.expr(t))
+    piece = label = None
+    for i, (y, form) in enumerate(forms):
+        here = F.col("kind") == i
+        piece = F.when(here, F.expr(form)) if piece is None else piece.when(here, F.expr(form))
+        label = F.when(here, y) if label is None else label.when(here, y)
+    # After the first word that ends in the second tenth of the text.
+    gap = "locate(' ', text, cast(length(text) / 10 as int) + 1)"
+    rows = rows.withColumn("piece", piece).withColumn("label", label).withColumn("gap", F.expr(f"if({gap} = 0, length(text) + 1, {gap})"))
+    return rows.selectExpr("concat(substr(text, 1, gap - 1), piece, substr(text, gap)) AS text", "piece", "label", "host")
+
+
+def labelled_findings(docs: DataFrame, language: Language, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """Features and label of the findings in ``planted`` texts, and their text's hash."""
+    rows = candidates(planted(docs, text_col, sample), language, "text", "found").select("piece", "label", "host", F.explode_outer("found").alias("f"))
+    # Of the candidates in a text only what was planted is labelled.
+    return rows.where(F.col("f").isNotNull() & F.col("piece").contains(F.col("f.token"))).select("f.*", "label", "host")
+
+
+def report(scanner: Scanner, findings: DataFrame) -> dict[str, float]:
+    """Precision, recall and count of a forest on labelled findings."""
+    if scanner.trees is None:
+        return {"precision": 0.0, "recall": 0.0, "n": 0.0}
+    votes = " + ".join(t.replace("{x}.", "") for t in scanner.trees)
+    said = F.expr(f"({votes}) / {len(scanner.trees)}D") >= scanner.cutoff
+    r = findings.select(said.alias("said"), (F.col("label") == 1).alias("is")).agg(
+        F.count_if(F.col("said") & F.col("is")).alias("hit"), F.count_if("said").alias("said"), F.count_if("is").alias("is"), F.count("*").alias("n")
+    ).first()
+    return {"precision": r.hit / max(1, r.said), "recall": r.hit / max(1, r["is"]), "n": float(r.n)}
+
+
 def train_scanner(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, labelled: DataFrame | None = None) -> Scanner:
     """A scanner for ``docs``.
 
     ``labelled`` findings (columns ``FEATURES`` and ``label``) may be given;
-    else the candidates of ``docs`` that ``weak_label`` is sure of are used, up
-    to ``sample`` of them, half of each kind, chosen by a hash.  Without
-    findings of both kinds the labels themselves decide.
+    else ``sample`` findings at most, planted in texts of ``docs``, are used.
+    Without findings of both kinds nothing is a secret.
     """
     language = learn_language(docs, text_col)
     if labelled is None:
         stages = Stages(docs.sparkSession, "findings")
-        some = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).rlike(CANDIDATE))
-        rows = candidates(some, language, "text", "found").select(F.explode_outer("found").alias("f"))
-        rows = rows.withColumn("label", weak_label(F.col("f"))).where(F.col("label").isNotNull())
-        # Many candidates are alike, so a hash picks about the sample first.
-        by = F.xxhash64("f.token", "f.at")
-        each = [rows.where(F.col("label") == k).orderBy(by).limit(sample // 2) for k in (0, 1)]
-        labelled = stages.write(each[0].union(each[1]).select("f.*", "label"), "labelled")
+        labelled = stages.write(labelled_findings(docs, language, text_col, sample), "labelled")
     return Scanner(language, train_forest(labelled))
