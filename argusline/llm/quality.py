@@ -12,6 +12,7 @@ the share of words that repeat the one before is a feature of its own.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,14 +52,17 @@ def votes(text: str | None) -> list[int]:
         return [0] * len(LABELLERS)
     rate = lambda marks: (n - len(raw.translate(None, marks))) / n
     upper, lower = rate(_UPPER), rate(_LOWER)
-    stops = sum(w in _STOPS for w in raw.lower().split()) / nw
-    same = sum(map(bytes.__eq__, words, words[1:])) / nw
+    low = raw.lower().split()
+    once = [a for a, b in zip(low, [b"", *low]) if a != b]  # without repeats in a row
+    stops = sum(w in _STOPS for w in once) / len(once)
+    ends = sum(w[-1:] in b".?" for w in once) / len(once)
+    # What praises running text has nothing to say on mere repetition.
+    repetitive = nw >= 10 and nw - len(once) > 0.25 * nw
     bangs = raw.count(b"!") / nw
-    ends = sum(w[-1:] in b".?" for w in words) / nw
     length = (n - nw) / nw
 
     def vote(bad: bool, good: bool) -> int:
-        return -1 if bad else int(good)
+        return -1 if bad else int(good and not repetitive)
 
     # Alarms say bad or nothing: most bad texts are bad in one way only.
     return [
@@ -67,7 +71,7 @@ def votes(text: str | None) -> list[int]:
         vote((raw.count(b"|") + raw.count(b"\t")) / nw > 0.2, False),
         vote(nw >= 20 and stops < 0.06, stops > 0.15),
         vote(not 2.5 <= length <= 11, 3.5 <= length <= 8),
-        vote(nw >= 30 and same > 0.3, same < 0.05),
+        vote(repetitive, False),
         vote(bangs > 0.15, False),
         vote(nw >= 60 and ends < 0.005, 0.03 < ends < 0.4),
     ]
@@ -110,11 +114,18 @@ def fit_votes(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: i
     return dict(zip(codes, p.tolist(), strict=True)), table
 
 
+_SHAPES = bytes.maketrans(_LOWER + _UPPER + b"0123456789", b"a" * 26 + b"A" * 26 + b"9" * 10)
+_RUNS = re.compile(r"(.)\1{2,}", re.S)
+
+
 def features(word: bytes) -> tuple[int, int, int]:
     """Hashed places of a word, its shape and its end."""
     text = word.decode("utf-8")
-    shape = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in text)
-    squeezed = "".join(c for i, c in enumerate(shape) if i < 2 or c != shape[i - 1] or c != shape[i - 2])[:12]
+    if word.isascii():
+        shape = word.translate(_SHAPES).decode()
+    else:
+        shape = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in text)
+    squeezed = _RUNS.sub(r"\1\1", shape)[:12]
     return tuple(xxhash.xxh32_intdigest(k + v.encode()) % DIM for k, v in ((b"w", text), (b"s", squeezed), (b"e", text[-2:])))
 
 
