@@ -154,7 +154,7 @@ def tensor_bytes(array: pa.FixedShapeTensorArray) -> bytes:
 
 COLUMNS = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "media binary, tensors binary, windows array<struct<start_s: double, end_s: double>>, segments array<struct<start_s: double, end_s: double>>"
+    "tensors_sha256 string, media binary, tensors binary, windows array<struct<start_s: double, end_s: double>>, segments array<struct<start_s: double, end_s: double>>"
 )
 DIGESTS = tuple(c.split()[0] for c in COLUMNS.split(", ")[:7])
 
@@ -163,9 +163,10 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     """Stored sound, its digests and its features for every row.
 
     The text's UTF-8 bytes with zeros up to a positive multiple of 64 are the
-    samples (null: empty).  With ``keep_media`` the WAV, the Arrow tensors, the
-    windows' time spans and the active segments are returned too; else they are
-    null.  Equal texts give equal values; no rows give none; other columns are
+    samples (null: empty).  The windows' time spans, the active segments and the
+    digest of the Arrow tensors are returned for every row; ``keep_media`` says
+    whether the WAV and the tensors themselves are too, else they are null.
+    Equal texts give equal values; no rows give none; other columns are
     not read.
     """
 
@@ -181,17 +182,18 @@ def audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
                     back, rate = from_wav(media)
                     mel = log_mel(back, rate)
                     active = segments(np.exp(mel * np.float32(np.log(10))).sum(axis=1))
-                    array, spans = tensor(mel) if keep_media else (None, ())
-                    ipc = tensor_bytes(array) if keep_media else None
+                    array, spans = tensor(mel)
+                    ipc = tensor_bytes(array)
                     values = np.round(mel.mean(axis=0, dtype=np.float64), 4) + 0.0
                     feature = f"frames={len(mel)};windows={-(-len(mel) // WINDOW)};segments={len(active)};active={sum(y - x for x, y in active)};mel={zlib.crc32(values.astype('<f8').tobytes()):08x}"
                     rows.append((
                         len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature,
-                        *((media, ipc, [{"start_s": x, "end_s": y} for x, y in spans], [{"start_s": x * step, "end_s": y * step} for x, y in active]) if keep_media else (None,) * 4),
+                        hashlib.sha256(ipc).hexdigest(), *((media, ipc) if keep_media else (None, None)),
+                        [{"start_s": x, "end_s": y} for x, y in spans], [{"start_s": x * step, "end_s": y * step} for x, y in active],
                     ))
                 span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), span, span]
-                names = [c.split()[0] for c in COLUMNS.split(", ")[:7]] + ["media", "tensors", "windows", "segments"]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), span, span]
+                names = [c.split()[0] for c in COLUMNS.split(", ")[:7]] + ["tensors_sha256", "media", "tensors", "windows", "segments"]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

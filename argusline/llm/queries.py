@@ -19,8 +19,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every text stored as sound, and its features."""
-    return media.audio(table(spark, sf_dir, "documents"), keep_media=False).select("doc_id", *media.DIGESTS)
+    """Digests of every text stored as sound, its features, their tensors' digest and time spans."""
+    return media.audio(table(spark, sf_dir, "documents"), keep_media=False).drop("media", "tensors")
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
