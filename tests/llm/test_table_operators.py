@@ -32,6 +32,40 @@ def test_media_round_trip(spark):
     assert back.type.shape == [media.WINDOW, media.MELS] and len(back) == len(got[0].windows)
 
 
+def test_features_against_a_plain_computation(spark):
+    """The feature string, tensors and spans of small texts without blocks and branches."""
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "x" * 64, "hello world " * 40, "".join(map(chr, rng.integers(32, 900, 3000))), "é" * 700 + " " * 5000 + "zyx" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = media.TAPS * media.UP
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / 2) / 2 * np.hamming(n)
+    for r in media.audio(docs).collect():
+        x = (np.frombuffer(media.from_wav(r.media)[0], "u1").astype(float) - 128) / 128
+        y = np.convolve(x, h)[::2][: -(-len(x) // 2)]
+        frames = max(1, -(-max(0, len(y) - 256) // 128) + 1)
+        y = np.r_[y, np.zeros(frames * 128 + 256)]
+        power = np.stack([np.abs(np.fft.rfft(y[i * 128 : i * 128 + 256] * np.hanning(256))) ** 2 for i in range(frames)])
+        mel = np.log10(power @ media.mel_bank(8000).astype(float) + 1e-6)
+        energy = (10**mel).sum(axis=1)
+        on = energy > 0.75 * energy.mean()
+        runs = np.flatnonzero(np.diff(np.r_[0, on, 0]))
+        active = [(a, b) for a, b in zip(runs[::2], runs[1::2]) if (energy[a:b] > 1.25 * energy.mean()).any()]
+        told = dict(p.split("=") for p in r.feature.split(";"))
+        assert told["frames"] == str(frames) and told["windows"] == str(len(r.windows)) == str(-(-frames // 32))
+        assert len(r.segments) == len(active) == int(told["segments"]) and int(told["active"]) == sum(b - a for a, b in active)
+        assert [x for s in r.segments for x in (s.start_s, s.end_s)] == pytest.approx([x * 256 / 16000 for pair in active for x in pair])
+        import pyarrow as pa
+
+        array = pa.ipc.open_stream(r.tensors).read_all().column("mel").combine_chunks()
+        got = array.to_numpy_ndarray().reshape(-1, 32) if hasattr(array, "to_numpy_ndarray") else array.chunk(0).to_numpy_ndarray().reshape(-1, 32)
+        assert np.abs(got[:frames] - mel).max() < 2e-3 and (got[frames:] == -6).all()
+        assert r.tensors_sha256 == hashlib.sha256(r.tensors).hexdigest()
+    assert media.audio(docs.limit(0)).collect() == []
+    slim = media.audio(docs, keep_media=False)
+    assert slim.where("media is null and tensors is null and size(windows) > 0").count() == len(texts)
+
+
 def test_resampling_blocks_and_segments():
     x = np.random.default_rng(1).normal(size=997).astype("f4")
     for up, down in ((1, 2), (3, 2), (2, 3)):
@@ -96,14 +130,63 @@ def test_compaction(spark, tmp_path):
     assert len(after) < before and sum(s.rows for s in after) == docs.count() and version > 7
     assert out.read().exceptAll(docs).count() == docs.exceptAll(out.read()).count() == 0
     with pytest.raises(compaction.Conflict):
-        out.commit(version - 1, [])
+        out.commit(version - 1, [], docs.schema)
     assert out.shards()[0] == version
     import os
 
+    out.vacuum(keep=1)
     kept = {os.path.join(p, f) for p, _, fs in os.walk(tmp_path / "t") for f in fs if f.startswith("part-")}
     assert len(kept) == len(after)
 
 
+def test_compaction_keeps_added_columns(spark, tmp_path):
+    out = compaction.ShardTable(spark, f"file://{tmp_path}/t", fan_in=3)
+    first = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    out.append(first)
+    for i in range(4):
+        out.append(spark.createDataFrame([(10 + i, "b", 0.5 * i, i)], "doc_id long, text string, score double, `New Col` int"))
+    assert out.read(version=1).columns == ["doc_id", "text"]
+    with pytest.raises(ValueError):
+        out.append(spark.createDataFrame([("x",)], "DOC_ID string"))
+    out.compact()
+    assert len(out.shards()[1]) < 5
+    want = {(1, "a", None, None), (2, None, None, None)} | {(10 + i, "b", 0.5 * i, i) for i in range(4)}
+    assert {tuple(r) for r in out.read().collect()} == want
+    out.append(first.limit(0))
+    assert {tuple(r) for r in out.read().collect()} == want
+
+
+def test_readers_finish_and_failed_merges_leave_nothing(spark, tmp_path, monkeypatch):
+    import os
+
+    out = compaction.ShardTable(spark, f"file://{tmp_path}/t", fan_in=2)
+    rows = spark.range(100).withColumn("v", F.lit("x"))
+    for i in range(4):
+        out.append(rows.where(F.col("id") % 4 == i))
+    held = out.read()
+    out.compact()
+    assert held.count() == 100 and out.read().count() == 100
+    out.vacuum(keep=1)
+    listed = {s.path for s in out.shards()[1]}
+    files = lambda: {os.path.relpath(os.path.join(p, f), tmp_path / "t") for p, _, fs in os.walk(tmp_path / "t") for f in fs if f.startswith("part-")}
+    assert files() == listed and len(out.versions()) == 1
+    for i in range(3):
+        out.append(rows.limit(1))
+    before, merge = files(), compaction.ShardTable.merge
+
+    def beaten(self, shards, schema):  # another writer commits while this one merges
+        new = merge(self, shards, schema)
+        base, old, known = self.manifest()
+        if len(self.versions()) < 6:
+            self.commit(base, old, known)
+        return new
+
+    monkeypatch.setattr(compaction.ShardTable, "merge", beaten)
+    out.compact()
+    assert out.read().count() == 103
+    assert files() - before == {s.path for s in out.shards()[1]} - before
+
+
 def test_compaction_edge_cases(spark, tmp_path):
     rows = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 300_000)], "doc_id long, text string")
     out = compaction.ingest(rows, f"file://{tmp_path}/a", key="doc_id").read(schema=rows.schema)
@@ -147,6 +230,25 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(pages.limit(0), RULES).collect() == []
 
 
+def test_link_targets_are_resolved_as_rfc_3986_says(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.com/b/c/d?q=1#f", "http://a.com", "http://a.com/", "https://h.org/x/y/"]
+    goals = "g ./g g/ /g //g.com/x ?y g?y g#s . ./ .. ../ ../g ../../g ../../../g /../g g/./h g/../h http://z.com/a /go?u=http://bad.com/en/x other g;x=1/../y ?u=http://q/../r".split()
+    none = "#s mailto:x@y javascript:void(0) a.b:c/d".split()
+    rows = [(b, g) for b in bases for g in goals + none]
+    for r in spark.createDataFrame(rows, "b string, g string").withColumn("o", url_filter.resolved(F.col("b"), F.col("g"))).collect():
+        want = None if r.g in none else "http:" + r.g if r.g.startswith("//") else urljoin(r.b, r.g)
+        assert (r.o or "").rstrip("/") == (want or "").rstrip("/"), (r.b, r.g)
+    pages = spark.createDataFrame(
+        [(1, "http://bad.com/safe", '<link rel="canonical" href="/go?u=http://x.com/en/x">'), (2, "http://q.com/dir/page", '<link rel=canonical href="other?a=1&amp;b=2">'), (3, "http://q.com/dir/other?a=1&b=2", '<link rel="canonical" href="//y.com/en/1">'), (4, "http://w.com/en", ""), (5, "http://w.com/en/", "")],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, RULES).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block"}
+    assert url_filter.judge(pages, RULES, spellings=False).where("page_id = 4").first().verdict == "allow"
+
+
 def test_url_targets_that_are_no_pages_are_judged(spark):
     canonical = '<link rel="canonical" href="http://x.com/en/1">'
     rows = [
@@ -183,6 +285,9 @@ def test_mixing(spark):
     made = mixing.mixed_documents(rows)
     assert made.columns == rows.columns
     assert sum(len((r.text or "").encode().split()) for r in made.collect()) == sum(r.taken for r in got)
+    own = rows.withColumns({"size": F.concat(F.lit("own"), F.col("doc_id")), "row": F.lit(4), "target": F.col("doc_id")})
+    kept = mixing.mixed_documents(own)
+    assert kept.columns == own.columns and kept.where("size <> concat('own', doc_id) or target <> doc_id or row <> 4").count() == 0
     assert mixing.mix(rows.limit(0)).collect() == []
 
 
@@ -190,9 +295,11 @@ def test_sainte_lague_against_the_plain_rule():
     import random
 
     rnd = random.Random(9)
-    for _ in range(100):
-        votes = [rnd.randrange(1, 1000) for _ in range(rnd.randrange(1, 7))]
-        seats, caps = rnd.randrange(0, 60), [rnd.randrange(5, 60) for _ in votes]
+    assert mixing.sainte_lague([1000] + [100] * 6, 160, [10**6] * 7) == [100] + [10] * 6
+    for k in range(200):
+        votes = [rnd.choice([0, 1, 2, 7, 100, rnd.randrange(1, 1000), 10**6]) for _ in range(rnd.randrange(1, 7 if k % 10 else 400))]
+        seats, caps = rnd.randrange(0, 60 if k % 10 else 900), [rnd.choice([0, 1, rnd.randrange(5, 60), 10**6]) for _ in votes]
+        caps = [c if v else 0 for v, c in zip(votes, caps, strict=True)]
         want = [0] * len(votes)
         for _ in range(min(seats, sum(caps))):
             i = max((i for i in range(len(votes)) if want[i] < caps[i]), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))
@@ -215,3 +322,82 @@ def test_pipeline_stages(spark):
             assert after.groupBy("text").count().where("count > 1").count() == 0
         now = after.cache()
     assert cp.run(spark, SF).where("length > 2048").count() == 0
+
+
+def recall_of(spark, vectors: dict[int, np.ndarray]) -> float:
+    """Share of the 5 truly nearest that are found, for ids divisible by 50."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(dict)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r.query_id][r.vec_id] = r.score
+    ids = np.array(list(vectors))
+    m = np.stack(list(vectors.values()))
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        apart = ((m - m[q]) ** 2).sum(axis=1)
+        apart[q] = 9
+        near = np.argsort(apart, kind="stable")[:5]
+        hits += sum(int(ids[i]) in got[int(ids[q])] for i in near)
+        total += 5
+        for i, s in got[int(ids[q])].items():
+            assert s == pytest.approx(float(m[q] @ m[np.flatnonzero(ids == i)[0]]), abs=1e-12)
+    return hits / total
+
+
+def test_recall_where_one_component_dominates(spark):
+    rng = np.random.default_rng(6)
+    assert recall_of(spark, {i: np.r_[1000.0, rng.normal(size=15)] for i in range(600)}) >= 0.9
+
+
+def test_recall_on_many_more_vectors_than_the_beam(spark):
+    """Clusters of near copies of 3 to 300 vectors among spread ones."""
+    rng = np.random.default_rng(7)
+    rows = [*rng.normal(size=(6000, 16))]
+    for n in (3, 10, 30, 100, 300) * 10:
+        rows += [*(rng.normal(size=16) + rng.normal(size=(n, 16)) * 1e-3)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    assert len(rows) > 10_000
+    assert recall_of(spark, dict(enumerate(rows))) >= 0.9
+
+
+def test_very_large_and_small_vectors_and_repeated_rows(spark):
+    rows = [(0, [1e-200, 0.0]), (0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [3.0, 0.0]), (3, [0.0, -5e-324]), (4, [1.7e308, 1.7e308]), (50, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 50 = 0"), k=3).collect()}
+    half = 0.5**0.5
+    assert {k: (v, pytest.approx(s, abs=1e-12)) for k, (v, s) in got.items()} == {
+        (0, 1): (2, 1.0), (0, 2): (50, 1 / 1.25**0.5), (0, 3): (1, half), (50, 1): (1, 1.5 / 1.25**0.5 * half), (50, 2): (4, 1.5 / 1.25**0.5 * half), (50, 3): (0, 1 / 1.25**0.5),
+    }
+
+
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, "The cat and the dog are in the house of the old man. It is a good day for them.", "en", "a", 9), (3, "The cat and the dog are in the house of the old man. It is a good day for them.", "en", "a", 9),
+    (4, "the cat and the dog are in the house of the old man. it is a good day for them.", None, "b", None), (None, "Der Mann und die Frau gehen mit dem Hund in das Haus. Es ist ein schöner Tag.", "de", None, 1),
+    (5, "That is what the people of the town said to all of us when we came to see it. " * 3000, "en", "b", 2), (6, "w " * 100_000, "en", "c", 3),
+]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, empty):
+    """Nulls, empty and very long texts, repeated rows, an empty table and clashing columns."""
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([] if empty else ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.withColumns({"quality": F.lit("q"), "size": F.lit(1), "found": F.lit("f"), "row": F.lit(2), "first": F.lit(3), "cid": F.lit(4), "rank": F.lit(5)})
+    out = {}
+    for name, stage in cp.STAGES:
+        out[name] = stage(spark, clashing, SF).collect()
+        if name != "pack_sequences":
+            assert stage(spark, clashing, SF).columns == clashing.columns, name
+    if empty:
+        assert not any(out.values())
+        return
+    ids = lambda name: sorted(str(r.doc_id) for r in out[name])
+    assert not {"1", "2"} & set(ids("quality_classifier"))
+    assert ids("near_duplicates") == sorted(["1", "2", "3", "5", "6", "None"])
+    assert ids("secret_scan") == sorted(str(r[0]) for r in ODD)
+    assert {(r.doc_id, r.text) for r in out["secret_scan"]} == {(r[0], r[1]) for r in ODD}
+    assert not {"1", "2"} & set(ids("mix_sources")) and all(r.size == 1 and r.row == 2 for r in out["mix_sources"])
+    assert {str(r.doc_id) for r in out["pack_sequences"]} == {str(r[0]) for r in ODD} and max(r.length for r in out["pack_sequences"]) <= 2048
