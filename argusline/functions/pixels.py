@@ -146,8 +146,9 @@ def local_threshold(px: Column, h: Column, w: Column, size: int = 15, c: float =
     return F.zip_with(px, mean, lambda v, m: v <= m - c)
 
 
-def resample(px: Column, h: Column, w: Column, oh: int, ow: int) -> Column:
+def resample(px: Column, h: Column, w: Column, oh: Column | int, ow: Column | int) -> Column:
     """Bilinear with half-pixel centres."""
+    oh, ow = F.lit(oh), F.lit(ow)
 
     def of(px: Column, y: Column, x: Column) -> Column:
         sy = F.greatest(F.lit(0.0), F.least(h - 1.0, (y + 0.5) * h / oh - 0.5))
@@ -159,7 +160,7 @@ def resample(px: Column, h: Column, w: Column, oh: int, ow: int) -> Column:
         low = _at(px, y1 * w + x0) * (1 - fx) + _at(px, y1 * w + x1) * fx
         return top * (1 - fy) + low * fy
 
-    return let(px, lambda p: _grid(F.lit(oh), F.lit(ow), lambda y, x: of(p, y, x)))
+    return let(px, lambda p: _grid(oh, ow, lambda y, x: of(p, y, x)))
 
 
 def apply_shift(px: Column, h: Column, w: Column, dx: Column, dy: Column, zero: bool = False) -> Column:

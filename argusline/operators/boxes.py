@@ -79,10 +79,14 @@ def sibling_box(ref: DataFrame, boxes: DataFrame, least: int = 1000) -> DataFram
 
 
 def dedup_boxes(boxes: DataFrame, tol: int = 10) -> DataFrame:
-    """Greedy dedup in input order: a box whose x, y and w are each within
-    ``tol`` of a kept box of its image goes.  An image's boxes are one array."""
+    """Greedy dedup in input order: a box whose x, y, w and h are each less than
+    ``tol`` from those of a kept box of its image goes.  An image's boxes are one array."""
     listed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", *BOX))).alias("all"))
-    near = lambda a, b: (F.abs(a["x"] - b["x"]) < tol) & (F.abs(a["y"] - b["y"]) < tol) & (F.abs(a["w"] - b["w"]) < tol)
+
+    def near(a: Column, b: Column) -> Column:
+        x, y, w, h = (F.abs(a[c] - b[c]) < tol for c in BOX)
+        return x & y & w & h
+
     empty = F.filter("all", lambda b: F.lit(False))
     kept = F.aggregate("all", empty, lambda acc, b: F.when(F.exists(acc, lambda k: near(k, b)), acc).otherwise(F.array_append(acc, b)))
     return listed.select("image_id", F.explode(kept).alias("b")).select("image_id", "b.*")

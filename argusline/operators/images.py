@@ -11,9 +11,15 @@ from argusline.operators.components import components_of_masks
 
 
 def pair_align(gab: DataFrame, test: DataFrame) -> DataFrame:
-    """Pairs of two image tables (pair_id, h, w, px) of equal shapes."""
+    """Pairs of two image tables (pair_id, h, w, px).
+
+    A suspect of another shape is resampled to the golden image's.
+    """
     t = test.select("pair_id", F.col("h").alias("th"), F.col("w").alias("tw"), F.col("px").alias("test"))
-    return gab.withColumnRenamed("px", "gab").join(t, "pair_id").where("h = th and w = tw").select("pair_id", "h", "w", "gab", "test")
+    both = gab.withColumnRenamed("px", "gab").join(t, "pair_id")
+    same = (F.col("h") == F.col("th")) & (F.col("w") == F.col("tw"))
+    fitted = F.when(same, F.col("test")).otherwise(P.resample(F.col("test"), F.col("th"), F.col("tw"), F.col("h"), F.col("w")))
+    return both.select("pair_id", "h", "w", "gab", fitted.alias("test"))
 
 
 def abs_diff(a: str = "gab", b: str = "test") -> Column:

@@ -14,7 +14,8 @@ def sustained_bounds(series: DataFrame, remaining: int = 15, share: float = 0.9,
     which ``remaining`` rows or more are left, ``share`` of them flagged; else
     the row after the last unflagged one.  Extents under ``least`` are null.
     """
-    tail = W.partitionBy("series_id").orderBy("i").rowsBetween(0, W.unboundedFollowing)
+    # From the end, so that each row adds one to a running frame.
+    tail = W.partitionBy("series_id").orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, 0)
     all_ = W.partitionBy("series_id")
     rows = series.withColumns({
         "tail_share": F.avg(F.col("flag").cast("double")).over(tail), "left": F.count("*").over(tail),
@@ -95,9 +96,9 @@ def inflight_gate(messages: DataFrame, key: str = "key", frame: Column | None =
 
 def decision_match(messages: DataFrame, key: str = "key") -> DataFrame:
     """Accepted frames with the next decision of their key; null if none came."""
-    order = W.partitionBy(key).orderBy("ts", "msg_id")
-    later = order.rowsBetween(1, W.unboundedFollowing)
-    mark = lambda c: F.first(F.when(F.col("kind") == "command", c), ignorenulls=True).over(later)
+    # From the end, so that the next decision is the last one met so far.
+    later = W.partitionBy(key).orderBy(F.desc("ts"), F.desc("msg_id")).rowsBetween(W.unboundedPreceding, -1)
+    mark = lambda c: F.last(F.when(F.col("kind") == "command", c), ignorenulls=True).over(later)
     rows = messages.withColumns({"decision": mark(F.col("command")), "decided_at": mark(F.col("ts"))})
     return inflight_gate(rows, key)
 

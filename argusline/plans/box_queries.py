@@ -75,9 +75,9 @@ def sibling_box(spark, d):
 DEDUP = B.with_("dense", recursive=True) + """,
 n AS (SELECT image_id, max(ord) AS m FROM dense GROUP BY 1),
 k AS (
-  SELECT image_id, 1::BIGINT AS ord, [{'o': ord, 'x': x, 'y': y, 'w': w}] AS kept FROM dense WHERE ord = 1
+  SELECT image_id, 1::BIGINT AS ord, [{'o': ord, 'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM dense WHERE ord = 1
   UNION ALL
-  SELECT k.image_id, b.ord, CASE WHEN len(list_filter(k.kept, lambda p: abs(p.x - b.x) < 10 AND abs(p.y - b.y) < 10 AND abs(p.w - b.w) < 10)) > 0 THEN k.kept ELSE list_append(k.kept, {'o': b.ord, 'x': b.x, 'y': b.y, 'w': b.w}) END
+  SELECT k.image_id, b.ord, CASE WHEN len(list_filter(k.kept, lambda p: abs(p.x - b.x) < 10 AND abs(p.y - b.y) < 10 AND abs(p.w - b.w) < 10 AND abs(p.h - b.h) < 10)) > 0 THEN k.kept ELSE list_append(k.kept, {'o': b.ord, 'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}) END
   FROM k JOIN dense b ON b.image_id = k.image_id AND b.ord = k.ord + 1)
 SELECT image_id, unnest(list_transform(kept, lambda p: p.o)) AS ord FROM k JOIN n USING (image_id) WHERE k.ord = n.m"""
 

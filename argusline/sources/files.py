@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusline.functions.text import clean_key, sanitize_category, stamp
+from argusline.operators.components import durable
 
 #: Records written beside every kept image.
 SIDECAR = (
@@ -42,13 +44,19 @@ def scan_memory(spark: SparkSession, ok_root: str, ng_root: str, multi_line: boo
 
 
 def label_from_path(df: DataFrame, path_col: str) -> DataFrame:
-    """Class of the first folder of a path, numbered in alphabetical order."""
-    from pyspark.sql import Window as W
+    """Class of the first folder of a path, numbered in alphabetical order.
 
+    Distinct labels are dealt by ranges and numbered within each; the only
+    rows that one task sees together are the counts of the ranges.
+    """
     label = F.regexp_extract(path_col, "^/*([^/?#]+)", 1)
     rows = df.withColumn("label", label)
-    # Classes are few: they are numbered apart and joined back.
-    classes = rows.select("label").distinct().withColumn("class", F.row_number().over(W.orderBy("label")) - 1)
+    # Written, so that every label keeps the range that it was dealt to.
+    ranged = durable(rows.select("label").distinct().repartitionByRange("label").withColumn("range", F.spark_partition_id()))
+    each = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = each.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("label")) - 1
+    classes = ranged.withColumn("place", place).join(before, "range").select("label", (F.col("before") + F.col("place")).cast("int").alias("class"))
     return rows.join(classes, "label")
 
 
