@@ -11,10 +11,12 @@ from argusline.functions.vectors import histogram, norm
 
 # Colour ranges (low and high h, s, v; h up to 180) of the marks.
 COLORS = {
-    "blue": (((100, 150, 50), (140, 255, 255)),),
-    "red": (((0, 120, 70), (10, 255, 255)), ((170, 120, 70), (180, 255, 255))),
-    "green": (((40, 100, 100), (80, 255, 255)),),
+    "blue": (((100, 150, 50), (130, 255, 255)),),
+    "red": (((0, 150, 50), (10, 255, 255)), ((170, 150, 50), (180, 255, 255))),
+    "green": (((40, 100, 50), (80, 255, 255)),),
+    "tight green": (((50, 150, 100), (75, 255, 255)),),
 }
+TAN = 0.4142135623730951  #: of 22.5 degrees
 GAUSS = {3: (1, 2, 1), 5: (1, 4, 6, 4, 1), 7: (2, 7, 14, 18, 14, 7, 2)}
 
 
@@ -76,16 +78,17 @@ def _grid(h: Column, w: Column, of) -> Column:
     return F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: of(F.floor(i / w).cast("int"), (i % w).cast("int")))
 
 
-def stencil(px: Column, h: Column, w: Column, kernel: Sequence[Sequence[float]]) -> Column:
-    """Weighted sum of each neighbourhood, mirrored at the border."""
+def stencil(px: Column, h: Column, w: Column, kernel: Sequence[Sequence[float]], repeat: bool = False) -> Column:
+    """Weighted sum of each neighbourhood, mirrored at the border (or its pixels repeated)."""
     ky, kx = len(kernel) // 2, len(kernel[0]) // 2
+    inner = (lambda i, n: F.greatest(F.lit(0), F.least(n - 1, i))) if repeat else _reflect
 
     def of(px: Column, y: Column, x: Column) -> Column:
         out = None
         for dy, row in enumerate(kernel):
             for dx, k in enumerate(row):
                 if k:
-                    term = _at(px, _reflect(y + (dy - ky), h) * w + _reflect(x + (dx - kx), w)) * float(k)
+                    term = _at(px, inner(y + (dy - ky), h) * w + inner(x + (dx - kx), w)) * float(k)
                     out = term if out is None else out + term
         return out
 
@@ -98,20 +101,56 @@ def gaussian(size: int) -> list[list[float]]:
     return [[a * b / total for b in one] for a in one]
 
 
-def morph(mask: Column, h: Column, w: Column, op: str, size: int = 3) -> Column:
-    """dilate, erode, open or close of a boolean mask with a square element."""
-    if op in ("open", "close"):
-        first, then = ("erode", "dilate") if op == "open" else ("dilate", "erode")
-        return morph(morph(mask, h, w, first, size), h, w, then, size)
-    r = size // 2
+def element(size: int | tuple[int, int], ellipse: bool = False) -> list[tuple[int, int, int]]:
+    """Rows (dy, first dx, last dx) of a morphology element; size is a side or (w, h).
+
+    The anchor is ``size // 2``, so even sizes reach one pixel further back.
+    """
+    w, h = (size, size) if isinstance(size, int) else size
+    rows = []
+    for dy in range(-(h // 2), h - h // 2):
+        if ellipse:
+            reach = round(w // 2 * (1 - (dy / (h // 2)) ** 2) ** 0.5) if h > 1 else w // 2
+            rows.append((dy, -reach, reach))
+        else:
+            rows.append((dy, -(w // 2), w - w // 2 - 1))
+    return rows
+
+
+def _passed(mask: Column, h: Column, w: Column, dilate: bool, rows: Sequence[tuple[int, int, int]]) -> Column:
+    """One pass of an element; pixels outside the image do not count."""
+    hit = (lambda part: F.exists(part, lambda v: v)) if dilate else (lambda part: F.forall(part, lambda v: v))
 
     def of(mask: Column, y: Column, x: Column) -> Column:
-        near = [_at(mask, F.greatest(F.lit(0), F.least(h - 1, y + dy)) * w + F.greatest(F.lit(0), F.least(w - 1, x + dx))) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-        return F.greatest(*near) if op == "dilate" else F.least(*near)
+        terms = []
+        for dy, left, right in rows:
+            x1, x2 = F.greatest(F.lit(0), x + left), F.least(w - 1, x + right)
+            part = F.slice(mask, ((y + dy) * w + x1 + 1).cast("int"), F.greatest(F.lit(0), x2 - x1 + 1).cast("int"))
+            terms.append(F.when((y + dy >= 0) & (y + dy < h), hit(part)).otherwise(not dilate))
+        out = terms[0]
+        for t in terms[1:]:
+            out = (out | t) if dilate else (out & t)
+        return out
 
     return let(mask, lambda m: _grid(h, w, lambda y, x: of(m, y, x)))
 
 
+def morph(mask: Column, h: Column, w: Column, op: str, size: int | tuple[int, int] = 3, ellipse: bool = False, times: int = 1) -> Column:
+    """dilate, erode, open or close of a boolean mask, ``times`` over.
+
+    The element is a rectangle, worked along rows and then columns, or an ellipse.
+    """
+    if op in ("open", "close"):
+        first, then = ("erode", "dilate") if op == "open" else ("dilate", "erode")
+        return morph(morph(mask, h, w, first, size, ellipse, times), h, w, then, size, ellipse, times)
+    rows = element(size, ellipse)
+    steps = [rows] if ellipse else [[(0, *rows[0][1:])], [(dy, 0, 0) for dy, _, _ in rows]]
+    for _ in range(times):
+        for step in steps:
+            mask = _passed(mask, h, w, op == "dilate", step)
+    return mask
+
+
 def mask_op(a: Column, b: Column, op: str) -> Column:
     f = {"or": lambda x, y: x | y, "and": lambda x, y: x & y, "xor": lambda x, y: x != y}[op]
     return F.zip_with(a, b, f)
@@ -184,6 +223,41 @@ def gradients(px: Column, h: Column, w: Column) -> Column:
     return F.zip_with(gx, gy, lambda a, b: F.abs(a) + F.abs(b))
 
 
+def edge_classes(px: Column, h: Column, w: Column, low: float, high: float) -> Column:
+    """2 on strong and 1 on weak ridges of the Sobel magnitude |gx| + |gy|, else 0.
+
+    A ridge is no lower than its two neighbours across the edge (in one of four
+    directions) and over ``low``; strong ones are over ``high``.
+    """
+    gx = stencil(px, h, w, [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], repeat=True)
+    gy = stencil(px, h, w, [[-1, -2, -1], [0, 0, 0], [1, 2, 1]], repeat=True)
+
+    def of(g: Column, m: Column, y: Column, x: Column) -> Column:
+        i = y * w + x
+        here, u, v = _at(m, i), F.abs(_at(g["x"], i)), F.abs(_at(g["y"], i))
+        near = lambda dy, dx: F.when((y + dy >= 0) & (y + dy < h) & (x + dx >= 0) & (x + dx < w), _at(m, i + dy * w + dx)).otherwise(0.0)
+        s = F.when(_at(g["x"], i) * _at(g["y"], i) < 0, -1).otherwise(1)
+        level = (here > near(0, -1)) & (here >= near(0, 1))
+        plumb = (here > near(-1, 0)) & (here >= near(1, 0))
+        slant = (here > near(F.lit(-1), -s)) & (here > near(F.lit(1), s))
+        ridge = F.when(v < TAN * u, level).when(v > (TAN + 2) * u, plumb).otherwise(slant)
+        return F.when((here > low) & ridge, F.when(here > high, 2).otherwise(1)).otherwise(0)
+
+    return let(F.struct(gx.alias("x"), gy.alias("y")), lambda g: let(F.zip_with(g["x"], g["y"], lambda a, b: F.abs(a) + F.abs(b)), lambda m: _grid(h, w, lambda y, x: of(g, m, y, x))))
+
+
+def padded(px: Column, h: Column, w: Column, r: int) -> Column:
+    """The image with ``r`` pixels more on each side, mirrored with the edge pixel."""
+    fold = lambda i, n: F.when(i < 0, -1 - i).when(i >= n, 2 * n - 1 - i).otherwise(i)
+    return let(px, lambda p: _grid(h + 2 * r, w + 2 * r, lambda y, x: _at(p, fold(y - r, h) * w + fold(x - r, w))))
+
+
+def ssim_full(a: Column, b: Column, h: Column, w: Column, win: int = 7) -> Column:
+    """Structural similarity of every pixel's window, mirrored at the border."""
+    r = win // 2
+    return let(padded(a, h, w, r), lambda p: let(padded(b, h, w, r), lambda q: ssim(p, q, h + 2 * r, w + 2 * r, win)))
+
+
 def block_means(px: Column, h: Column, w: Column, block: int) -> Column:
     """Means of ``block`` x ``block`` tiles, row by row, / 255."""
 

@@ -129,13 +129,18 @@ def rank_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(W.partitionBy("image_id").orderBy(area().desc(), "ord")))
 
 
+def looks_anomalous(area: Column, w: Column, h: Column, room: Column | int, least: int = 40, aspect: float = 25, solidity: float = 0.05) -> Column:
+    """Whether a region of ``area`` pixels is of a size and form to be an anomaly."""
+    ratio = F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1))
+    return (area >= least) & (w.cast("long") * h <= 0.4 * F.lit(room)) & (ratio <= aspect) & (area / (w * h) >= solidity)
+
+
 def anomaly_boxes(components: DataFrame, least: int = 40, focus_area: int = 1_000_000, aspect: float = 25, solidity: float = 0.05, dx: int = 0, dy: int = 0) -> DataFrame:
     """Components that may be anomalies, in absolute coordinates.
 
     ``area`` is the component's pixel count.
     """
-    ratio = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1))
-    ok = (F.col("area") >= least) & (F.col("w").cast("long") * F.col("h") <= 0.4 * focus_area) & (ratio <= aspect) & (F.col("area") / (F.col("w") * F.col("h")) >= solidity)
+    ok = looks_anomalous(F.col("area"), F.col("w"), F.col("h"), focus_area, least, aspect, solidity)
     return components.where(ok).withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
 
 

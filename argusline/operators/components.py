@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only if none is set."""
+    """The folder for intermediate tables; a temporary one only in a local session without."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="argusline-checkpoint-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -31,8 +33,8 @@ def label_pixels(pixels: DataFrame, max_rounds: int = 200) -> DataFrame:
     """image_id, y, x, label: the smallest (y, x) of the pixel's component.
 
     Each round a pixel takes the smallest label around it and then the label of
-    that label's pixel, which doubles the reach.  Images are independent, so
-    the work is dealt by image once.
+    that label's pixel, which doubles the reach.  A round shuffles nine rows a
+    pixel: this is for images that do not fit a row.
     """
     at = F.struct("y", "x")
     state = durable(pixels.select("image_id", "y", "x").distinct().withColumn("label", at))

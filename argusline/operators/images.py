@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from argusline.functions import pixels as P
 from argusline.functions import vectors as V
-from argusline.operators.components import components_of_masks
+from argusline.functions.masks import linked_to, region_boxes
+from argusline.functions.text import parse_panel
+from argusline.operators.boxes import BOX, box_contained, dedup_boxes, extreme_box, largest_bar, looks_anomalous, sibling_box
+from argusline.operators.sequences import photo_extent
 
 
 def pair_align(gab: DataFrame, test: DataFrame) -> DataFrame:
@@ -44,12 +52,42 @@ def gross_diff(pairs: DataFrame) -> DataFrame:
     return rows.select("pair_id", share.alias("gross"), (share > 0.15).alias("structural"))
 
 
-def edge_change(pairs: DataFrame, level: float = 150) -> DataFrame:
-    """Share of pixels whose edge flag (gradient over the level) differs."""
+def edge_masks(images: DataFrame, **edges: tuple[str, float, float]) -> DataFrame:
+    """``images`` (h, w, ...) with an edge mask for each name: (pixels, low, high).
+
+    Weak edges count where they are linked with strong ones.  An image is one
+    row, so nothing is shuffled for that.
+    """
     h, w = F.col("h"), F.col("w")
-    e = lambda c: P.threshold(P.gradients(F.col(c), h, w), level)
-    rows = pairs.withColumns({"a": e("gab"), "b": e("test")})
-    return rows.select("pair_id", (P.count_true(P.mask_op(F.col("a"), F.col("b"), "xor")) / F.size("a")).alias("edge_change"))
+    rows = images.withColumns({name: P.edge_classes(F.col(px), h, w, low, high) for name, (px, low, high) in edges.items()})
+    mask = T.ArrayType(T.BooleanType())
+    schema = T.StructType([T.StructField(f.name, mask if f.name in edges else f.dataType) for f in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide, columns = b.column("w").to_pylist(), []
+            for name in b.schema.names:
+                column = b.column(name)
+                if name in edges:
+                    found = []
+                    for k, v in zip(wide, column.to_pylist(), strict=True):
+                        grid = np.array(v or [], np.int8).reshape(-1, k or 1)
+                        found.append(linked_to(grid > 0, grid == 2).ravel().tolist() if v else v)
+                    column = pa.array(found, pa.list_(pa.bool_()))
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pair_edges(pairs: DataFrame, low: float, high: float) -> DataFrame:
+    return edge_masks(pairs.select("pair_id", "h", "w", "gab", "test"), ea=("gab", low, high), eb=("test", low, high))
+
+
+def edge_change(pairs: DataFrame, low: float = 70, high: float = 180) -> DataFrame:
+    """Share of pixels whose edge flag differs."""
+    rows = _pair_edges(pairs, low, high)
+    return rows.select("pair_id", (P.count_true(P.mask_op(F.col("ea"), F.col("eb"), "xor")) / F.size("ea")).alias("edge_change"))
 
 
 def ssim(pairs: DataFrame, win: int = 7) -> DataFrame:
@@ -66,9 +104,8 @@ def hist_corr(pairs: DataFrame, bins: int = 64) -> DataFrame:
 def pair_metrics(pairs: DataFrame) -> DataFrame:
     """All texture metrics of each pair in one pass over its arrays."""
     h, w = F.col("h"), F.col("w")
-    e = lambda c: P.threshold(P.gradients(F.col(c), h, w), 150)
-    rows = pairs.withColumns({
-        "d": abs_diff(), "ea": e("gab"), "eb": e("test"), "m": P.ssim(F.col("gab"), F.col("test"), h, w),
+    rows = _pair_edges(pairs, 70, 180).withColumns({
+        "d": abs_diff(), "m": P.ssim(F.col("gab"), F.col("test"), h, w),
         "ha": V.histogram(F.col("gab"), 0, 256, 64), "hb": V.histogram(F.col("test"), 0, 256, 64),
     })
     return rows.select(
@@ -104,25 +141,182 @@ def mask_pixels(masks: DataFrame, mask: str = "mask", id_col: str = "pair_id") -
 
 
 def components(masks: DataFrame, mask: str = "mask", id_col: str = "pair_id") -> DataFrame:
-    """Boxes of the 8-connected components of each mask: ord, x, y, w, h, area."""
-    return components_of_masks(mask_pixels(masks, mask, id_col))
+    """Boxes of the 8-connected components of each mask: ord, x, y, w, h, area.
+
+    An image is one row and its regions are found where it is; pixel tables of
+    images too large for a row go through ``components_of_masks``.
+    """
+    kind = masks.schema[id_col].dataType.simpleString()
+    slim = masks.select(F.col(id_col).alias("image_id"), F.col("w").alias("wide"), F.col(mask).alias("mask"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, wide, m in zip(*(b.column(c).to_pylist() for c in ("image_id", "wide", "mask")), strict=True):
+                found = region_boxes(np.array(m, bool).reshape(-1, wide)) if m else []
+                rows += [(i, k + 1, *box) for k, box in enumerate(found)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [b.column("image_id").type, *[pa.int32()] * 5, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "ord", "x", "y", "w", "h", "area"])
+
+    return slim.mapInArrow(run, f"image_id {kind}, ord int, x int, y int, w int, h int, area long")
 
-def ink_error(pairs: DataFrame, size: int = 3, border: int = 1) -> DataFrame:
-    """Share of pixels whose ink mask differs beyond a dilated golden mask."""
-    h, w = F.col("h"), F.col("w")
-    rows = pairs.withColumns({"a": P.local_threshold(F.col("gab"), h, w, size), "b": P.local_threshold(F.col("test"), h, w, size)})
-    rows = rows.withColumn("wide", P.morph(F.col("a"), h, w, "dilate"))
-    rows = rows.withColumn("mask", P.border_ignore(F.zip_with("b", "wide", lambda x, y: x & ~y), h, w, border))
-    return rows.select("pair_id", "h", "w", "mask", (P.count_true(F.col("mask")) / F.size("mask")).alias("error"))
 
+def largest_region(masks: DataFrame, mask: str = "mask", id_col: str = "pair_id", least: int = 0) -> DataFrame:
+    """The region of each mask with the most pixels, over ``least`` of them."""
+    found = components(masks, mask, id_col).where(F.col("area") > least)
+    return found.groupBy("image_id").agg(F.max_by(F.struct("x", "y", "w", "h"), F.struct("area", -F.col("ord"))).alias("box")).withColumnRenamed("image_id", id_col)
 
-def detect_anomalies(pairs: DataFrame, level: float = 0.5, border: int = 1, least: int = 2) -> DataFrame:
-    """Boxes of low local similarity that also differ in value."""
+
+def context_localized(pairs: DataFrame, side: int = 96, level: float = 100, most: int = 3) -> DataFrame:
+    """Whether a difference is local: pair_id, ctx_ssim, n_clusters, is_localized.
+
+    ``pairs`` also has a box bx, by, bw, bh.  Both images are cut to it, widened
+    by its longer side, and resampled to ``side``; clusters are regions where
+    ``(1 - similarity) * 255`` is over ``level``.  An empty cut is local.
+    """
+    h, w, grow = F.col("h"), F.col("w"), F.greatest("bw", "bh")
+    x1, y1 = F.greatest(F.lit(0), F.col("bx") - grow), F.greatest(F.lit(0), F.col("by") - grow)
+    x2, y2 = F.least(w, F.col("bx") + F.col("bw") + grow), F.least(h, F.col("by") + F.col("bh") + grow)
+    rows = pairs.select("pair_id", "h", "w", "gab", "test", x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("cw"), (y2 - y1).alias("ch"))
+    there = (F.col("cw") > 0) & (F.col("ch") > 0)
+    cut = lambda px: P.resample(P.crop(F.col(px), h, w, F.col("x1"), F.col("y1"), F.col("cw"), F.col("ch")), F.col("ch"), F.col("cw"), side, side)
+    full = F.lit(side)
+    seen = rows.where(there).select("pair_id", cut("gab").alias("a"), cut("test").alias("b")).select("pair_id", P.ssim_full(F.col("a"), F.col("b"), full, full).alias("m"))
+    seen = seen.select("pair_id", full.alias("w"), V.mean(F.col("m")).alias("ctx_ssim"), F.transform("m", lambda v: F.floor((1 - v) * 255) > level).alias("mask"))
+    counts = components(seen).groupBy(F.col("image_id").alias("pair_id")).agg(F.count("*").alias("n"))
+    out = seen.select("pair_id", "ctx_ssim").join(counts, "pair_id", "left").select("pair_id", "ctx_ssim", F.coalesce("n", F.lit(0)).alias("n_clusters"))
+    out = out.unionByName(rows.where(~F.coalesce(there, F.lit(False))).select("pair_id", F.lit(1.0).alias("ctx_ssim"), F.lit(0).cast("long").alias("n_clusters")))
+    return out.withColumn("is_localized", F.col("n_clusters") <= most)
+
+
+def macro_boxes(pairs: DataFrame, blur: int = 7, grow: int = 5, close: int = 20, open_: int = 5, least: int = 600, low: float = 50, high: float = 150) -> DataFrame:
+    """Boxes of large regions whose edges differ: pair_id, ord, x, y, w, h, area.
+
+    Edges of the blurred suspect against the golden ones, dilated by an ellipse
+    as a tolerance; the difference is closed, opened and parted into regions.
+    """
+    h, w, k = F.col("h"), F.col("w"), P.gaussian(blur)
+    rows = pairs.select("pair_id", "h", "w", P.stencil(F.col("gab"), h, w, k).alias("ga"), P.stencil(F.col("test"), h, w, k).alias("gb"))
+    rows = edge_masks(rows, ea=("ga", low, high), eb=("gb", low, high)).select("pair_id", "h", "w", P.morph(F.col("ea"), h, w, "dilate", grow, ellipse=True).alias("ea"), "eb")
+    rows = rows.withColumn("mask", P.mask_op(F.col("ea"), F.col("eb"), "xor"))
+    rows = rows.withColumn("mask", P.morph(P.morph(F.col("mask"), h, w, "close", close), h, w, "open", open_))
+    return components(rows).where(F.col("area") > least).withColumnRenamed("image_id", "pair_id")
+
+
+def ink_error(pairs: DataFrame, size: int = 15, c: float = 3, open_: int = 2, grow: int = 4, border: int = 3, close: tuple[int, int] = (15, 5), tolerance: float = 0.05, least: int = 10, margin: int = 5, radius: int = 2) -> DataFrame:
+    """Ink that differs: pair_id, error (share of pixels), is_critical, box.
+
+    The suspect is moved onto the golden image, both are blurred and reduced to
+    ink by a local threshold and an opening, and the golden ink is dilated; what
+    is in one of both masks, but for the border, is closed and counted.  Over
+    the tolerance the box of the largest region is given with a margin.
+    """
+    h, w = F.col("h"), F.col("w")
+    moved = pairs.select("pair_id", "h", "w", "gab", "test").join(shift_estimate(pairs, radius).select("pair_id", "dx", "dy"), "pair_id")
+    rows = moved.withColumn("test", P.apply_shift(F.col("test"), h, w, -F.col("dx"), -F.col("dy")))
+    ink = lambda px: P.local_threshold(P.stencil(F.col(px), h, w, P.gaussian(3)), h, w, size, c)
+    rows = rows.select("pair_id", "h", "w", "dx", "dy", ink("gab").alias("a"), ink("test").alias("b"))
+    rows = rows.select("pair_id", "h", "w", "dx", "dy", P.morph(P.morph(F.col("a"), h, w, "open", open_), h, w, "dilate", grow).alias("a"), P.morph(F.col("b"), h, w, "open", open_).alias("b"))
+    # The first rows and columns are cleared up to and with number `border`.
+    inside = lambda i, n: (i > border) & (i < n - border)
+    diff = P.let(P.mask_op(F.col("a"), F.col("b"), "xor"), lambda m: P._grid(h, w, lambda y, x: F.get(m, (y * w + x).cast("int")) & inside(y, h) & inside(x, w)))
+    rows = rows.withColumn("mask", diff).withColumn("mask", P.morph(F.col("mask"), h, w, "close", close))
+    rows = rows.withColumn("error", P.count_true(F.col("mask")) / F.size("mask")).withColumn("is_critical", F.col("error") > tolerance)
+    box = largest_region(rows.where("is_critical"), least=least)
+    wide = F.struct(F.greatest(F.lit(0), F.col("box.x") - margin).alias("x"), F.greatest(F.lit(0), F.col("box.y") - margin).alias("y"), F.least(w, F.col("box.w") + 2 * margin).alias("w"), F.least(h, F.col("box.h") + 2 * margin).alias("h"))
+    return rows.join(box, "pair_id", "left").select("pair_id", "error", "is_critical", F.when(F.col("box").isNotNull(), wide).alias("box"))
+
+
+CHANNELS = ("r", "g", "b")
+
+
+def color_pixels(prefix: str, *colors: str) -> Column:
+    """Mask of the pixels of an image (columns prefix + r, g, b) in one of the colours."""
+
+    def of(p: Column) -> Column:
+        hsv = P.to_hsv(p["0"], p["1"], p["2"])
+        out = F.lit(False)
+        for c in colors:
+            out = out | P.color_mask(*hsv, P.COLORS[c])
+        return out
+
+    return F.transform(F.arrays_zip(*[F.col(prefix + c).alias(str(i)) for i, c in enumerate(CHANNELS)]), of)
+
+
+def detect_anomalies(pairs: DataFrame, least_box: int = 10, tol: int = 10, pad: int = 40, ui: int = 7, border: int = 8, win: int = 7, similar: float = 100, color: float = 80, open_: int = 5, close: int = 13, least: int = 40) -> DataFrame:
+    """Anomalies and marked boxes of colour pairs: pair_id, kind, ord, x, y, w, h.
+
+    ``pairs`` has pair_id, h, w and the channels gab_r, gab_g, gab_b, test_r,
+    test_g, test_b.  Green boxes of the suspect are a hierarchy: the largest is
+    the component (kind ``global``; the whole image if there is none), those
+    inside it are ``epicentre``.  Around the component, without the marks'
+    colours and the border, ``anomaly`` are regions that differ in structure
+    and in colour.
+    """
     h, w = F.col("h"), F.col("w")
-    rows = pairs.withColumns({"d": abs_diff(), "m": P.ssim(F.col("gab"), F.col("test"), h, w, 3)})
-    # The map of a 3 x 3 window lacks a border of one pixel.
-    inside = lambda y, x: (y > 0) & (x > 0) & (y < h - 1) & (x < w - 1)
-    low = P.let(F.col("m"), lambda m: P._grid(h, w, lambda y, x: F.when(inside(y, x), F.get(m, ((y - 1) * (w - 2) + x - 1).cast("int")) < level).otherwise(False)))
-    rows = rows.withColumn("mask", P.border_ignore(F.zip_with(low, F.col("d"), lambda a, b: a & (b > 0.15 * 255)), h, w, border))
-    return components(rows).where(F.col("area") >= least)
+    green = components(pairs.select("pair_id", "h", "w", color_pixels("test_", "green").alias("mask")))
+    boxes = dedup_boxes(green.where((F.col("w") > least_box) & (F.col("h") > least_box)).select("image_id", "ord", "x", "y", "w", "h"), tol)
+    inner = box_contained(boxes).select(F.col("image_id").alias("pair_id"), F.lit("epicentre").alias("kind"), "ord", "x", "y", "w", "h")
+    top = extreme_box(boxes, largest=True).select(F.col("image_id").alias("pair_id"), F.col("ord").alias("gord"), *[F.col(c).alias(f"g{c}") for c in BOX])
+    rows = pairs.join(top, "pair_id", "left")
+    whole = rows.select("pair_id", F.lit("global").alias("kind"), F.coalesce("gord", F.lit(0)).alias("ord"), F.coalesce("gx", F.lit(0)).alias("x"), F.coalesce("gy", F.lit(0)).alias("y"), F.coalesce("gw", "w").alias("w"), F.coalesce("gh", "h").alias("h"))
+    x1, y1 = F.greatest(F.lit(0), F.coalesce(F.col("gx") - pad, F.lit(0))), F.greatest(F.lit(0), F.coalesce(F.col("gy") - pad, F.lit(0)))
+    x2, y2 = F.least(w, F.coalesce(F.col("gx") + F.col("gw") + pad, w)), F.least(h, F.coalesce(F.col("gy") + F.col("gh") + pad, h))
+    at = rows.withColumns({"fx": x1, "fy": y1, "fw": x2 - x1, "fh": y2 - y1})
+    cut = lambda c: P.crop(F.col(c), h, w, F.col("fx"), F.col("fy"), F.col("fw"), F.col("fh"))
+    names = [f"{s}_{c}" for s in ("gab", "test") for c in CHANNELS]
+    focus = at.select("pair_id", "fx", "fy", F.col("fh").alias("h"), F.col("fw").alias("w"), *[cut(c).alias(c) for c in names])
+    marks = P.mask_op(color_pixels("gab_", "green", "red", "blue"), color_pixels("test_", "green", "red", "blue"), "or")
+    focus = focus.withColumn("ui", marks).withColumns({c: P.stencil(F.col(c), h, w, P.gaussian(3)) for c in names})
+    gray = lambda s: F.transform(F.arrays_zip(*[F.col(f"{s}_{c}").alias(str(i)) for i, c in enumerate(CHANNELS)]), lambda p: P.to_gray(p["0"], p["1"], p["2"]))
+    apart = F.transform(F.arrays_zip(*[F.zip_with(f"gab_{c}", f"test_{c}", lambda a, b: F.abs(a - b)).alias(str(i)) for i, c in enumerate(CHANNELS)]), lambda p: P.to_gray(p["0"], p["1"], p["2"]) > color)
+    focus = focus.select("pair_id", "fx", "fy", "h", "w", "ui", apart.alias("differs"), gray("gab").alias("a"), gray("test").alias("b"))
+    focus = focus.select("pair_id", "fx", "fy", "h", "w", P.morph(F.col("ui"), h, w, "dilate", ui, times=2).alias("ui"), "differs", P.ssim_full(F.col("a"), F.col("b"), h, w, win).alias("m"))
+    unlike = F.transform("m", lambda v: F.floor(F.greatest(v, F.lit(0.0)) * 255) <= similar)
+    both = P.mask_op(P.mask_op(unlike, F.col("differs"), "and"), P.mask_not(F.col("ui")), "and")
+    focus = focus.select("pair_id", "fx", "fy", "h", "w", P.border_ignore(both, h, w, border).alias("mask"))
+    focus = focus.withColumn("mask", P.morph(P.morph(F.col("mask"), h, w, "open", open_, ellipse=True, times=2), h, w, "close", close))
+    found = components(focus).join(focus.select(F.col("pair_id").alias("image_id"), "fx", "fy", (h * w).alias("room")), "image_id")
+    kept = found.where(looks_anomalous(F.col("area"), F.col("w"), F.col("h"), F.col("room"), least)).withColumns({"x": F.col("x") + F.col("fx"), "y": F.col("y") + F.col("fy")})
+    return kept.select(F.col("image_id").alias("pair_id"), F.lit("anomaly").alias("kind"), "ord", "x", "y", "w", "h").unionByName(inner).unionByName(whole)
+
+
+def detect_layout(frames: DataFrame, bar: int = 2000, sibling: int = 1000, tallest: int = 600, least: int = 20) -> DataFrame:
+    """The golden and suspect photo and the text of each frame, or why there is none.
+
+    ``frames`` has frame_id, h, w, r, g, b and raw_text.  Returns frame_id,
+    status (``ok``, ``no blue bar``, ``no red bar``, ``empty photo``), golden and
+    suspect (struct x, y, w, h) and the text's board, parts and value.  The red
+    bar is the blue one's sibling, else the largest; photos stand below the bars.
+    """
+    masks = frames.select("frame_id", "h", "w", "r", "g", "b", color_pixels("", "blue").alias("blue"), color_pixels("", "red").alias("red"))
+    blue = largest_bar(components(masks, "blue", "frame_id"), bar)
+    red = components(masks, "red", "frame_id")
+    beside = sibling_box(blue, red, sibling).where("is_sibling").select("image_id", F.struct(*BOX).alias("sibling"))
+    alone = largest_bar(red, bar).select("image_id", F.struct(*BOX).alias("alone"))
+    base = frames.select(F.col("frame_id").alias("image_id"), F.col("h").alias("fh"), F.col("w").alias("fw"), parse_panel(F.col("raw_text")).alias("text"))
+    bars = base.join(blue.select("image_id", F.struct(*BOX).alias("blue")), "image_id", "left").join(beside, "image_id", "left").join(alone, "image_id", "left")
+    bars = bars.withColumn("red", F.coalesce("sibling", "alone"))
+    bottom = F.greatest(F.col("blue.y") + F.col("blue.h"), F.col("red.y") + F.col("red.h"))
+    bars = bars.withColumn("tall", F.least(F.lit(tallest), F.col("fh") - bottom - 50))
+    strips = bars.where("blue IS NOT NULL AND red IS NOT NULL").select("image_id", "fh", "fw", "tall", F.explode(F.array(F.struct(F.lit("golden").alias("side"), F.col("blue").alias("bar")), F.struct(F.lit("suspect").alias("side"), F.col("red").alias("bar")))).alias("s"))
+    strips = strips.select("image_id", "s.side", F.greatest(F.lit(0), F.col("s.bar.x")).alias("sx"), (F.col("s.bar.y") + F.col("s.bar.h")).alias("sy"), F.least("fw", F.col("s.bar.x") + F.col("s.bar.w")).alias("ex"), F.least("fh", F.col("s.bar.y") + F.col("s.bar.h") + F.col("tall")).alias("ey"))
+    strips = strips.where((F.col("ey") - F.col("sy") >= least) & (F.col("ex") - F.col("sx") >= least))
+    # Interface gray of each strip's pixels; both strips of a frame are images of their own.
+    pixel = lambda p: P.neutral_mask(p["0"], p["1"], p["2"], P.to_hsv(p["0"], p["1"], p["2"])[1])
+    gray = masks.select(F.col("frame_id").alias("image_id"), "w", F.transform(F.arrays_zip(*[F.col(c).alias(str(i)) for i, c in enumerate(CHANNELS)]), pixel).alias("gray"))
+    key = F.struct("image_id", "side", "sx", "sy", "ex", "ey")
+    cut = strips.join(gray, "image_id").select(key.alias("image_id"), F.explode(F.sequence(F.col("sy"), F.col("ey") - 1)).alias("fy"), "w", "gray")
+    line = F.slice("gray", (F.col("fy") * F.col("w") + F.col("image_id.sx") + 1).cast("int"), (F.col("image_id.ex") - F.col("image_id.sx")).cast("int"))
+    pixels = cut.select("image_id", (F.col("fy") - F.col("image_id.sy")).alias("y"), F.posexplode(line).alias("x", "flag"))
+    extent = photo_extent(pixels, F.col("image_id.ey") - F.col("image_id.sy"), F.col("image_id.ex") - F.col("image_id.sx"))
+    box = F.struct((F.col("image_id.sx") + F.col("left")).alias("x"), (F.col("image_id.sy") + F.col("top")).alias("y"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"))
+    photos = extent.select(F.col("image_id.image_id").alias("image_id"), "image_id.side", box.alias("box")).groupBy("image_id").agg(
+        F.max(F.when(F.col("side") == "golden", F.col("box"))).alias("golden"), F.max(F.when(F.col("side") == "suspect", F.col("box"))).alias("suspect")
+    )
+    out = bars.join(photos, "image_id", "left")
+    both = F.col("golden").isNotNull() & F.col("suspect").isNotNull()
+    status = F.when(F.col("blue").isNull(), "no blue bar").when(F.col("red").isNull(), "no red bar").when(both, "ok").otherwise("empty photo")
+    shown = lambda c: F.when(both, F.col(c)).alias(c)
+    return out.select(F.col("image_id").alias("frame_id"), status.alias("status"), shown("golden"), shown("suspect"), *[F.when(both, F.col(f"text.{c}")).alias(c) for c in ("board", "parts", "value")])

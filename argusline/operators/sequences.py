@@ -48,7 +48,7 @@ def band_fraction(pixels: DataFrame, axis: str, level: float = 0.75) -> DataFram
     return out.withColumn("band", F.col("share") >= level)
 
 
-def photo_extent(pixels: DataFrame, height: int, width: int) -> DataFrame:
+def photo_extent(pixels: DataFrame, height: int | Column, width: int | Column) -> DataFrame:
     """Rows and columns of the photo in a frame (image_id, y, x, flag).
 
     Flagged bands bound it: rows by sustained bounds, then, within those rows,

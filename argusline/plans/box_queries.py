@@ -182,9 +182,9 @@ def to_hsv(spark, d):
     return _hsv(spark, d).select("l_orderkey", "l_linenumber", F.round("h", 4).alias("h"), F.round("s", 4).alias("s"), "v")
 
 
-@query("color_mask", HSV + " SELECT count(*) FILTER (h BETWEEN 100 AND 140 AND s >= 150 AND v >= 50) AS blue, count(*) FILTER ((h <= 10 OR h BETWEEN 170 AND 180) AND s >= 120 AND v >= 70) AS red, count(*) FILTER (h BETWEEN 40 AND 80 AND s >= 100 AND v >= 100) AS green, l_linenumber FROM hsv GROUP BY l_linenumber")
+@query("color_mask", HSV + " SELECT count(*) FILTER (h BETWEEN 100 AND 130 AND s >= 150 AND v >= 50) AS blue, count(*) FILTER ((h <= 10 OR h BETWEEN 170 AND 180) AND s >= 150 AND v >= 50) AS red, count(*) FILTER (h BETWEEN 40 AND 80 AND s >= 100 AND v >= 50) AS green, count(*) FILTER (h BETWEEN 50 AND 75 AND s >= 150 AND v >= 100) AS tight_green, l_linenumber FROM hsv GROUP BY l_linenumber")
 def color_mask(spark, d):
-    counts = [F.count_if(P.color_mask(F.col("h"), F.col("s"), F.col("v"), P.COLORS[c])).alias(c) for c in ("blue", "red", "green")]
+    counts = [F.count_if(P.color_mask(F.col("h"), F.col("s"), F.col("v"), P.COLORS[c])).alias(c.replace(" ", "_")) for c in P.COLORS]
     return _hsv(spark, d).groupBy("l_linenumber").agg(*counts)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from argusline.functions import pixels as P
@@ -27,11 +29,14 @@ PX, PP = B.with_("px"), B.with_("px", "pp")
 REF = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
 
 
-def stencil_sql(source: str, out: str, weights: list[list[float]], key: str = "vec_id", value: str = "v") -> str:
-    """A common table expression that applies a kernel with mirrored borders."""
+REP = "greatest(0, least(7, {0}))"
+
+
+def stencil_sql(source: str, out: str, weights: list[list[float]], key: str = "vec_id", value: str = "v", edge: str = REF) -> str:
+    """A common table expression that applies a kernel with mirrored (or repeated) borders."""
     r, c = len(weights) // 2, len(weights[0]) // 2
     rows = ", ".join(f"({i - r}, {j - c}, {w}::DOUBLE)" for i, row in enumerate(weights) for j, w in enumerate(row) if w)
-    return f"{out} AS (SELECT p.{key}, p.y, p.x, sum(q.{value} * k.wt) AS {value} FROM {source} p, (VALUES {rows}) k(dy, dx, wt) JOIN {source} q ON q.{key} = p.{key} AND q.y = {REF.format('(p.y + k.dy)')} AND q.x = {REF.format('(p.x + k.dx)')} GROUP BY 1, 2, 3)"
+    return f"{out} AS (SELECT p.{key}, p.y, p.x, sum(q.{value} * k.wt) AS {value} FROM {source} p, (VALUES {rows}) k(dy, dx, wt) JOIN {source} q ON q.{key} = p.{key} AND q.y = {edge.format('(p.y + k.dy)')} AND q.x = {edge.format('(p.x + k.dx)')} GROUP BY 1, 2, 3)"
 
 
 def _longs(df, *names):
@@ -80,9 +85,16 @@ def stencil(spark, d):
     return _pixels(im).withColumn("v", F.round("v", 3))
 
 
-@query("local_threshold")
+def _smooth(size: int) -> list[float]:
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    one = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    return [v / sum(one) for v in one]
+
+
+# Close to the threshold rounding decides; a millionth keeps both sides alike.
+@query("local_threshold", PX + ", " + stencil_sql("px", "b1", [_smooth(3)]) + ", " + stencil_sql("b1", "b2", [[v] for v in _smooth(3)]) + " SELECT px.vec_id, count(*) FILTER (px.v <= b2.v - 3.000001) AS n FROM px JOIN b2 USING (vec_id, y, x) GROUP BY 1")
 def local_threshold(spark, d):
-    im = B.images(spark, d).withColumn("m", P.local_threshold(F.col("px"), F.col("h"), F.col("w"), 3, 3))
+    im = B.images(spark, d).withColumn("m", P.local_threshold(F.col("px"), F.col("h"), F.col("w"), 3, 3.000001))
     return im.select("vec_id", P.count_true(F.col("m")).cast("long").alias("n"))
 
 
@@ -156,16 +168,32 @@ def ssim(spark, d):
     return _longs(I.ssim(B.pairs(spark, d)), "ssim")
 
 
-SOBEL = ", " + stencil_sql("px", "gx", [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]) + ", " + stencil_sql("px", "gy", [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]) + ", ed AS (SELECT vec_id, y, x, abs(gx.v) + abs(gy.v) > 150 AS f FROM gx JOIN gy USING (vec_id, y, x)), ec AS (SELECT a.vec_id // 2 AS pair_id, avg((a.f <> b.f)::INT) AS edge_change FROM ed a JOIN ed b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.vec_id % 2 = 0 GROUP BY 1)"
+GRADIENTS = ", " + stencil_sql("px", "gx", [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], edge=REP) + ", " + stencil_sql("px", "gy", [[-1, -2, -1], [0, 0, 0], [1, 2, 1]], edge=REP) + """,
+gm AS (SELECT vec_id, y, x, abs(gx.v) + abs(gy.v) AS m, CASE WHEN abs(gy.v) < 0.4142135623730951::DOUBLE * abs(gx.v) THEN 0 WHEN abs(gy.v) > 2.414213562373095::DOUBLE * abs(gx.v) THEN 1 WHEN gx.v * gy.v < 0 THEN 2 ELSE 3 END AS dir FROM gx JOIN gy USING (vec_id, y, x)),
+st AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 1, -1), (3, 1, 1)) t(dir, dy, dx)),
+rg AS MATERIALIZED (SELECT a.vec_id, a.y, a.x, a.m, a.m > coalesce(p.m, 0) AND (a.m > coalesce(q.m, 0) OR (a.dir < 2 AND a.m = coalesce(q.m, 0))) AS ridge FROM gm a JOIN st USING (dir)
+LEFT JOIN gm p ON p.vec_id = a.vec_id AND p.y = a.y - st.dy AND p.x = a.x - st.dx LEFT JOIN gm q ON q.vec_id = a.vec_id AND q.y = a.y + st.dy AND q.x = a.x + st.dx)"""
+
 
+def edges_sql(low: float, high: float) -> str:
+    """Ridges over ``high`` and those over ``low`` that are linked with them: table ed."""
+    return GRADIENTS + f""",
+eh AS (SELECT vec_id, y, x FROM rg WHERE ridge AND m > {high} UNION SELECT w.vec_id, w.y, w.x FROM eh JOIN rg w ON w.vec_id = eh.vec_id AND abs(w.y - eh.y) <= 1 AND abs(w.x - eh.x) <= 1 WHERE w.ridge AND w.m > {low}),
+ed AS (SELECT rg.vec_id, rg.y, rg.x, eh.vec_id IS NOT NULL AS f FROM rg LEFT JOIN eh USING (vec_id, y, x))"""
 
-@query("edge_mask", PX + SOBEL + " SELECT vec_id, count(*) FILTER (f) AS n FROM ed GROUP BY 1")
+
+CHANGE = ", ec AS (SELECT a.vec_id // 2 AS pair_id, avg((a.f <> b.f)::INT) AS edge_change FROM ed a JOIN ed b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.vec_id % 2 = 0 GROUP BY 1)"
+RPX = B.with_("px", recursive=True)
+
+
+@query("edge_mask", RPX + edges_sql(50, 150) + " SELECT vec_id, count(*) FILTER (f) AS n, coalesce(sum(y * 8 + x) FILTER (f), 0)::BIGINT AS s FROM ed GROUP BY 1")
 def edge_mask(spark, d):
-    e = P.threshold(P.gradients(F.col("px"), F.col("h"), F.col("w")), 150)
-    return B.images(spark, d).select("vec_id", P.count_true(e).cast("long").alias("n"))
+    rows = I.edge_masks(B.images(spark, d), e=("px", 50, 150))
+    places = F.transform("e", lambda v, i: F.when(v, i).otherwise(0))
+    return rows.select("vec_id", P.count_true(F.col("e")).cast("long").alias("n"), F.aggregate(places, F.lit(0), lambda acc, x: acc + x).cast("long").alias("s"))
 
 
-@query("edge_change", PX + SOBEL + " SELECT pair_id, round(edge_change, 6) AS edge_change FROM ec")
+@query("edge_change", RPX + edges_sql(70, 180) + CHANGE + " SELECT pair_id, round(edge_change, 6) AS edge_change FROM ec")
 def edge_change(spark, d):
     return I.edge_change(B.pairs(spark, d)).select("pair_id", F.round("edge_change", 6).alias("edge_change"))
 
@@ -184,7 +212,7 @@ def hist_corr(spark, d):
     return _longs(I.hist_corr(B.pairs(spark, d)), "hist_corr")
 
 
-METRICS = SSIM_SQL.rstrip() + SOBEL + HIST + """,
+METRICS = SSIM_SQL.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + edges_sql(70, 180) + CHANGE + HIST + """,
 df AS (SELECT pair_id, avg(abs(g - t)) / 255 AS mean_diff, avg((abs(g - t) > 38.25)::INT) AS pct FROM pp GROUP BY 1),
 m AS (SELECT pair_id, ssim, mean_diff, pct, edge_change AS edge, hist_corr AS hist FROM s JOIN df USING (pair_id) JOIN ec USING (pair_id) JOIN hc USING (pair_id)),
 l AS (SELECT *, greatest(0, least(1, greatest(0, (0.85::DOUBLE - ssim) / 0.85::DOUBLE) * 0.35::DOUBLE + least(1, mean_diff / 0.25::DOUBLE) * 0.20::DOUBLE + least(1, pct / 0.40::DOUBLE) * 0.20::DOUBLE + least(1, edge / 0.25::DOUBLE) * 0.15::DOUBLE + greatest(0, (0.80::DOUBLE - hist) / 0.80::DOUBLE) * 0.10::DOUBLE)) AS local FROM m)
@@ -256,12 +284,71 @@ def components(spark, d):
 
 @query("ink_error")
 def ink_error(spark, d):
-    return I.ink_error(B.pairs(spark, d)).select("pair_id", F.round("error", 5).alias("error"))
+    """Ink of 8 x 8 images, with elements in proportion."""
+    rows = I.ink_error(B.pairs(spark, d), size=3, grow=2, border=0, close=(3, 1), tolerance=0.05, least=2, margin=1, radius=1)
+    return rows.select("pair_id", F.round("error", 5).alias("error"), "is_critical", "box.x", "box.y", "box.w", "box.h")
+
+
+@query("context_localized")
+def context_localized(spark, d):
+    """Around a quarter of each image, resampled to 12 x 12."""
+    corner = (F.col("pair_id") % 5).cast("int")
+    pairs = B.pairs(spark, d).withColumns({"bx": corner, "by": F.lit(2), "bw": F.lit(3), "bh": F.lit(2)})
+    return I.context_localized(pairs, side=12).withColumn("ctx_ssim", F.round("ctx_ssim", 5))
+
+
+@query("macro_boxes")
+def macro_boxes(spark, d):
+    return I.macro_boxes(B.pairs(spark, d), blur=3, grow=3, close=2, open_=2, least=3)
+
+
+def _frames(spark, d, tall: int, wide: int, of: int = 576):
+    """Colour images of ``of`` line items each, one supplier's after the other, every pixel a block."""
+    from pyspark.sql import Window as W
+
+    rows = B.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey AS s", "CAST(l_partkey % 256 AS DOUBLE) AS r", "CAST(l_suppkey * 7 % 256 AS DOUBLE) AS g", "CAST(CAST(l_quantity * 5 AS BIGINT) % 256 AS DOUBLE) AS b")
+    n = F.row_number().over(W.partitionBy("s").orderBy("l_orderkey", "l_linenumber", "r", "b")) - 1
+    cells = rows.withColumn("i", n).groupBy("s", F.floor(F.col("i") / of).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b"))).alias("p"))
+    side = int(of**0.5)
+    grown = lambda c: P.let(F.concat(F.col(f"p.{c}"), F.array_repeat(F.lit(0.0), F.lit(of) - F.size("p"))), lambda v: P._grid(F.lit(tall), F.lit(wide), lambda y, x: F.get(v, (F.floor(y * side / tall) * side + F.floor(x * side / wide)).cast("int"))))
+    return cells.select("s", "tile", F.lit(tall).alias("h"), F.lit(wide).alias("w"), *[grown(c).alias(c) for c in ("r", "g", "b")])
 
 
 @query("detect_anomalies")
 def detect_anomalies(spark, d):
-    return I.detect_anomalies(B.pairs(spark, d))
+    """Each tile of a supplier against its next one, a green frame drawn around the middle."""
+    f = _frames(spark, d, 24, 24)
+    edge = lambda y, x: ((y == 4) | (y == 19)) & (x >= 4) & (x <= 19) | ((x == 4) | (x == 19)) & (y >= 4) & (y <= 19)
+    drawn = lambda c, v: P.let(F.col(c), lambda p: P._grid(F.col("h"), F.col("w"), lambda y, x: F.when(edge(y, x), float(v)).otherwise(F.get(p, y * 24 + x))))
+    test = f.select("s", (F.col("tile") - 1).alias("tile"), drawn("r", 0).alias("test_r"), drawn("g", 200).alias("test_g"), drawn("b", 0).alias("test_b"))
+    pairs = f.select("s", "tile", "h", "w", F.col("r").alias("gab_r"), F.col("g").alias("gab_g"), F.col("b").alias("gab_b")).join(test, ["s", "tile"])
+    pairs = pairs.withColumn("pair_id", F.col("s") * 1000 + F.col("tile"))
+    return I.detect_anomalies(pairs, pad=2, ui=3, border=1, win=3, open_=3, close=3, least=2)
+
+
+@query("detect_layout")
+def detect_layout(spark, d):
+    """Screens of two coloured bars above photos, with the panel text of a part.
+
+    Frames of some suppliers lack a bar, and photos are as wide as the tile's number.
+    """
+    f = _frames(spark, d, 80, 96).withColumn("frame_id", F.col("s") * 1000 + F.col("tile"))
+    kind, reach = F.col("s") % 7, (F.col("tile") % 12 + 12).cast("int")
+
+    def screen(c: str) -> F.Column:
+        def of(p, y, x):
+            bar = (y >= 2) & (y < 8)
+            blue, red = bar & (x >= 4) & (x < 44) & (kind != 1), bar & (x >= 50) & (x < 90) & (kind != 2)
+            photo = (y >= 10) & (y < 22) & ((x >= 8) & (x < 8 + reach) | (x >= 55) & (x < 55 + reach))
+            return F.when(blue, {"r": 0.0, "g": 0.0, "b": 255.0}[c]).when(red, {"r": 255.0, "g": 0.0, "b": 0.0}[c]).when(photo, F.get(p, y * 96 + x) * 0.5).otherwise(200.0)
+
+        return P.let(F.col(c), lambda p: P._grid(F.col("h"), F.col("w"), lambda y, x: of(p, y, x)))
+
+    panels = B.panel_text(spark, d).select(F.col("insp_id").alias("part"), "raw_text")
+    n = B.table(spark, d, "part").count()
+    frames = f.select("frame_id", "h", "w", *[screen(c).alias(c) for c in ("r", "g", "b")], (F.col("frame_id") % n + 1).alias("part")).join(panels, "part", "left").drop("part")
+    out = I.detect_layout(frames, bar=200, sibling=100, least=10)
+    return out.select("frame_id", "status", "golden.x", "golden.y", "golden.w", "golden.h", F.col("suspect.x").alias("sx"), F.col("suspect.w").alias("sw"), "board", "parts", "value")
 
 
 @query("structural_embedding")
@@ -279,6 +366,7 @@ def structural_embedding(spark, d):
     image = pixels.groupBy("image_id", F.floor(F.col("i") / 64).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("i", "h", "s", "v", "gray"))).alias("p"))
     image = image.select("image_id", "tile", *[F.concat(F.col(f"p.{c}"), F.array_repeat(F.lit(0.0), F.lit(64) - F.size("p"))).alias(c) for c in ("h", "s", "v", "gray")])
     eight = F.lit(8)
-    edges = F.transform(P.threshold(P.gradients(F.col("gray"), eight, eight), 150), lambda e: F.when(e, 255.0).otherwise(0.0))
-    vector = F.concat(P.block_means(edges, eight, eight, 2), P.block_means(F.col("gray"), eight, eight, 2), P.hsv_histograms(F.col("h"), F.col("s"), F.col("v")))
+    image = I.edge_masks(image.withColumnRenamed("h", "hue").withColumns({"h": eight, "w": eight}), edges=("gray", 50, 150))
+    edges = F.transform("edges", lambda e: F.when(e, 255.0).otherwise(0.0))
+    vector = F.concat(P.block_means(edges, eight, eight, 2), P.block_means(F.col("gray"), eight, eight, 2), P.hsv_histograms(F.col("hue"), F.col("s"), F.col("v")))
     return image.select("image_id", "tile", F.posexplode(vector).alias("pos", "value")).withColumn("value", F.round("value", 5))
