@@ -49,9 +49,9 @@ from argusline.llm.components import components
 from argusline.llm.shingles import WordHashes, digests, mix, shingle_sets
 
 #: Members of a group that are compared at once.
-BLOCK = 64
+BLOCK = 512
 #: Narrow bands in the range of smaller sizes that a set may link to.
-NARROW = 8
+NARROW = 4
 #: Counters of shingles that say which are rare.
 BUCKETS = 1 << 18
 #: Texts whose digest a task remembers, to state the sets of copies once.
@@ -295,7 +295,9 @@ class ParityJoin:
         st, num, den = self.stages, self.num, self.den
         step = math.log(den / num) / NARROW
         sets = lambda who: who.join(self.texts.select("row", "items"), F.col("cid") == F.col("row")).select("cid", "n", "items")
-        asked = st.write(sets(seekers), "asked", **PLAIN)
+        # Written, so that the sets are not shuffled where few of them are wanted.
+        seekers, members = st.write(seekers, "seekers"), st.write(members, "members")
+        asked = sets(seekers)
         counts = asked.select(F.explode("items").alias("item")).select(F.pmod("item", F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias("c")).toArrow()
         counters = np.zeros(BUCKETS, np.int64)
         counters[counts.column("b").to_numpy()] = counts.column("c").to_numpy()
@@ -324,7 +326,7 @@ class ParityJoin:
         met = sets(members).select("cid", "n", own.alias("band"), F.explode("items").alias("item")).join(stated.select("item", "band").distinct(), ["item", "band"], "left_semi")
         rows = stated.select("item", "band", "cid", "n").union(met.select("item", "band", "cid", "n"))
         out = st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined")
-        st.drop(asked, stated)
+        st.drop(seekers, members, stated)
         return out
 
     # -- verification -----------------------------------------------------------
