@@ -6,8 +6,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,31 +34,113 @@ def memory_summary(memory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def tiered_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT) -> DataFrame:
-    """For each (part_key, category_key) asked, the memory keys of its tier.
+    """For each (part_key, category_key) asked its tier and the memory keys in it.
 
     Tier 1 has the asked part within the memory's part and the asked category;
     tier 2 any category; tier 3 everything.  An empty key fits all.  Tiers 2
-    and 3 are closed to strict categories.  Only distinct keys are compared:
-    the number of products, not of samples or inspections.
+    and 3 are closed to strict categories.  Returns q_part, q_cat, tier, m_part,
+    m_cat; tier 3 has one row without memory keys.  Parts are matched apart from
+    categories, on distinct keys: the numbers of products and of categories.
     """
     asked = queries.select(F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat")).distinct()
     held = memory.select(F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat")).distinct()
-    part = (F.col("q_part") == "") | F.col("m_part").contains(F.col("q_part"))
-    cat = (F.col("q_cat") == "") | (F.col("m_cat") == F.col("q_cat"))
-    tier = F.when(part & cat, 1).when(part, 2).otherwise(3)
+    # Which parts hold which: a part is asked as a piece of its name.
+    parts = asked.select("q_part").distinct().join(held.select("m_part").distinct(), (F.col("q_part") == "") | F.col("m_part").contains(F.col("q_part")))
+    near = asked.join(parts, "q_part").join(held, "m_part").withColumn("tier", F.when((F.col("q_cat") == "") | (F.col("m_cat") == F.col("q_cat")), 1).otherwise(2))
     open_ = ~F.col("q_cat").isin(*strict) if strict else F.lit(True)
-    pairs = asked.join(held, (part & cat) | open_).withColumn("tier", tier)
-    best = F.min("tier").over(W.partitionBy("q_part", "q_cat"))
-    return pairs.withColumn("best", best).where("tier = best").drop("best")
+    near = near.where((F.col("tier") == 1) | open_)
+    best = near.groupBy("q_part", "q_cat").agg(F.min("tier").alias("tier"))
+    rest = asked.where(open_).join(best, ["q_part", "q_cat"], "left_anti").select("q_part", "q_cat", F.lit(3).alias("tier"), F.lit(None).cast("string").alias("m_part"), F.lit(None).cast("string").alias("m_cat"))
+    return near.join(best, ["q_part", "q_cat", "tier"]).select("q_part", "q_cat", "tier", "m_part", "m_cat").unionByName(rest)
 
 
-def candidates(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT) -> DataFrame:
-    """Queries with the memory rows of their tier (equal vector lengths only)."""
-    q = with_keys(queries)
-    keys = tiered_keys(q, memory, strict)
-    q = q.select("query_id", F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat"), F.col("emb").cast("array<double>").alias("emb"))
-    m = memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), F.col("sig").cast("array<double>").alias("sig"), "path")
-    return q.join(keys, ["q_part", "q_cat"]).join(m, ["m_part", "m_cat"]).where(F.size("sig") == F.size("emb"))
+def _asked(queries: DataFrame) -> DataFrame:
+    return with_keys(queries).withColumnsRenamed({"part_key": "q_part", "category_key": "q_cat"})
+
+
+def _memory(memory: DataFrame) -> DataFrame:
+    return memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), F.col("sig").cast("array<double>").alias("sig"), "path")
+
+
+def candidate_counts(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT, own: bool = True) -> DataFrame:
+    """query_id, tier and how many memory rows (n, ok, ng) are in it.
+
+    Counted by keys: no query meets a memory row.  Without ``own`` the row of
+    the query's own id does not count.
+    """
+    keys = tiered_keys(with_keys(queries), memory, strict)
+    size = F.size("sig").alias("dim")
+    each = memory.groupBy(F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), size).agg(F.count_if(F.col("label") == "OK").alias("ok"), F.count_if(F.col("label") == "NG").alias("ng"), F.count("*").alias("n"))
+    whole = each.groupBy("dim").agg(F.sum("ok").alias("ok"), F.sum("ng").alias("ng"), F.sum("n").alias("n"))
+    some = keys.where("tier < 3").join(each, ["m_part", "m_cat"]).groupBy("q_part", "q_cat", "tier", "dim").agg(F.sum("ok").alias("ok"), F.sum("ng").alias("ng"), F.sum("n").alias("n"))
+    # A row for each vector length, of which there are few.
+    all_ = keys.where("tier = 3").select("q_part", "q_cat", "tier").join(whole, F.col("tier") == 3)
+    asked = _asked(queries).select("query_id", "q_part", "q_cat", F.size("emb").alias("dim"))
+    out = asked.join(some.unionByName(all_.select(*some.columns)), ["q_part", "q_cat", "dim"])
+    if not own:
+        me = memory.select(F.col("sample_id").alias("query_id"), F.col("label").alias("own_label"), F.col("part_key").alias("own_part"), F.col("category_key").alias("own_cat"), F.size("sig").alias("dim"))
+        within = (F.col("tier") == 3) | ((F.col("q_part") == "") | F.col("own_part").contains(F.col("q_part"))) & ((F.col("tier") == 2) | (F.col("q_cat") == "") | (F.col("own_cat") == F.col("q_cat")))
+        out = out.join(me, ["query_id", "dim"], "left").withColumn("me", F.coalesce(within, F.lit(False)).cast("int"))
+        out = out.withColumns({"ok": F.col("ok") - F.when(F.col("own_label") == "OK", F.col("me")).otherwise(0), "ng": F.col("ng") - F.when(F.col("own_label") == "NG", F.col("me")).otherwise(0), "n": F.col("n") - F.when(F.col("own_label").isNotNull(), F.col("me")).otherwise(0)})
+    return out.where("n > 0").select("query_id", "tier", "ok", "ng", "n")
+
+
+def candidates(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT, own: bool = True) -> DataFrame:
+    """Pairs of queries with the memory rows of their first two tiers.
+
+    Rows of other vector lengths do not fit.  Tier 3 is the whole memory and is
+    not listed: votes work it in blocks.
+    """
+    keys = tiered_keys(with_keys(queries), memory, strict).where("tier < 3")
+    q = _asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb"))
+    found = q.join(keys, ["q_part", "q_cat"]).join(_memory(memory), ["m_part", "m_cat"]).where(F.size("sig") == F.size("emb"))
+    return found if own else found.where("sample_id <> query_id")
+
+
+#: Queries and memory rows that meet at once.
+Q_BLOCK, M_BLOCK = 256, 4096
+
+
+def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str] = STRICT, own: bool = True) -> DataFrame:
+    """The ``k`` nearest memory rows by cosine in each query's tier.
+
+    query_id, tier, rank, sample_id, label, path, dist; ties go to OK, then to
+    the smaller id; zero vectors take no part.  Queries of one key and memory
+    rows of one key (for tier 3: all) meet block by block, and a block gives
+    out its ``k`` nearest for each query, so that no pairs are shuffled.
+    """
+    keys = tiered_keys(with_keys(queries), memory, strict)
+    block = lambda c, n: F.ceil(F.count("*").over(W.partitionBy(*c)) / n).cast("int")
+    salted = lambda df, c, i, n: df.withColumn("blk", F.pmod(F.xxhash64(i), block(c, n)).cast("int"))
+    q = salted(_asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb")).where(F.size("emb") > 0), ["q_part", "q_cat"], "query_id", Q_BLOCK)
+    q = q.groupBy("q_part", "q_cat", F.size("emb").alias("dim"), "blk").agg(F.collect_list(F.struct("query_id", "emb")).alias("asked")).drop("blk")
+    rows = _memory(memory).where(F.size("sig") > 0)
+    m = salted(rows, ["m_part", "m_cat"], "sample_id", M_BLOCK).groupBy("m_part", "m_cat", F.size("sig").alias("dim"), "blk").agg(F.collect_list(F.struct("sample_id", "label", "path", "sig")).alias("held")).drop("blk")
+    some = q.join(keys.where("tier < 3"), ["q_part", "q_cat"]).join(m, ["m_part", "m_cat", "dim"]).select("tier", "asked", "held")
+    every = q.join(keys.where("tier = 3").select("q_part", "q_cat", "tier"), ["q_part", "q_cat"]).join(m.select("dim", "held"), "dim").select("tier", "asked", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                tier, asked, held = (whole.column(c)[at].as_py() for c in ("tier", "asked", "held"))
+                x, y = np.array([r["emb"] for r in asked], float), np.array([r["sig"] for r in held], float)
+                ids, sids = np.array([r["query_id"] for r in asked]), np.array([r["sample_id"] for r in held])
+                labels = np.array([r["label"] for r in held], object)
+                size = np.sqrt((y * y).sum(axis=1))
+                rows = []
+                for i, v in zip(ids.tolist(), x, strict=True):
+                    both = size * np.sqrt((v * v).sum())
+                    d = 1 - (y * v).sum(axis=1) / np.where(both > 0, both, 1)
+                    ok = (both > 0) & (own | (sids != i))
+                    order = np.lexsort((sids, labels != "OK", d, ~ok))[:k]
+                    rows += [(i, tier, held[j]["sample_id"], held[j]["label"], held[j]["path"], d[j]) for j in order.tolist() if ok[j]]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "tier", "sample_id", "label", "path", "dist"])
+
+    found = some.unionByName(every).mapInArrow(run, "query_id long, tier int, sample_id long, label string, path string, dist double")
+    order = W.partitionBy("query_id").orderBy("dist", F.desc("label"), "sample_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def distances(found: DataFrame) -> DataFrame:
@@ -65,17 +149,16 @@ def distances(found: DataFrame) -> DataFrame:
     return found.withColumn("dist", d).where(F.col("dist").isNotNull())
 
 
-def knn_vote(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence[str] = STRICT) -> DataFrame:
+def knn_vote(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence[str] = STRICT, own: bool = True, near: DataFrame | None = None) -> DataFrame:
     """Inverse-distance vote of the ``k`` nearest candidates.
 
     The vote is bounded by 0.60 above if the candidates hold no OK row, and by
     0.40 below if they hold no NG row.  Without candidates it is 0.5.  Ties go
-    to OK, then to the smaller sample id.
+    to OK, then to the smaller sample id.  Without ``own`` a memory row of the
+    query's id is no candidate.  ``near`` may give neighbours found otherwise.
     """
-    scored = distances(candidates(queries, memory, strict)).select("query_id", "tier", "label", "sample_id", "path", "dist")
-    kinds = scored.groupBy("query_id").agg(F.min("tier").alias("tier"), F.count_if(F.col("label") == "OK").alias("ok"), F.count_if(F.col("label") == "NG").alias("ng"))
-    order = W.partitionBy("query_id").orderBy("dist", F.desc("label"), "sample_id")
-    near = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kinds = candidate_counts(queries, memory, strict, own).select("query_id", "tier", "ok", "ng")
+    near = nearest(queries, memory, k, strict, own) if near is None else near
     weight = 1 / F.greatest(F.col("dist"), F.lit(1e-4))
     votes = near.groupBy("query_id").agg(
         (F.sum(F.when(F.col("label") == "NG", weight).otherwise(0.0)) / F.sum(weight)).alias("raw"),
@@ -101,14 +184,20 @@ def knn_vote(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence
 def mutual_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs (a_id, b_id, dist) that are each other's nearest by cosine.
 
-    ``a`` and ``b`` have id, group and emb; only rows of one group are compared.
+    ``a`` and ``b`` have id, group and emb; only rows of one group are compared,
+    block by block.  Ties go to the smaller id.
     """
-    x = a.select(F.col("id").alias("a_id"), "group", F.col("emb").cast("array<double>").alias("emb"))
-    y = b.select(F.col("id").alias("b_id"), "group", F.col("emb").cast("array<double>").alias("sig"))
-    d = distances(x.join(y, "group")).select("a_id", "b_id", "dist")
-    one = d.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("s")).select("a_id", F.col("s.b_id").alias("b_id"), F.col("s.dist").alias("dist"))
-    other = d.groupBy("b_id").agg(F.min(F.struct("dist", "a_id")).alias("s")).select("b_id", F.col("s.a_id").alias("a_id"))
-    return one.join(other, ["a_id", "b_id"])
+    group = F.md5(F.col("group").cast("string"))  # digits and letters only
+
+    def one(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = (df.where("group IS NOT NULL") for df in (x, y))
+        asked = x.select(F.col("id").alias("query_id"), F.lit("").alias("part"), group.alias("category"), "emb")
+        held = y.select(F.col("id").alias("sample_id"), F.lit("OK").alias("label"), F.lit("").alias("part_key"), clean_key(group).alias("category_key"), F.col("emb").alias("sig"), F.lit(None).cast("string").alias("path"))
+        return nearest(asked, held, 1).where("tier = 1")
+
+    first = one(a, b).select(F.col("query_id").alias("a_id"), F.col("sample_id").alias("b_id"), "dist")
+    second = one(b, a).select(F.col("query_id").alias("b_id"), F.col("sample_id").alias("a_id"))
+    return first.join(second, ["a_id", "b_id"])
 
 
 def top_fraction(df: DataFrame, by: Sequence[str], order: Sequence, fraction: float = 0.15, least: int = 10) -> DataFrame:

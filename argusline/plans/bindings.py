@@ -14,14 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Parts and categories of queries: of five in a row two ask for what there is, one for
+#: another category, one for another part, and one for a strict category.
+PART = "concat(CASE vec_id % 250 WHEN 150 THEN 's-' ELSE 'r-' END, vec_id % 7)"
+CATEGORY = "CASE vec_id % 250 WHEN 100 THEN 'other' WHEN 200 THEN 'SHIFTED' ELSE concat('C', label) END"
+
+
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 10 = 0")
-    return e.selectExpr("vec_id AS query_id", "concat('r-', vec_id % 7) AS part", "CASE WHEN label = 5 THEN 'SHIFTED' ELSE concat('C', label) END AS category", "embedding AS emb")
+    """The query set of searches: ids divisible by 50."""
+    e = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    return e.selectExpr("vec_id AS query_id", f"{PART} AS part", f"{CATEGORY} AS category", "embedding AS emb")
 
 
 def memory(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 10 <> 0 AND label NOT IN (3, 5) AND vec_id % 7 <> 6")
-    return e.selectExpr(
+    return table(spark, d, "embeddings").selectExpr(
         "vec_id AS sample_id", "CASE WHEN label = 7 THEN 'NG' WHEN label = 8 THEN 'OK' WHEN vec_id % 3 = 0 THEN 'NG' ELSE 'OK' END AS label",
         "concat('R', vec_id % 7, 'X') AS part_key", "concat('C', label) AS category_key", "embedding AS sig", "concat('m/', vec_id, '.png') AS path",
     )
@@ -81,8 +87,8 @@ def panel_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 CTE = {
-    "queries": "queries AS (SELECT vec_id AS query_id, 'r-' || (vec_id % 7) AS part, CASE WHEN label = 5 THEN 'SHIFTED' ELSE 'C' || label END AS category, embedding::DOUBLE[] AS emb FROM embeddings WHERE vec_id % 10 = 0)",
-    "memory": "memory AS (SELECT vec_id AS sample_id, CASE WHEN label = 7 THEN 'NG' WHEN label = 8 THEN 'OK' WHEN vec_id % 3 = 0 THEN 'NG' ELSE 'OK' END AS label, 'R' || (vec_id % 7) || 'X' AS part_key, 'C' || label AS category_key, embedding::DOUBLE[] AS sig, 'm/' || vec_id || '.png' AS path FROM embeddings WHERE vec_id % 10 <> 0 AND label NOT IN (3, 5) AND vec_id % 7 <> 6)",
+    "queries": f"queries AS (SELECT vec_id AS query_id, {PART} AS part, {CATEGORY} AS category, embedding::DOUBLE[] AS emb FROM embeddings WHERE vec_id % 50 = 0)",
+    "memory": "memory AS (SELECT vec_id AS sample_id, CASE WHEN label = 7 THEN 'NG' WHEN label = 8 THEN 'OK' WHEN vec_id % 3 = 0 THEN 'NG' ELSE 'OK' END AS label, 'R' || (vec_id % 7) || 'X' AS part_key, 'C' || label AS category_key, embedding::DOUBLE[] AS sig, 'm/' || vec_id || '.png' AS path FROM embeddings)",
     "px": "px AS (SELECT vec_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, least(255.0, greatest(0.0, round((embedding[i]::DOUBLE + 1) * 127.5))) AS v FROM embeddings, range(1, 65) t(i))",
     "pp": "pp AS (SELECT a.vec_id // 2 AS pair_id, a.y, a.x, a.v AS g, b.v AS t FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.vec_id % 2 = 0)",
     "boxes": "boxes AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, (l_partkey % 600)::INT AS x, (l_suppkey % 400)::INT AS y, (5 + l_quantity * 4)::INT AS w, (5 + (l_partkey % 37) * 5)::INT AS h FROM lineitem)",

@@ -26,7 +26,7 @@ TIERS = (
     B.with_("queries", "memory")
     + """,
 q AS (SELECT *, regexp_replace(upper(part), '[^A-Z0-9]', '', 'g') AS qp, regexp_replace(upper(category), '[^A-Z0-9]', '', 'g') AS qc FROM queries),
-c AS (SELECT q.query_id, m.*, CASE WHEN contains(m.part_key, qp) AND m.category_key = qc THEN 1 WHEN contains(m.part_key, qp) THEN 2 ELSE 3 END AS tier, qc, emb FROM q, memory m),
+c AS (SELECT q.query_id, m.*, CASE WHEN contains(m.part_key, qp) AND m.category_key = qc THEN 1 WHEN contains(m.part_key, qp) THEN 2 ELSE 3 END AS tier, qc, emb FROM q JOIN memory m ON m.sample_id <> q.query_id),
 o AS (SELECT * FROM c WHERE tier = 1 OR qc NOT IN ('SHIFTED', 'UPSIDEDOWN', 'REVERSE')),
 cand AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM o) WHERE tier = best),
 d AS (SELECT *, 1 - list_cosine_similarity(emb, sig) AS dist FROM cand),
@@ -42,7 +42,7 @@ vote AS (SELECT q.query_id, v.n IS NOT NULL AS has_memory, k.tier AS tier,
 
 
 def _vote(spark, d):
-    return knn.knn_vote(B.queries(spark, d), B.memory(spark, d))
+    return knn.knn_vote(B.queries(spark, d), B.memory(spark, d), own=False)
 
 
 @query("knn_vote", TIERS + "SELECT * REPLACE (round(vote_defect, 6) AS vote_defect, round(best_similarity, 6) AS best_similarity) FROM vote")
@@ -52,24 +52,24 @@ def knn_vote(spark, d):
 
 @query("tiered_candidates", TIERS + "SELECT query_id, min(tier) AS tier, count(*) AS n FROM cand GROUP BY 1")
 def tiered_candidates(spark, d):
-    return knn.candidates(B.queries(spark, d), B.memory(spark, d)).groupBy("query_id").agg(F.min("tier").alias("tier"), F.count("*").alias("n"))
+    return knn.candidate_counts(B.queries(spark, d), B.memory(spark, d), own=False).select("query_id", "tier", "n")
 
 
 @query("candidates", TIERS + "SELECT query_id, sample_id FROM c WHERE tier = 1")
 def candidates(spark, d):
-    return knn.candidates(B.queries(spark, d), B.memory(spark, d)).where("tier = 1").select("query_id", "sample_id")
+    return knn.candidates(B.queries(spark, d), B.memory(spark, d), own=False).where("tier = 1").select("query_id", "sample_id")
 
 
 @query("strict_block", TIERS + "SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM cand)")
 def strict_block(spark, d):
     q = B.queries(spark, d)
-    return q.join(knn.candidates(q, B.memory(spark, d)).select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    return q.join(knn.candidate_counts(q, B.memory(spark, d), own=False).select("query_id"), "query_id", "left_anti").select("query_id")
 
 
-@query("candidates_open", B.with_("queries", "memory") + " SELECT query_id, count(*) AS n FROM queries q JOIN memory m ON contains(m.part_key, regexp_replace(upper(part), '[^A-Z0-9]', '', 'g')) AND m.category_key = category GROUP BY 1")
+@query("candidates_open", B.with_("queries", "memory") + " SELECT query_id, count(*) AS n FROM queries q JOIN memory m ON contains(m.part_key, regexp_replace(upper(part), '[^A-Z0-9]', '', 'g')) AND m.category_key = upper(category) AND m.sample_id <> q.query_id GROUP BY 1")
 def candidates_open(spark, d):
     """The older judge: no strict categories, exact tier only."""
-    return knn.candidates(B.queries(spark, d), B.memory(spark, d), strict=()).where("tier = 1").groupBy("query_id").agg(F.count("*").alias("n"))
+    return knn.candidate_counts(B.queries(spark, d), B.memory(spark, d), strict=(), own=False).where("tier = 1").select("query_id", "n")
 
 
 @query("memory_summary", B.with_("memory") + " SELECT category_key, part_key, count(*) FILTER (label = 'OK') AS n_ok, count(*) FILTER (label = 'NG') AS n_ng, count(*) AS n_total FROM memory GROUP BY 1, 2")
