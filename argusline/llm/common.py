@@ -34,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that Spark hands to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Stages:
     """Intermediate tables of one operator run, written once and read back.
 
@@ -49,10 +53,17 @@ class Stages:
         self.count = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}  # the frame is held, so its id stays its own
 
-    def write(self, df: DataFrame, label: str = "t", **options: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str = "t", batch: int | None = None, **options: str) -> DataFrame:
+        """``df`` written and read back; ``batch``: rows handed to Python at once meanwhile."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{label}"
-        df.write.option("compression", "zstd").options(**options).parquet(path)
+        usual = self.spark.conf.get(BATCH)
+        try:
+            if batch:
+                self.spark.conf.set(BATCH, str(batch))
+            df.write.option("compression", "zstd").options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out

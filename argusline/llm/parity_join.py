@@ -55,7 +55,7 @@ NARROW = 4
 #: Counters of shingles that say which are rare.
 BUCKETS = 1 << 18
 #: Texts whose digest a task remembers, to state the sets of copies once.
-SEEN = 200_000
+SEEN = 100_000
 #: Texts and characters that are worked on at once.
 SLICE, SLICE_CHARS = 256, 1 << 20
 #: Hashes do not repeat enough for dictionaries.
@@ -177,7 +177,7 @@ class ParityJoin:
         self.width, self.num, self.den = width, num, den
         self.stages = Stages(self.spark, "parity-join")
         st = self.stages
-        self.texts = st.write(self.sets(), "texts", **PLAIN)
+        self.texts = st.write(self.sets(), "texts", batch=1000, **PLAIN)
         # The first row of equal sets represents them; it always holds the set.
         told = self.texts.where("doc_id IS NOT NULL AND n > 0")
         self.classes = st.write(told.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("first"), F.min("n").alias("n")), "classes")
@@ -191,7 +191,7 @@ class ParityJoin:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, seen, row = WordHashes(200_000), set(), TaskContext.get().partitionId() << 40
+            words, seen, row = WordHashes(100_000), set(), TaskContext.get().partitionId() << 40
             for whole in batches:
                 for b in _slices(whole):
                     flat, sizes = shingle_sets(b.column("text").to_pylist(), width, words)
@@ -271,7 +271,7 @@ class ParityJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_h)], ["key", "h"])
 
         st = self.stages
-        found = st.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words")
+        found = st.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words", batch=2000)
         st.release()
         # Keys with the same members say the same: one of them is enough.
         sign = found.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"), F.min("h").alias("z"))
@@ -321,7 +321,7 @@ class ParityJoin:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["item", "band", "cid", "n"])
                         out, held = [], 0
 
-        stated = st.write(asked.mapInArrow(run, "item long, band long, cid long, n long"), "stated", **PLAIN)
+        stated = st.write(asked.mapInArrow(run, "item long, band long, cid long, n long"), "stated", batch=1000, **PLAIN)
         own = F.floor(F.log("n") / step + 1e-9)
         met = sets(members).select("cid", "n", own.alias("band"), F.explode("items").alias("item")).join(stated.select("item", "band").distinct(), ["item", "band"], "left_semi")
         rows = stated.select("item", "band", "cid", "n").union(met.select("item", "band", "cid", "n"))
@@ -414,7 +414,7 @@ class ParityJoin:
         def linked(pairs: DataFrame) -> bool:
             """Takes the links among candidate pairs into the forest."""
             nonlocal forest
-            pairs = st.write(pairs, "pairs")
+            pairs = st.write(pairs, "pairs", batch=500)
             left = st.write(self.sift(pairs), "left")
             good = self.verify(left)
             st.drop(pairs, left)
@@ -463,7 +463,7 @@ class ParityJoin:
         large = sized.where(F.col("m") > BLOCK).select("cid", "n").distinct()
         large = self.refined(large, large)
         pairs = pairs.union(self.cells(large.withColumn("label", F.col("cid"))))
-        return self.verify(st.write(pairs.distinct(), "pairs"))
+        return self.verify(st.write(pairs.distinct(), "pairs", batch=500))
 
     def membership(self) -> DataFrame:
         """doc_id, cid of every row with an id and words."""
