@@ -35,7 +35,8 @@ WORDINGS = {
     "Much Adhesive": "much.{0,3}adhesive",
     "No solder": "no.{0,3}solder",
 }
-#: First capture of a panel line: board, parts, value.
+# How recognised panel text, with its usual misreadings, is
+# parsed; the first capture of a line is the board, the parts or the value.
 PANEL = {
     "board": r"[BbRr8Hh][Oo0][Aa][Rr][Dd]\s*[:\-\.\s]\s*(\S.*)",
     "parts": r"[PpFf][Aa][Rr][Tt][Ss]?\s*[:\-\.\s]\s*(.+?)(?:\s+[Bb][Ll][Oo][Cc][Kk]|\s+[Vv][Aa][Ll]|\s*$)",
@@ -44,5 +45,5 @@ PANEL = {
 CUTOFF = 0.45
 SHIFT_WORDS = ("SHIFT", "SIFT")
 REVERSE_WORDS = ("REVERS", "WRONG")
-#: (usual, on shift words) tolerance of each engine and its older preset.
+# Fixed values: (usual, on shift words) tolerance of each engine and its older preset.
 TOLERANCES = {"shift": (0.08, 0.04), "silk": (0.05, 0.10), "shift_gate": (0.08, 0.04), "silk_gate": (0.03, 0.08)}

@@ -54,6 +54,23 @@ def crop(px: Column, h: Column, w: Column, x: Column, y: Column, cw: Column, ch:
     return F.when((x2 > x1) & (y2 > y1), rows).otherwise(px)
 
 
+Box = tuple[Column, Column, Column, Column]
+
+
+def central_box(h: Column, w: Column, top: float, side: float) -> Box:
+    """x, y, w, h without the shares ``top`` above and below and ``side`` left and right."""
+    y, x = F.floor(h * top).cast("int"), F.floor(w * side).cast("int")
+    degenerate = (2 * y >= h) | (2 * x >= w)
+    pick = lambda a, b: F.when(degenerate, b).otherwise(a)
+    return pick(x, F.lit(0)), pick(y, F.lit(0)), pick(w - 2 * x, w), pick(h - 2 * y, h)
+
+
+def grown_box(x: Column, y: Column, w: Column, h: Column, least: float, share: float = 0.0) -> Box:
+    """A box with a margin of ``least`` pixels or a share of its longer side, if more."""
+    by = F.greatest(F.lit(least), F.greatest(w, h) * share).cast("int")
+    return x - by, y - by, w + 2 * by, h + 2 * by
+
+
 def _reflect(i: Column, n: Column) -> Column:
     """Border without repeating the edge pixel."""
     i = F.abs(i)

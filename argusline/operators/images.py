@@ -266,7 +266,8 @@ def detect_anomalies(pairs: DataFrame, least_box: int = 10, tol: int = 10, pad:
     at = rows.withColumns({"fx": x1, "fy": y1, "fw": x2 - x1, "fh": y2 - y1})
     cut = lambda c: P.crop(F.col(c), h, w, F.col("fx"), F.col("fy"), F.col("fw"), F.col("fh"))
     names = [f"{s}_{c}" for s in ("gab", "test") for c in CHANNELS]
-    focus = at.select("pair_id", "fx", "fy", F.col("fh").alias("h"), F.col("fw").alias("w"), *[cut(c).alias(c) for c in names])
+    # Renamed afterwards: in a lambda, a name of the same select would mean the alias.
+    focus = at.select("pair_id", "fx", "fy", "fh", "fw", *[cut(c).alias(c) for c in names]).withColumnsRenamed({"fh": "h", "fw": "w"})
     marks = P.mask_op(color_pixels("gab_", "green", "red", "blue"), color_pixels("test_", "green", "red", "blue"), "or")
     focus = focus.withColumn("ui", marks).withColumns({c: P.stencil(F.col(c), h, w, P.gaussian(3)) for c in names})
     gray = lambda s: F.transform(F.arrays_zip(*[F.col(f"{s}_{c}").alias(str(i)) for i, c in enumerate(CHANNELS)]), lambda p: P.to_gray(p["0"], p["1"], p["2"]))

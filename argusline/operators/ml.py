@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from argusline.functions.fixed import STRICT
 from argusline.functions.vectors import norm
+from argusline.operators.knn import knn_vote, tiered_keys, with_keys
 
 
 def train_head(memory: DataFrame, emb: str = "sig", label: str = "label", max_iter: int = 20) -> LogisticRegressionModel:
@@ -43,14 +47,28 @@ def _unit(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), array_to_vector(F.transform(v, lambda x: x / F.col("n"))).alias("unit"))
 
 
-def knn_lsh(queries: DataFrame, memory: DataFrame, k: int = 5, max_dist: float = 0.9, bucket: float = 1.0, tables: int = 24, seed: int = 5) -> DataFrame:
-    """query_id, sample_id, dist, rank of approximate neighbours.
+def lsh_pairs(queries: DataFrame, memory: DataFrame, bucket: float = 0.5, tables: int = 8, seed: int = 5) -> DataFrame:
+    """query_id, sample_id, dist of the pairs that share a bucket of a random projection.
 
-    Random projections of unit vectors: the squared distance of the join is
-    twice the cosine distance.  Candidates are ranked exactly.
+    Projections of unit vectors; the squared distance of the join is twice the
+    cosine distance.  No pair is left out for its distance.
     """
     q, m = _unit(queries, "query_id", "emb"), _unit(memory, "sample_id", "sig")
     lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(m)
-    near = lsh.approxSimilarityJoin(q, m, (2 * max_dist) ** 0.5, "euclid")
-    rows = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("sample_id"), (F.col("euclid") * F.col("euclid") / 2).alias("dist"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", "sample_id"))).where(F.col("rank") <= k)
+    near = lsh.approxSimilarityJoin(q, m, 3.0, "euclid")
+    return near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("sample_id"), (F.col("euclid") * F.col("euclid") / 2).alias("dist"))
+
+
+def knn_vote_lsh(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence[str] = STRICT, own: bool = True, **lsh) -> DataFrame:
+    """``knn_vote`` over neighbours that random projections find: the same contract and tiers."""
+    keys = tiered_keys(with_keys(queries), memory, strict)
+    asked = with_keys(queries).select("query_id", F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat"))
+    held = memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), "path")
+    rows = lsh_pairs(queries, memory, **lsh).join(asked, "query_id").join(held, "sample_id")
+    rows = rows if own else rows.where("sample_id <> query_id")
+    some = rows.join(keys.where("tier < 3"), ["q_part", "q_cat", "m_part", "m_cat"])
+    every = rows.join(keys.where("tier = 3").select("q_part", "q_cat", "tier"), ["q_part", "q_cat"])
+    near = some.unionByName(every.select(*some.columns)).select("query_id", "tier", "sample_id", "label", "path", "dist")
+    order = W.partitionBy("query_id").orderBy("dist", F.desc("label"), "sample_id")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return knn_vote(queries, memory, k, strict, own, near)

@@ -138,6 +138,15 @@ def crop(spark, d):
     return B.images(spark, d).select("vec_id", F.size(c).cast("long").alias("n"), F.aggregate(c, F.lit(0.0), lambda s, v: s + v).cast("long").alias("s"))
 
 
+@query("crop_modes", PX + " SELECT vec_id, sum(v) FILTER (y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 5)::BIGINT AS central, sum(v) FILTER (y >= vec_id % 3 AND y < vec_id % 3 + 4 AND x >= vec_id % 5 - 1 AND x < vec_id % 5 + 4)::BIGINT AS padded FROM px GROUP BY 1")
+def crop_modes(spark, d):
+    """The middle of each image, and a box with a margin, clamped."""
+    i, h, w, px = F.col("vec_id").cast("int"), F.col("h"), F.col("w"), F.col("px")
+    middle, wide = P.central_box(h, w, 0.15, 0.25), P.grown_box(i % 5, i % 3 + 1, F.lit(3), F.lit(2), 1, 0.3)
+    total = lambda b: F.aggregate(P.crop(px, h, w, *b), F.lit(0.0), lambda s, v: s + v).cast("long")
+    return B.images(spark, d).select("vec_id", total(middle).alias("central"), total(wide).alias("padded"))
+
+
 @query("border_ignore", PX + " SELECT vec_id, count(*) FILTER (v > 128 AND x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5) AS n FROM px GROUP BY 1")
 def border_ignore(spark, d):
     m = P.border_ignore(P.threshold(F.col("px"), 128), F.col("h"), F.col("w"), 2)

@@ -54,10 +54,13 @@ def scan_memory(spark, d):
 
 @query("train_head")
 def train_head(spark, d):
+    """Scores of a linear head trained on all vectors."""
     e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("emb"), (F.col("label") % 2).alias("y"))
     return ml.score_head(ml.train_head(e, "emb", "y"), e).select("vec_id", "prediction", F.round("p_defect", 4).alias("p_defect"))
 
 
 @query("knn_lsh")
 def knn_lsh(spark, d):
-    return ml.knn_lsh(B.queries(spark, d), B.memory(spark, d)).select("query_id", "sample_id", F.round("dist", 6).alias("dist"), "rank")
+    """Votes over neighbours that random projections find."""
+    votes = ml.knn_vote_lsh(B.queries(spark, d), B.memory(spark, d), own=False)
+    return votes.withColumns({"vote_defect": F.round("vote_defect", 6), "best_similarity": F.round("best_similarity", 6)})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -140,9 +139,3 @@ def label_from_path(spark, d):
 
     p = B.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+/", "").alias("path"))
     return labelled(p, "path").select("page_id", "label", F.col("class").cast("long").alias("class"))
-
-
-
-
-def ratio(word: str, category: str) -> float:
-    return SequenceMatcher(None, category.upper(), word).ratio()

@@ -67,8 +67,9 @@ def scan_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataF
 def write_samples(df: DataFrame, path: str, save_images: bool = True) -> None:
     """Appends decisions by label and category.
 
-    ``df`` has label, category, ts, embedding and, if wanted, image.  Labels
-    other than NG count as OK.  Without images the payload and name are blank.
+    ``df`` has label, category, ts, embedding and, if wanted, part and image.
+    Labels other than NG count as OK.  Without images the payload and name are
+    blank.  ``as_memory`` reads them as rows to vote with.
     """
     label = F.when(F.col("label") == "NG", "NG").otherwise("OK")
     name = F.concat(stamp(label, F.col("ts")), F.lit(".png"))
@@ -79,6 +80,25 @@ def write_samples(df: DataFrame, path: str, save_images: bool = True) -> None:
     out.write.mode("append").partitionBy("label", "category").parquet(path)
 
 
+def as_memory(samples: DataFrame) -> DataFrame:
+    """Memory rows (sample_id, label, part_key, category_key, sig, path) of written decisions."""
+    part = F.col("part") if "part" in samples.columns else F.lit("")
+    key = clean_key(F.col("category").cast("string"))
+    return samples.select(
+        F.xxhash64("ts", "label", F.col("category").cast("string"), "embedding").alias("sample_id"), "label", F.coalesce(clean_key(part), F.lit("")).alias("part_key"),
+        F.coalesce(F.nullif(key, F.lit("")), F.lit("UNKNOWN")).alias("category_key"), F.col("embedding").alias("sig"), F.nullif("image_file", F.lit("")).alias("path"),
+    )
+
+
+def memory_now(spark: SparkSession, path: str) -> DataFrame:
+    """The memory below ``path`` as it is now; empty before the first decision."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        none = spark.createDataFrame([], "label string, category string, ts timestamp, embedding array<float>, image_file string")
+        return as_memory(none)
+    return as_memory(spark.read.parquet(path))
+
+
 def with_fresh_memory(spark: SparkSession, path: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fn`` of the memory as it is now: files are listed anew at every call."""
     return fn(spark.read.parquet(path))

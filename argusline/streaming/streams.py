@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from argusline.functions.text import route_message
 from argusline.operators.knn import knn_vote
-from argusline.sources.files import write_samples
+from argusline.sources.files import memory_now, write_samples
 
 MESSAGES = "msg_id long, ts timestamp, key long, header string"
 
@@ -83,9 +83,13 @@ def feedback_loop(decided: DataFrame, memory_path: str, checkpoint: str) -> Stre
 
 
 def knn_stream(queries: DataFrame, memory_path: str, checkpoint: str, sink: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Votes for arriving queries over the memory as it is at each batch."""
+    """Votes for arriving queries over the memory as it is at each batch.
+
+    The memory is what ``feedback_loop`` appends below ``memory_path``, so a
+    decision takes part in the votes of the next batch.
+    """
 
     def vote(batch: DataFrame, _: int) -> None:
-        sink(knn_vote(batch, batch.sparkSession.read.parquet(memory_path)))
+        sink(knn_vote(batch, memory_now(batch.sparkSession, memory_path)))
 
     return queries.writeStream.foreachBatch(vote).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
