@@ -55,7 +55,7 @@ NARROW = 4
 #: Counters of shingles that say which are rare.
 BUCKETS = 1 << 18
 #: Texts whose digest a task remembers, to state the sets of copies once.
-SEEN = 100_000
+SEEN = 50_000
 #: Texts and characters that are worked on at once.
 SLICE, SLICE_CHARS = 256, 1 << 20
 #: Hashes do not repeat enough for dictionaries.
@@ -191,7 +191,7 @@ class ParityJoin:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, seen, row = WordHashes(100_000), set(), TaskContext.get().partitionId() << 40
+            words, seen, row = WordHashes(60_000), set(), TaskContext.get().partitionId() << 40
             for whole in batches:
                 for b in _slices(whole):
                     flat, sizes = shingle_sets(b.column("text").to_pylist(), width, words)

@@ -143,7 +143,7 @@ def repeats(words: list[bytes]) -> float:
 class WordScores(dict):
     """Summed weight of a word's features, remembered up to a bound."""
 
-    def __init__(self, weights: np.ndarray, limit: int = 300_000):
+    def __init__(self, weights: np.ndarray, limit: int = 100_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample: int, seed: int) ->
                 values.append(np.bincount(back, x, len(at)).tolist() or None)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), b.column("draw"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["code", "draw", "at", "x"])
 
-    told = stages.write(narrow.mapInArrow(run, "code int, draw long, at array<int>, x array<double>"), "votes")
+    told = stages.write(narrow.mapInArrow(run, "code int, draw long, at array<int>, x array<double>"), "votes", batch=1000)
     posterior, _ = fit_votes({r.code: r.n for r in told.groupBy("code").agg(F.count("*").alias("n")).collect()})
     drawn = told.where(F.col("at").isNotNull()).orderBy("draw", "code").limit(sample).select("code", "at", "x").collect()
     stages.drop(told)
