@@ -19,17 +19,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusline.llm import mixing, packing, parity_join, quality, secrets
-from argusline.llm.common import Stages, fresh, table
+from argusline.llm.common import BATCH, Stages, fresh, table
+
+#: Rows that a Python worker is handed at once: texts may be long, and workers share
+#: the executor's memory with the JVM.
+ROWS = 1000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """The session's setting for what the stages return, which is computed when it is written."""
+    spark.conf.set(BATCH, str(ROWS))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the scorer takes for good.
 
     Texts without words (null, empty) score 0 and go; repeated rows are judged
     alike; a column of the name ``quality`` is the user's and stays.
     """
+    _short_batches(spark)
     score = fresh(docs.columns, "quality")
     return quality.classify(docs, out_col=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
@@ -40,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id are one node, so one of them stays.  Rows without an
     id cannot be told apart and stay; texts without words link with nothing.
     """
+    _short_batches(spark)
     groups = parity_join.near_duplicates(docs, width=5, num=80, den=100)
     told = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
     told = Stages(spark, "near-duplicates").write(told.where("first <> doc_id OR n > 1"), "told")
@@ -65,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows; null and empty texts have the end id only."""
+    _short_batches(spark)
     return packing.pack(docs)
 
 
