@@ -212,7 +212,7 @@ def _planted_forms() -> list[tuple[int, str]]:
         "concat(' ', t.word, t.word, t.word, t.word, t.word, ' ')", "concat(' ', t.word, '_', t.word, '_', t.word, '_of_the_', t.word, ' ')", "concat(' ', initcap(t.word), initcap(t.word), 'Factory', initcap(t.word), 'Builder ')",
         "concat(' ', t.number, ' ')", "concat(' 2024-01-', 10 + t.pick % 18, '-', t.number, ' ')", f"concat(' ', {name}, ' = \"your-', replace({name}, '_', '-'), '-goes-here\" ')",
         f"concat(' example ', {name}, '=', repeat('x', 20), ' ')", f"concat(' ', {name}, ' = \"', t.word, '-', t.word, '-', t.word, '-secret\" ')", "concat(' img/', t.word, '/', substr(t.hex, 1, 20), '.png ')", "concat(' ', repeat('=-', 12), t.word, ' ')",
-        "concat(' etag ', substr(t.hex, 1, 32), ' ')",
+        "concat(' etag ', substr(t.hex, 1, 32), ' ')", "concat(' ', upper(t.word), upper(t.word), upper(t.word), upper(t.word), ' ')",
     ]
     return [(1, x) for x in bare + given + other] + [(0, x) for x in looks]
 
