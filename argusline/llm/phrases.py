@@ -9,18 +9,20 @@ a needless count).
 A task gives words ids of its own and counts phrases in a trie over word ids
 whose leaves are hash containers: a container bursts into one for each next
 word when it grows beyond a bound.  When the trie is full its largest subtrees
-are spilled whole, as sorted runs.  Runs are dealt by phrase prefix and merged:
-the prefix ends with the first word that is not among the few very frequent
-ones, so that no prefix is hot.
+are spilled whole, as runs sorted by prefix partition.  Runs are merged by prefix
+partition: the prefix ends with the first word that is not among the few very
+frequent ones, so that no prefix is hot.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -33,11 +35,11 @@ BITS = 1 << 26
 #: A word is very frequent if it is more than one of so many of all words: there are fewer of them than this.
 HOT = 1000
 #: Entries of a container before it bursts, and of a trie before subtrees are spilled.
-BURST, FULL = 4096, 600_000
+BURST, FULL = 4096, 1_000_000
 #: Words that a task remembers.
 KNOWN = 400_000
 #: Bytes of text that are worked on at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 # Breaks become full stops and tabs spaces; then only spaces part words.
@@ -50,12 +52,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class HatTrie:
-    """Counts of word-id sequences of two to four words.
+    """Counts of sequences of word ids, each one number: its prefix's id and, in the low 32 bits, the rest.
 
-    A sequence is two numbers: ``hi`` has the first two ids, ``lo`` the others,
-    each plus one (0: none).  ``root`` maps a first word to a container, a dict
-    of the whole sequence to its count, or, once burst, to containers by the
-    second word.
+    ``root`` maps a first word to a hash container (key to count).  A container
+    that holds several prefixes bursts, when it grows, into one for each.
     """
 
     def __init__(self, burst: int = BURST, full: int = FULL):
@@ -63,49 +63,77 @@ class HatTrie:
         self.root: dict[int, tuple[bool, dict]] = {}
         self.size: Counter[int] = Counter()
 
-    def add(self, hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
-        """Adds ``n`` to each sequence; they are distinct and sorted by ``hi``."""
-        first = hi >> 32
-        edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1], True]) if len(hi) else []
-        keys = list(zip(hi.tolist(), lo.tolist(), strict=True))
-        counts = n.tolist()
-        for a, b in zip(edges[:-1], edges[1:]):
-            word = int(first[a])
+    def add(self, keys: np.ndarray, counts: np.ndarray, first: list[int] | None = None) -> None:
+        """Adds distinct sorted keys; ``first`` has the first word of each prefix (none: it is the prefix)."""
+        if not len(keys):
+            return
+        top = keys >> 32
+        edges = np.flatnonzero(np.r_[True, top[1:] != top[:-1], True]).tolist()
+        prefixes, keys, counts = top[edges[:-1]].tolist(), keys.tolist(), counts.tolist()
+        for prefix, a, b in zip(prefixes, edges, edges[1:]):
+            word = first[prefix] if first else prefix
             burst, held = self.root.get(word) or (False, {})
-            if burst:
-                for k, c in zip(keys[a:b], counts[a:b], strict=True):
-                    leaf = held.setdefault(k[0], {})
-                    before = len(leaf)
-                    leaf[k[1]] = leaf.get(k[1], 0) + c
-                    self.size[word] += len(leaf) - before
-            else:
-                before = len(held)
-                for k, c in zip(keys[a:b], counts[a:b], strict=True):
-                    held[k] = held.get(k, 0) + c
-                self.size[word] += len(held) - before
-                if len(held) > self.burst:
-                    leaves: dict[int, dict[int, int]] = {}
-                    for (h, rest), c in held.items():
-                        leaves.setdefault(h, {})[rest] = c
-                    burst, held = True, leaves
-                self.root[word] = burst, held
-
-    def take(self, everything: bool = False) -> Iterator[list[tuple[int, int, int]]]:
-        """Subtrees that leave the trie, largest first, until it is half empty: (hi, lo, count) of each."""
+            leaf = held.setdefault(prefix, {}) if burst else held
+            before = len(leaf)
+            for k, n in zip(keys[a:b], counts[a:b]):
+                leaf[k] = leaf.get(k, 0) + n
+            self.size[word] += len(leaf) - before
+            if not burst and first and len(held) > self.burst:
+                leaves: dict[int, dict[int, int]] = {}
+                for k, n in held.items():
+                    leaves.setdefault(k >> 32, {})[k] = n
+                burst, held = True, leaves
+            self.root[word] = burst, held
+
+    def take(self, everything: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Subtrees that leave the trie whole, largest first, until it is half empty: their keys and counts."""
         left = sum(self.size.values())
         if left <= self.full and not everything:
             return
+        out: list[dict[int, int]] = []
+        held_back = 0
         for word, n in self.size.most_common():
             if not everything and left <= self.full // 2:
-                return
+                break
             burst, held = self.root.pop(word)
             del self.size[word]
             left -= n
-            yield [(h, lo, c) for h, leaf in held.items() for lo, c in leaf.items()] if burst else [(h, lo, c) for (h, lo), c in held.items()]
+            out += held.values() if burst else [held]
+            held_back += n
+            if held_back >= 1 << 16:
+                yield self._told(out)
+                out, held_back = [], 0
+        if out:
+            yield self._told(out)
+
+    @staticmethod
+    def _told(leaves: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = sum(map(len, leaves))
+        return np.fromiter(chain.from_iterable(leaves), np.int64, n), np.fromiter(chain.from_iterable(x.values() for x in leaves), np.int64, n)
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of 8-byte numbers, as ``F.xxhash64`` of a long column (numbers wrap on purpose)."""
+    h = (seed + _P5 + np.uint64(8)) ^ (_turn(x * _P2, 31) * _P1)
+    h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return hash_long(b, hash_long(a, np.full(1, 42, np.uint64)))
 
 
 class Bits:
-    """A set of hashes as a bitmap, told by the rows of ``bitmap_construct_agg``."""
+    """A set of 64-bit hashes as a bitmap, told by the rows of ``bitmap_construct_agg``."""
 
     def __init__(self, rows: list, bits: int):
         self.bits = bits
@@ -114,15 +142,15 @@ class Bits:
             at = (r["bucket"] - 1) * 4096
             self.flags[at : at + 4096] = np.frombuffer(r["bitmap"], np.uint8)
 
-    def holds(self, lang: bytes, phrase: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang, 42)) % self.bits
-        return bool(self.flags[at >> 3] >> (at & 7) & 1)
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64(self.bits - 1)
+        return (self.flags[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(phrases: DataFrame, bits: int) -> Bits:
-    """The bitmap of ``lang, phrase``: ``bits / 32768`` rows of 4 KB reach the driver at most."""
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(bits)) + 1
-    rows = phrases.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+def bitmap(hashes: DataFrame, bits: int) -> Bits:
+    """The bitmap of the column ``h``: ``bits / 32768`` rows of 4 KB reach the driver at most."""
+    at = F.pmod("h", F.lit(bits)) + 1
+    rows = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
     return Bits(rows.collect(), bits)
 
 
@@ -183,93 +211,117 @@ def count_words(texts: DataFrame) -> DataFrame:
     return _as_text(texts.mapInArrow(run, "lang string, phrase binary, f long"))
 
 
-def count_phrases(texts: DataFrame, words: Broadcast, pairs: Broadcast | None, hot: set[tuple[str, bytes]], orders: tuple[int, ...]) -> DataFrame:
-    """Runs ``part, lang, phrase, f`` of phrases of ``orders`` words, to be merged by ``part``.
-
-    Words and, if given, pairs must be in the bitmaps (broadcast ``Bits``).
+class Words:
+    """A task's ids of frequent words; ``-1`` stands for rare ones and for the ends of pieces."""
+
+    def __init__(self, frequent: Bits, hot: set[tuple[str, bytes]]):
+        self.frequent, self.hot_words = frequent, hot
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, dict[bytes, int]] = {}
+        self.names: list[bytes] = []
+        self.langs: list[str] = []
+        self.hashes, self.hot = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.ids.values()))
+
+    def sequence(self, lang: str, told: list[bytes]) -> np.ndarray:
+        known = self.ids.setdefault(lang, {b".": -1})
+        new = list(set(told).difference(known))
+        if new:
+            seed = xxhash.xxh64_intdigest(lang.encode("utf-8"), 42)
+            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in new), np.uint64, len(new))
+            good = self.frequent.holds(h)
+            known.update(dict.fromkeys(new, -1))
+            kept = [w for w, g in zip(new, good.tolist(), strict=True) if g]
+            known.update(zip(kept, range(len(self.names), len(self.names) + len(kept)), strict=True))
+            self.names += kept
+            self.langs += [lang] * len(kept)
+            self.hashes = np.r_[self.hashes, h[good]]
+            self.hot = np.r_[self.hot, [(lang, w) in self.hot_words for w in kept]].astype(bool)
+        return np.fromiter(map(known.__getitem__, told), np.int64, len(told))
+
+
+def count_phrases(texts: DataFrame, words: Broadcast, pairs: Broadcast | None, hot: set[tuple[str, bytes]]) -> DataFrame:
+    """Runs ``part, lang, phrase, f`` to be merged by ``part``.
+
+    Counts pairs of words of the bitmap ``words`` or, if the bitmap ``pairs`` is
+    given, phrases of three and four words all of whose pairs are in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, word_bits, pair_bits = HatTrie(), words.value, pairs.value if pairs else None
-        ids: dict[str, dict[bytes, int]] = {}  # of each language: word to id, -1 for rare ones
-        names: list[bytes] = []
-        langs: list[str] = []  # of each id
+        trie, known = HatTrie(), Words(words.value, hot)
+        pair_ids: dict[int, int] = {}  # of a good pair's two word ids
+        pair_words: list[int] = []  # the same, by id
+        first: list[int] = []  # word of each pair
 
         def runs(everything: bool) -> Iterator[pa.RecordBatch]:
-            rows: list[tuple[int, str, bytes, int]] = []
-            for subtree in trie.take(everything):
-                lang = langs[subtree[0][0] >> 32]
-                told = []
-                for hi, lo, n in subtree:
-                    seq = [names[hi >> 32], names[hi & 0xFFFFFFFF]]
-                    if lo:
-                        seq.append(names[(lo >> 32) - 1])
-                        if lo & 0xFFFFFFFF:
-                            seq.append(names[(lo & 0xFFFFFFFF) - 1])
-                    end = next((i for i, w in enumerate(seq) if (lang, w) not in hot), len(seq) - 1) + 1
-                    told.append((b" ".join(seq), xxhash.xxh32_intdigest(b" ".join(seq[:end])) >> 8, n))
-                told.sort()
-                rows += ((part, lang, phrase, n) for phrase, part, n in told)
-                if len(rows) >= 1 << 16:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
+            names = langs = None
+            for keys, n in trie.take(everything):
+                if names is None:
+                    names, langs = pa.array(known.names, pa.binary()), pa.array(known.langs, pa.string())
+                top, rest = keys >> 32, keys & 0xFFFFFFFF
+                if pairs is None:
+                    columns = [top, rest]
+                else:
+                    two = np.array(pair_words, np.int64)
+                    longer = rest >> 31 == 1  # the rest is a pair, else a word
+                    end = np.where(longer, two[np.where(longer, rest & 0x7FFFFFFF, 0)], rest << 32)
+                    columns = [two[top] >> 32, two[top] & 0xFFFFFFFF, end >> 32, np.where(longer, end & 0xFFFFFFFF, -1)]
+                # The prefix ends with the first word that is not very frequent.
+                part, going = np.zeros(len(keys), np.uint64), np.ones(len(keys), bool)
+                for c in columns:
+                    going &= c >= 0
+                    part[going] = pair_hash(part[going], known.hashes[c[going]])
+                    going &= known.hot[np.maximum(c, 0)]
+                part = (part >> np.uint64(40)).astype(np.int32)
+                order = np.lexsort((keys, part))
+                text = None
+                for c in columns:
+                    word = names.take(pa.array(c[order], mask=c[order] < 0))
+                    text = word if text is None else pc.binary_join_element_wise(text, word, b" ", null_handling="skip")
+                lang = langs.take(pa.array(columns[0][order]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[order]), lang, text, pa.array(n[order])], ["part", "lang", "phrase", "f"])
 
         for lang, some in _slices(batches, SLICE):
-            known = ids.setdefault(lang, {b".": -1})
-            if sum(map(len, ids.values())) > KNOWN:
+            if len(known) > KNOWN or len(first) > KNOWN:
                 yield from runs(True)
-                ids, names, langs = {lang: (known := {b".": -1})}, [], []
-            told = [w for t in some for w in (*words_of(t), b".")]
-            key = lang.encode("utf-8")
-            for w in set(told).difference(known):
-                if word_bits.holds(key, w):
-                    known[w] = len(names)
-                    names.append(w)
-                    langs.append(lang)
-                else:
-                    known[w] = -1
-            seq = np.fromiter(map(known.__getitem__, told), np.int64, len(told))
+                known.clear()
+                pair_ids, pair_words, first = {}, [], []
+            told = []
+            for t in some:
+                told += words_of(t)
+                told.append(b".")
+            seq = known.sequence(lang, told)
             del told
             hi = (seq[:-1] << 32) | seq[1:]
             ok = (seq[:-1] >= 0) & (seq[1:] >= 0)
-            if pair_bits is not None:
-                two, back = np.unique(hi[ok], return_inverse=True)
-                good = np.fromiter((pair_bits.holds(key, names[h >> 32] + b" " + names[h & 0xFFFFFFFF]) for h in two.tolist()), bool, len(two))
-                ok[ok] = good[back]
-            for order in orders:
-                m = len(seq) - order + 1
-                if m <= 0:
-                    continue
-                whole = ok[:m].copy()
-                for i in range(1, order - 1):
-                    whole &= ok[i : i + m]
-                h = hi[:m][whole]
-                lo = np.zeros_like(h)
-                if order > 2:
-                    lo = (seq[2 : 2 + m][whole] + 1) << 32
-                if order > 3:
-                    lo |= seq[3 : 3 + m][whole] + 1
-                trie.add(*_distinct(h, lo))
+            if pairs is None:
+                trie.add(*np.unique(hi[ok], return_counts=True))
                 yield from runs(False)
+                continue
+            h = known.hashes
+            ok[ok] = pairs.value.holds(pair_hash(h[seq[:-1][ok]], h[seq[1:][ok]]))
+            two, back = np.unique(hi[ok], return_inverse=True)
+            for p in two.tolist():
+                if p not in pair_ids:
+                    pair_ids[p] = len(pair_words)
+                    pair_words.append(p)
+                    first.append(p >> 32)
+            at = np.full(len(hi), -1, np.int64)
+            at[ok] = np.fromiter(map(pair_ids.__getitem__, two.tolist()), np.int64, len(two))[back]
+            three = ok[:-1] & ok[1:]
+            four = three[:-1] & ok[2:]
+            keys = np.r_[(at[:-1][three] << 32) | seq[2:][three], (at[:-2][four] << 32) | (1 << 31) | at[2:][four]]
+            trie.add(*np.unique(keys, return_counts=True), first)
+            yield from runs(False)
         yield from runs(True)
 
     return _as_text(texts.mapInArrow(run, "part int, lang string, phrase binary, f long"))
 
 
-def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.lexsort((lo, hi)) if lo.any() else np.argsort(hi)
-    hi, lo = hi[at], lo[at]
-    edges = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.zeros(0, np.int64)
-    return hi[edges], lo[edges], np.diff(np.r_[edges, len(hi)])
-
-
-def _rows(rows: list[tuple[int, str, bytes, int]]) -> pa.RecordBatch:
-    part, lang, phrase, n = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64())], ["part", "lang", "phrase", "f"])
-
-
 def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str, bits: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Counts ``lang, phrase, words, f`` of all phrases of 1 to 4 words found ``least`` times, and ``lang, n``."""
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))
@@ -281,15 +333,16 @@ def frequent_phrases(docs: DataFrame, least: int, lang_col: str, text_col: str,
     all_words = total.agg(F.sum("n")).first()[0] or 0
     hot = {(r.lang, r.phrase.encode("utf-8")) for r in word.where(F.col("f") > all_words // HOT).collect()}
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(bitmap(word, bits))
+    words = context.broadcast(bitmap(word.select(F.xxhash64("lang", "phrase").alias("h")), bits))
 
     def merged(runs: DataFrame) -> DataFrame:
         # Dealt by the prefix once; the sum needs no other shuffle.
         return runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least).drop("part")
 
-    two = stages.write(merged(count_phrases(texts, words, None, hot, (2,))), "pairs")
-    pairs = context.broadcast(bitmap(two, bits))
-    more = stages.write(merged(count_phrases(texts, words, pairs, hot, (3, 4))), "phrases")
+    two = stages.write(merged(count_phrases(texts, words, None, hot)), "pairs")
+    each = [F.xxhash64("lang", F.split_part("phrase", F.lit(" "), F.lit(i))) for i in (1, 2)]
+    pairs = context.broadcast(bitmap(two.select(F.xxhash64(*each).alias("h")), bits))
+    more = stages.write(merged(count_phrases(texts, words, pairs, hot)), "phrases")
     return word.unionByName(two).unionByName(more).withColumn("words", F.split("phrase", " ", -1)), total
 
 

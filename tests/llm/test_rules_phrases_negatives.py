@@ -180,25 +180,33 @@ def test_collocations_with_small_tries_and_parts(spark, monkeypatch):
 
 def test_hat_trie_counts_and_spills():
     rng = np.random.default_rng(2)
-    seen_burst = False
-    trie, want, got = phrases.HatTrie(burst=4, full=200), Counter(), Counter()
-    for _ in range(40):
-        ids = rng.zipf(1.3, (300, 4)) % 50
-        hi, lo = (ids[:, 0] << 32) | ids[:, 1], ((ids[:, 2] + 1) << 32) | np.where(ids[:, 3] % 2, ids[:, 3] + 1, 0)
-        want.update(zip(hi.tolist(), lo.tolist()))
-        trie.add(*phrases._distinct(hi, lo))
-        assert sum(trie.size.values()) == sum(len(x) if not b else sum(map(len, x.values())) for b, x in trie.root.values())
-        seen_burst |= any(b for b, _ in trie.root.values())
-        for subtree in trie.take():
-            assert len({h >> 32 for h, _, _ in subtree}) == 1
-            for h, rest, n in subtree:
-                got[h, rest] += n
-        assert sum(trie.size.values()) <= 200
-    assert seen_burst
-    for subtree in trie.take(True):
-        for h, rest, n in subtree:
-            got[h, rest] += n
-    assert got == want and not trie.root
+    for first in (None, [k % 5 for k in range(60)]):
+        trie, want, got, burst = phrases.HatTrie(burst=4, full=200), Counter(), Counter(), False
+        for _ in range(40):
+            keys = (rng.zipf(1.3, 300) % 60 << 32) | rng.zipf(1.3, 300) % (1 << 31)
+            want.update(keys.tolist())
+            trie.add(*np.unique(keys, return_counts=True), first)
+            assert sum(trie.size.values()) == sum(len(x) if not b else sum(map(len, x.values())) for b, x in trie.root.values())
+            burst |= any(b for b, _ in trie.root.values())
+            before = set(trie.root)
+            left = Counter()
+            for keys, counts in trie.take():
+                left.update(dict(zip(keys.tolist(), counts.tolist())))
+            # Whole subtrees go: no first word is both told and held.
+            gone = {first[k >> 32] if first else k >> 32 for k in left}
+            assert gone == before - set(trie.root) and sum(trie.size.values()) <= 200
+            got += left
+        assert burst == bool(first)
+        for keys, counts in trie.take(True):
+            got.update(dict(zip(keys.tolist(), counts.tolist())))
+        assert got == want and not trie.root
+
+
+def test_pair_hashes(spark):
+    rows = [(1, -5), (0, 0), (1 << 62, -(1 << 63)), (123456789, 987654321)]
+    want = [r.h for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()]
+    a, b = (np.array(c, np.int64).view(np.uint64) for c in zip(*rows))
+    assert phrases.pair_hash(a, b).view(np.int64).tolist() == want
 
 
 def test_collocations_query(spark):
