@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from argusline.functions import kernels as K
 from argusline.functions import pixels as P
 from argusline.functions import vectors as V
-from argusline.functions.masks import linked_to, region_boxes
+from argusline.functions.masks import region_boxes
 from argusline.functions.text import parse_panel
 from argusline.operators.boxes import BOX, box_contained, dedup_boxes, extreme_box, largest_bar, looks_anomalous, sibling_box
 from argusline.operators.sequences import photo_extent
@@ -38,62 +39,99 @@ def share_over(px: Column, level: float) -> Column:
     return F.size(F.filter(px, lambda v: v > level)) / F.size(px)
 
 
+def arrays_of(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each list of a column as numbers (null elements: NaN), null lists as None."""
+    for x in column:
+        yield x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
+
+
+def per_pair(pairs: DataFrame, of: Callable, schema: str, *extra: str) -> DataFrame:
+    """Rows that ``of(golden, suspect, *extra)`` gives for each pair, after its pair_id.
+
+    An image that is null, empty, of another size than h x w or with null
+    pixels is None, so that one odd image does not fail a job.
+    """
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    names = [part.split()[0] for part in schema.split(", ")]
+    double = lambda c: F.col(c).cast("array<double>").alias(c)
+    slim = pairs.select("pair_id", "h", "w", double("gab"), double("test"), *extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            plain = [batch.column(c).to_pylist() for c in ("pair_id", "h", "w", *extra)]
+            for i, h, w, *more, a, b in zip(*plain, arrays_of(batch.column("gab")), arrays_of(batch.column("test")), strict=True):
+                rows += [(i, *r) for r in of(K.grid(a, h, w), K.grid(b, h, w), *more)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["pair_id", *names])
+
+    full = f"pair_id {kind}, {schema}"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(full).fields]
+    return slim.mapInArrow(run, full)
+
+
+def _usable() -> Column:
+    """Whether both images are there, as large as h x w says, and without null pixels."""
+    n = F.col("h") * F.col("w")
+    good = lambda c: (F.size(c) == n) & F.forall(c, lambda v: v.isNotNull())
+    return F.coalesce((n > 0) & F.col("gab").isNotNull() & F.col("test").isNotNull() & good("gab") & good("test"), F.lit(False))
+
+
 def diff_metrics(pairs: DataFrame) -> DataFrame:
-    """Mean difference (/ 255) and the share of pixels over 0.15."""
-    rows = pairs.withColumn("d", abs_diff())
-    return rows.select("pair_id", (V.mean(F.col("d")) / 255).alias("mean_diff"), share_over(F.col("d"), 0.15 * 255).alias("pct_changed"))
+    """Mean difference (/ 255) and the share of pixels over 0.15; null without two good images."""
+    rows = pairs.withColumn("d", F.when(_usable(), abs_diff()))
+    return rows.select("pair_id", (V.mean(F.col("d")) / 255).alias("mean_diff"), F.when(F.col("d").isNotNull(), share_over(F.col("d"), 0.15 * 255)).alias("pct_changed"))
 
 
 def gross_diff(pairs: DataFrame) -> DataFrame:
     """Share of blurred pixels that differ by more than 45; structural over 0.15."""
-    h, w, k = F.col("h"), F.col("w"), P.gaussian(5)
-    rows = pairs.withColumns({"a": P.stencil(F.col("gab"), h, w, k), "b": P.stencil(F.col("test"), h, w, k)})
-    share = share_over(abs_diff("a", "b"), 45)
-    return rows.select("pair_id", share.alias("gross"), (share > 0.15).alias("structural"))
+
+    def of(a, b):
+        share = None if a is None or b is None else float((np.abs(K.blur(a, 5) - K.blur(b, 5)) > 45).mean())
+        return [(share, None if share is None else share > 0.15)]
+
+    return per_pair(pairs, of, "gross double, structural boolean")
 
 
 def edge_masks(images: DataFrame, **edges: tuple[str, float, float]) -> DataFrame:
     """``images`` (h, w, ...) with an edge mask for each name: (pixels, low, high).
 
     Weak edges count where they are linked with strong ones.  An image is one
-    row, so nothing is shuffled for that.
+    row, so nothing is shuffled for that; odd images have null masks.
     """
-    h, w = F.col("h"), F.col("w")
-    rows = images.withColumns({name: P.edge_classes(F.col(px), h, w, low, high) for name, (px, low, high) in edges.items()})
-    mask = T.ArrayType(T.BooleanType())
-    schema = T.StructType([T.StructField(f.name, mask if f.name in edges else f.dataType) for f in rows.schema])
+    schema = T.StructType([*images.schema.fields, *[T.StructField(name, T.ArrayType(T.BooleanType())) for name in edges]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide, columns = b.column("w").to_pylist(), []
-            for name in b.schema.names:
-                column = b.column(name)
-                if name in edges:
-                    found = []
-                    for k, v in zip(wide, column.to_pylist(), strict=True):
-                        grid = np.array(v or [], np.int8).reshape(-1, k or 1)
-                        found.append(linked_to(grid > 0, grid == 2).ravel().tolist() if v else v)
-                    column = pa.array(found, pa.list_(pa.bool_()))
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+            h, w = b.column("h").to_pylist(), b.column("w").to_pylist()
+            columns = list(b.columns)
+            for px, low, high in edges.values():
+                found = [K.grid(x, i, j) for x, i, j in zip(arrays_of(b.column(px)), h, w, strict=True)]
+                columns.append(pa.array([None if x is None else K.edges(x, low, high).ravel() for x in found], pa.list_(pa.bool_())))
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, *edges])
 
-    return rows.mapInArrow(run, schema)
+    return images.mapInArrow(run, schema)
 
 
-def _pair_edges(pairs: DataFrame, low: float, high: float) -> DataFrame:
-    return edge_masks(pairs.select("pair_id", "h", "w", "gab", "test"), ea=("gab", low, high), eb=("test", low, high))
+def edge_change(pairs: DataFrame, low: float = 70, high: float = 180) -> DataFrame:
+    """Share of pixels whose edge flag differs; weak edges count where they are linked with strong ones."""
 
+    def of(a, b):
+        return [(None if a is None or b is None else float((K.edges(a, low, high) != K.edges(b, low, high)).mean()),)]
 
-def edge_change(pairs: DataFrame, low: float = 70, high: float = 180) -> DataFrame:
-    """Share of pixels whose edge flag differs."""
-    rows = _pair_edges(pairs, low, high)
-    return rows.select("pair_id", (P.count_true(P.mask_op(F.col("ea"), F.col("eb"), "xor")) / F.size("ea")).alias("edge_change"))
+    return per_pair(pairs, of, "edge_change double")
 
 
 def ssim(pairs: DataFrame, win: int = 7) -> DataFrame:
-    """Structural similarity over the interior, and its map."""
-    out = pairs.withColumn("ssim_map", P.ssim(F.col("gab"), F.col("test"), F.col("h"), F.col("w"), win))
-    return out.select("pair_id", V.mean(F.col("ssim_map")).alias("ssim"), "ssim_map")
+    """Structural similarity over the interior, and its map; null where no window fits."""
+
+    def of(a, b):
+        m = None if a is None or b is None else K.ssim_map(a, b, win)
+        return [(None, None) if m is None else (float(m.mean()), m.ravel().tolist())]
+
+    return per_pair(pairs, of, "ssim double, ssim_map array<double>")
 
 
 def hist_corr(pairs: DataFrame, bins: int = 64) -> DataFrame:
@@ -101,26 +139,50 @@ def hist_corr(pairs: DataFrame, bins: int = 64) -> DataFrame:
     return rows.select("pair_id", V.correlation(F.col("a"), F.col("b")).alias("hist_corr"))
 
 
+METRICS = ("ssim", "mean_diff", "pct_changed", "edge_change", "hist_corr")
+
+
+def texture(a: np.ndarray, b: np.ndarray) -> tuple[float | None, float, float, float, float]:
+    """``METRICS`` of two images of one shape; the first is None where no window fits."""
+    d, m = np.abs(a - b), K.ssim_map(a, b)
+    changed = float((K.edges(a, 70, 180) != K.edges(b, 70, 180)).mean())
+    alike = K.correlation(K.histogram(a, 256, 64), K.histogram(b, 256, 64))
+    return None if m is None else float(m.mean()), float(d.mean() / 255), float((d > 0.15 * 255).mean()), changed, alike
+
+
 def pair_metrics(pairs: DataFrame) -> DataFrame:
-    """All texture metrics of each pair in one pass over its arrays."""
-    h, w = F.col("h"), F.col("w")
-    rows = _pair_edges(pairs, 70, 180).withColumns({
-        "d": abs_diff(), "m": P.ssim(F.col("gab"), F.col("test"), h, w),
-        "ha": V.histogram(F.col("gab"), 0, 256, 64), "hb": V.histogram(F.col("test"), 0, 256, 64),
-    })
-    return rows.select(
-        "pair_id", V.mean(F.col("m")).alias("ssim"), (V.mean(F.col("d")) / 255).alias("mean_diff"), share_over(F.col("d"), 0.15 * 255).alias("pct_changed"),
-        (P.count_true(P.mask_op(F.col("ea"), F.col("eb"), "xor")) / F.size("ea")).alias("edge_change"), V.correlation(F.col("ha"), F.col("hb")).alias("hist_corr"),
-    )
+    """All texture metrics of each pair in one pass over its arrays; null without two good images."""
+    schema = ", ".join(f"{m} double" for m in METRICS)
+    return per_pair(pairs, lambda a, b: [(None,) * 5 if a is None or b is None else texture(a, b)], schema)
+
+
+def phase_shift(pairs: DataFrame, edges: tuple[float, float] | None = None) -> DataFrame:
+    """Displacement (dx, dy) of the suspect, with parts of pixels, over the full range.
+
+    By the peak of the windowed cross-power spectrum of the images or, with
+    ``edges`` (low, high), of their edges; null under 5 x 5 pixels.
+    """
+
+    def of(a, b):
+        if a is None or b is None or min(a.shape) < 5:
+            return [(None, None)]
+        if edges:
+            a, b = (K.edges(x, *edges).astype(float) for x in (a, b))
+        return [K.phase_shift(a, b)]
+
+    return per_pair(pairs, of, "dx double, dy double")
 
 
 def shift_estimate(pairs: DataFrame, radius: int = 2) -> DataFrame:
     """Whole-pixel displacement (dx, dy) of the suspect against the golden image.
 
     The offset with the highest normalised correlation of the overlapping
-    pixels; ties to the shorter, then the smaller offset.
+    pixels; ties to the shorter, then the smaller offset.  Pairs without two
+    good images larger than the radius have none; ``phase_shift`` covers the
+    full range.
     """
     steps = F.array(*[F.lit(i) for i in range(-radius, radius + 1)])
+    pairs = pairs.where(_usable() & (F.least("h", "w") > radius))
     offsets = pairs.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
     w = F.col("w")
     y1, y2 = F.greatest(F.lit(0), F.col("dy")), F.least(F.col("h"), F.col("h") + F.col("dy"))
@@ -190,42 +252,71 @@ def context_localized(pairs: DataFrame, side: int = 96, level: float = 100, most
     return out.withColumn("is_localized", F.col("n_clusters") <= most)
 
 
-def macro_boxes(pairs: DataFrame, blur: int = 7, grow: int = 5, close: int = 20, open_: int = 5, least: int = 600, low: float = 50, high: float = 150) -> DataFrame:
+def macro_regions(a: np.ndarray, b: np.ndarray, blur: int = 7, grow: int = 5, close: int = 20, open_: int = 5, least: int = 600, low: float = 50, high: float = 150) -> list[tuple[int, ...]]:
+    """ord, x, y, w, h and pixels of large regions whose edges differ."""
+    ea, eb = (K.edges(K.blur(x, blur), low, high) for x in (a, b))
+    mask = K.morph(ea, "dilate", grow, ellipse=True) ^ eb
+    mask = K.morph(K.morph(mask, "close", close), "open", open_)
+    return [(k + 1, *box) for k, box in enumerate(region_boxes(mask)) if box[4] > least]
+
+
+def macro_boxes(pairs: DataFrame, **how: float) -> DataFrame:
     """Boxes of large regions whose edges differ: pair_id, ord, x, y, w, h, area.
 
     Edges of the blurred suspect against the golden ones, dilated by an ellipse
-    as a tolerance; the difference is closed, opened and parted into regions.
+    as a tolerance; the difference is closed, opened and parted into regions
+    (``how``: the parameters of ``macro_regions``).  Odd images have none.
     """
-    h, w, k = F.col("h"), F.col("w"), P.gaussian(blur)
-    rows = pairs.select("pair_id", "h", "w", P.stencil(F.col("gab"), h, w, k).alias("ga"), P.stencil(F.col("test"), h, w, k).alias("gb"))
-    rows = edge_masks(rows, ea=("ga", low, high), eb=("gb", low, high)).select("pair_id", "h", "w", P.morph(F.col("ea"), h, w, "dilate", grow, ellipse=True).alias("ea"), "eb")
-    rows = rows.withColumn("mask", P.mask_op(F.col("ea"), F.col("eb"), "xor"))
-    rows = rows.withColumn("mask", P.morph(P.morph(F.col("mask"), h, w, "close", close), h, w, "open", open_))
-    return components(rows).where(F.col("area") > least).withColumnRenamed("image_id", "pair_id")
 
+    def of(a, b):
+        return [] if a is None or b is None else macro_regions(a, b, **how)
+
+    return per_pair(pairs, of, "ord int, x int, y int, w int, h int, area long")
 
-def ink_error(pairs: DataFrame, size: int = 15, c: float = 3, open_: int = 2, grow: int = 4, border: int = 3, close: tuple[int, int] = (15, 5), tolerance: float = 0.05, least: int = 10, margin: int = 5, radius: int = 2) -> DataFrame:
+
+def ink_of(
+    a: np.ndarray, b: np.ndarray, shift: tuple[float, float], size: int = 15, c: float = 3, open_: int = 2, grow: int = 4, border: int = 3, close: tuple[int, int] = (15, 5), tolerance: float = 0.05, least: int = 10, margin: int = 5
+) -> tuple[float, bool, dict | None]:
+    """Share of pixels whose ink differs, whether it is over the tolerance, and a box."""
+    h, w = a.shape
+    b = K.moved(b, -shift[0], -shift[1])
+    ink = [K.morph(K.local_ink(K.blur(x, 3), size, c), "open", open_) for x in (a, b)]
+    mask = K.morph(ink[0], "dilate", grow) ^ ink[1]
+    # The first rows and columns are cleared up to and with number `border`.
+    mask[: border + 1] = mask[:, : border + 1] = False
+    mask[max(0, h - border) :] = mask[:, max(0, w - border) :] = False
+    mask = K.morph(mask, "close", close)
+    error = float(mask.mean())
+    if error <= tolerance:
+        return error, False, None
+    x, y, bw, bh, area = max(region_boxes(mask), key=lambda r: r[4])
+    wide = dict(x=max(0, x - margin), y=max(0, y - margin), w=min(w, bw + 2 * margin), h=min(h, bh + 2 * margin))
+    return error, True, wide if area > least else None
+
+
+def ink_error(pairs: DataFrame, radius: int | None = None, **how: float | tuple[int, int]) -> DataFrame:
     """Ink that differs: pair_id, error (share of pixels), is_critical, box.
 
     The suspect is moved onto the golden image, both are blurred and reduced to
     ink by a local threshold and an opening, and the golden ink is dilated; what
     is in one of both masks, but for the border, is closed and counted.  Over
-    the tolerance the box of the largest region is given with a margin.
+    the tolerance the box of the largest region is given with a margin (``how``:
+    the parameters of ``ink_of``).  The displacement is that of the edges
+    (``phase_shift``) or, with ``radius``, of ``shift_estimate``.  Null under
+    5 x 5 pixels.
     """
-    h, w = F.col("h"), F.col("w")
-    moved = pairs.select("pair_id", "h", "w", "gab", "test").join(shift_estimate(pairs, radius).select("pair_id", "dx", "dy"), "pair_id")
-    rows = moved.withColumn("test", P.apply_shift(F.col("test"), h, w, -F.col("dx"), -F.col("dy")))
-    ink = lambda px: P.local_threshold(P.stencil(F.col(px), h, w, P.gaussian(3)), h, w, size, c)
-    rows = rows.select("pair_id", "h", "w", "dx", "dy", ink("gab").alias("a"), ink("test").alias("b"))
-    rows = rows.select("pair_id", "h", "w", "dx", "dy", P.morph(P.morph(F.col("a"), h, w, "open", open_), h, w, "dilate", grow).alias("a"), P.morph(F.col("b"), h, w, "open", open_).alias("b"))
-    # The first rows and columns are cleared up to and with number `border`.
-    inside = lambda i, n: (i > border) & (i < n - border)
-    diff = P.let(P.mask_op(F.col("a"), F.col("b"), "xor"), lambda m: P._grid(h, w, lambda y, x: F.get(m, (y * w + x).cast("int")) & inside(y, h) & inside(x, w)))
-    rows = rows.withColumn("mask", diff).withColumn("mask", P.morph(F.col("mask"), h, w, "close", close))
-    rows = rows.withColumn("error", P.count_true(F.col("mask")) / F.size("mask")).withColumn("is_critical", F.col("error") > tolerance)
-    box = largest_region(rows.where("is_critical"), least=least)
-    wide = F.struct(F.greatest(F.lit(0), F.col("box.x") - margin).alias("x"), F.greatest(F.lit(0), F.col("box.y") - margin).alias("y"), F.least(w, F.col("box.w") + 2 * margin).alias("w"), F.least(h, F.col("box.h") + 2 * margin).alias("h"))
-    return rows.join(box, "pair_id", "left").select("pair_id", "error", "is_critical", F.when(F.col("box").isNotNull(), wide).alias("box"))
+    extra = ()
+    if radius is not None:
+        found = shift_estimate(pairs, radius).select("pair_id", F.struct(F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy")).alias("by"))
+        pairs, extra = pairs.join(found, "pair_id", "left"), ("by",)
+
+    def of(a, b, by=None):
+        if a is None or b is None or min(a.shape) < 5:
+            return [(None, None, None)]
+        shift = (by["dx"], by["dy"]) if by else K.phase_shift(*(K.edges(x, 50, 150).astype(float) for x in (a, b)))
+        return [ink_of(a, b, shift, **how)]
+
+    return per_pair(pairs, of, "error double, is_critical boolean, box struct<x:int,y:int,w:int,h:int>", *extra)
 
 
 CHANNELS = ("r", "g", "b")

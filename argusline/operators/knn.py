@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from argusline.functions.fixed import STRICT
 from argusline.functions.text import clean_key
 from argusline.functions.vectors import dot, norm
+from argusline.operators.components import shared_dir
 
 
 def with_keys(queries: DataFrame) -> DataFrame:
@@ -33,6 +35,30 @@ def memory_summary(memory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return memory.groupBy(*by).agg(F.count_if(is_ok).alias("n_ok"), F.count_if(F.col("label") == "NG").alias("n_ng"), F.count("*").alias("n_total"))
 
 
+#: Letters of the pieces that parts are indexed by.
+GRAM = 3
+
+
+def parts_within(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (q_part, m_part) of distinct parts, the first a piece of the second.
+
+    Held parts are posted by all their pieces of up to ``GRAM`` letters.  An
+    asked part looks up the rarest of its own (itself if it is as short), and
+    what it finds there is verified, so that no parts meet that share nothing.
+    The empty part is a piece of all.
+    """
+    def pieces(c: str, k: int):
+        last = F.length(c) - (k - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(F.array(F.lit("")), *[pieces("m_part", k) for k in range(1, GRAM + 1)])
+    posted = held.select("m_part", F.explode(F.array_distinct(every)).alias("gram"))
+    own = F.when(F.length("q_part") <= GRAM, F.array("q_part")).otherwise(F.array_distinct(pieces("q_part", GRAM)))
+    looked = asked.select("q_part", F.explode(own).alias("gram")).join(posted.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = looked.groupBy("q_part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    return rarest.select("q_part", "r.gram").join(posted, "gram").where(F.col("m_part").contains(F.col("q_part"))).select("q_part", "m_part")
+
+
 def tiered_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT) -> DataFrame:
     """For each (part_key, category_key) asked its tier and the memory keys in it.
 
@@ -44,8 +70,7 @@ def tiered_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = S
     """
     asked = queries.select(F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat")).distinct()
     held = memory.select(F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat")).distinct()
-    # Which parts hold which: a part is asked as a piece of its name.
-    parts = asked.select("q_part").distinct().join(held.select("m_part").distinct(), (F.col("q_part") == "") | F.col("m_part").contains(F.col("q_part")))
+    parts = parts_within(asked.select("q_part").distinct(), held.select("m_part").distinct())
     near = asked.join(parts, "q_part").join(held, "m_part").withColumn("tier", F.when((F.col("q_cat") == "") | (F.col("m_cat") == F.col("q_cat")), 1).otherwise(2))
     open_ = ~F.col("q_cat").isin(*strict) if strict else F.lit(True)
     near = near.where((F.col("tier") == 1) | open_)
@@ -62,13 +87,21 @@ def _memory(memory: DataFrame) -> DataFrame:
     return memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), F.col("sig").cast("array<double>").alias("sig"), "path")
 
 
-def candidate_counts(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT, own: bool = True) -> DataFrame:
+def written_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT) -> DataFrame:
+    """``tiered_keys``, written: as many rows as distinct keys fit, for plans that need them several times."""
+    path = f"{shared_dir(queries.sparkSession)}/tiers-{uuid.uuid4().hex[:12]}"
+    keys = tiered_keys(with_keys(queries), memory, strict)
+    keys.write.parquet(path)
+    return queries.sparkSession.read.schema(keys.schema).parquet(path)
+
+
+def candidate_counts(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT, own: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """query_id, tier and how many memory rows (n, ok, ng) are in it.
 
     Counted by keys: no query meets a memory row.  Without ``own`` the row of
     the query's own id does not count.
     """
-    keys = tiered_keys(with_keys(queries), memory, strict)
+    keys = tiered_keys(with_keys(queries), memory, strict) if keys is None else keys
     size = F.size("sig").alias("dim")
     each = memory.groupBy(F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), size).agg(F.count_if(F.col("label") == "OK").alias("ok"), F.count_if(F.col("label") == "NG").alias("ng"), F.count("*").alias("n"))
     whole = each.groupBy("dim").agg(F.sum("ok").alias("ok"), F.sum("ng").alias("ng"), F.sum("n").alias("n"))
@@ -101,7 +134,7 @@ def candidates(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = ST
 Q_BLOCK, M_BLOCK = 256, 4096
 
 
-def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str] = STRICT, own: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str] = STRICT, own: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest memory rows by cosine in each query's tier.
 
     query_id, tier, rank, sample_id, label, path, dist; ties go to OK, then to
@@ -109,7 +142,7 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str]
     rows of one key (for tier 3: all) meet block by block, and a block gives
     out its ``k`` nearest for each query, so that no pairs are shuffled.
     """
-    keys = tiered_keys(with_keys(queries), memory, strict)
+    keys = tiered_keys(with_keys(queries), memory, strict) if keys is None else keys
     block = lambda c, n: F.ceil(F.count("*").over(W.partitionBy(*c)) / n).cast("int")
     salted = lambda df, c, i, n: df.withColumn("blk", F.pmod(F.xxhash64(i), block(c, n)).cast("int"))
     q = salted(_asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb")).where(F.size("emb") > 0), ["q_part", "q_cat"], "query_id", Q_BLOCK)
@@ -122,10 +155,10 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(whole.num_rows):
-                tier, asked, held = (whole.column(c)[at].as_py() for c in ("tier", "asked", "held"))
-                x, y = np.array([r["emb"] for r in asked], float), np.array([r["sig"] for r in held], float)
-                ids, sids = np.array([r["query_id"] for r in asked]), np.array([r["sample_id"] for r in held])
-                labels = np.array([r["label"] for r in held], object)
+                tier, asked, held = whole.column("tier")[at].as_py(), whole.column("asked")[at].values, whole.column("held")[at].values
+                x, y = (s.field(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(s), -1) for s, c in ((asked, "emb"), (held, "sig")))
+                ids, sids = asked.field("query_id").to_numpy(), held.field("sample_id").to_numpy()
+                labels, paths = (np.array(held.field(c).to_pylist(), object) for c in ("label", "path"))
                 size = np.sqrt((y * y).sum(axis=1))
                 rows = []
                 for i, v in zip(ids.tolist(), x, strict=True):
@@ -133,7 +166,7 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str]
                     d = 1 - (y * v).sum(axis=1) / np.where(both > 0, both, 1)
                     ok = (both > 0) & (own | (sids != i))
                     order = np.lexsort((sids, labels != "OK", d, ~ok))[:k]
-                    rows += [(i, tier, held[j]["sample_id"], held[j]["label"], held[j]["path"], d[j]) for j in order.tolist() if ok[j]]
+                    rows += [(i, tier, sids[j], labels[j], paths[j], d[j]) for j in order.tolist() if ok[j]]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "tier", "sample_id", "label", "path", "dist"])
@@ -157,8 +190,9 @@ def knn_vote(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence
     to OK, then to the smaller sample id.  Without ``own`` a memory row of the
     query's id is no candidate.  ``near`` may give neighbours found otherwise.
     """
-    kinds = candidate_counts(queries, memory, strict, own).select("query_id", "tier", "ok", "ng")
-    near = nearest(queries, memory, k, strict, own) if near is None else near
+    keys = written_keys(queries, memory, strict)
+    kinds = candidate_counts(queries, memory, strict, own, keys).select("query_id", "tier", "ok", "ng")
+    near = nearest(queries, memory, k, strict, own, keys) if near is None else near
     weight = 1 / F.greatest(F.col("dist"), F.lit(1e-4))
     votes = near.groupBy("query_id").agg(
         (F.sum(F.when(F.col("label") == "NG", weight).otherwise(0.0)) / F.sum(weight)).alias("raw"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from argusline.functions import text as T
 from argusline.functions import vectors as V
-from argusline.operators import knn, scoring as S
+from argusline.operators import inspection, knn, routing, scoring as S
+from argusline.operators.images import pair_align
 from argusline.plans import bindings as B
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -148,9 +150,35 @@ def _sql(*names, flags=()):
     return SCORES + "SELECT query_id, " + ", ".join([f"round({n}, 5) AS {n}" for n in names] + list(flags)) + " FROM z"
 
 
-@query("inspect", _sql("final_score", "confidence", flags=("is_defect", "CASE WHEN is_defect THEN 'real defect' ELSE 'false alarm' END AS verdict", "n_neighbors")))
+def inspections(spark, d):
+    """pairs and info of the query set: an inspection's vector is its suspect, the next one its golden image."""
+    im = B.images(spark, d)
+    golden = im.where("vec_id % 50 = 1").withColumn("pair_id", F.col("vec_id") - 1).drop("vec_id")
+    pairs = pair_align(golden, im.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "pair_id")).withColumnRenamed("pair_id", "insp_id")
+    # Every pixel four times wide and high, so that no engine's input is too small; two boxes and a focus in each.
+    wide = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.flatten(F.transform(F.slice(c, F.floor(y / 4).cast("int") * 8 + 1, 8), lambda v: F.array_repeat(v, 4)))))
+    pairs = pairs.select("insp_id", F.lit(32).alias("h"), F.lit(32).alias("w"), wide("gab").alias("gab"), wide("test").alias("test"))
+    box = lambda x, y, w, h: F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(n) for v, n in zip((x, y, w, h), "xywh")])
+    at = F.col("insp_id") % 16
+    pairs = pairs.withColumns({"anomalies": F.array(box(at, 4, 12, 12), box(2, at, 14, 16)), "focus": F.array(box(at, at, 14, 14))})
+    q = B.queries(spark, d)
+    kinds = F.array(*[F.lit(c) for c in ("Missing", "Bridge", "Shifted", "Dust", "other")])
+    info = q.select(F.col("query_id").alias("insp_id"), "part", F.get(kinds, (F.col("query_id") / 50 % 5).cast("int")).alias("category"), F.concat(F.lit("R"), F.col("query_id")).alias("value"), "emb")
+    return pairs, info
+
+
+@query("inspect")
 def inspect(spark, d):
-    """Flagship: vote, fusion, confidence and verdict of every inspection."""
+    """Flagship: engines, vote, fusion and verdict of every inspection."""
+    pairs, info = inspections(spark, d)
+    out = inspection.inspect(pairs, info, B.memory(spark, d), routing.routes(spark), own=False)
+    named = lambda n: [F.col(f"{n}.is_defect").alias(f"{n}_defect"), F.round(f"{n}.score", 5).alias(f"{n}_score")]
+    return out.select("insp_id", "is_defect", F.round("final_score", 5).alias("final_score"), F.round("confidence", 5).alias("confidence"), "verdict", F.array_join("active_engines", ",").alias("engines"), *[c for n in ("shift", "silk", "semantic", "ssim") for c in named(n)], "n_neighbors")
+
+
+@query("fused_verdict", _sql("final_score", "confidence", flags=("is_defect", "CASE WHEN is_defect THEN 'real defect' ELSE 'false alarm' END AS verdict", "n_neighbors")))
+def fused_verdict(spark, d):
+    """Fusion and verdict of scores that stand for the engines'."""
     rows = _scores(spark, d).withColumn("verdict", S.final_status(F.lit(1), F.col("is_defect"), F.lit(True)))
     return _rounded(rows, "final_score", "confidence", "is_defect", "verdict", "n_neighbors")
 
