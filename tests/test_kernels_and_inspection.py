@@ -192,7 +192,7 @@ def test_inspection_end_to_end(spark):
     stained[40:80, 40:80] = 255 - stained[40:80, 40:80] // 2
     boxes = [{"x": 38, "y": 38, "w": 44, "h": 44}]
     calm = np.add.outer(np.arange(120.0), np.arange(120.0)) / 2 + 60  # without edges: dilated edges differ from themselves
-    rows = [("same", calm, calm), ("shifted", base, shifted), ("stained", base, stained), ("quiet", base, stained), ("blank", base, None), ("unknown", base, base)]
+    rows = [("same", calm, calm), ("shifted", 128 + (base - 128) / 4, 128 + (shifted - 128) / 4), ("stained", base, stained), ("quiet", base, stained), ("blank", base, None), ("unknown", base, base)]
     ids = {n: k for k, (n, _, _) in enumerate(rows)}
     table = [(ids[n], 120, 120, a.ravel().tolist(), None if b is None else b.ravel().tolist(), boxes, boxes if n != "shifted" else None) for n, a, b in rows]
     box = "array<struct<x:int,y:int,w:int,h:int>>"
