@@ -71,12 +71,13 @@ def tiered_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = S
     asked = queries.select(F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat")).distinct()
     held = memory.select(F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat")).distinct()
     parts = parts_within(asked.select("q_part").distinct(), held.select("m_part").distinct())
-    near = asked.join(parts, "q_part").join(held, "m_part").withColumn("tier", F.when((F.col("q_cat") == "") | (F.col("m_cat") == F.col("q_cat")), 1).otherwise(2))
-    open_ = ~F.col("q_cat").isin(*strict) if strict else F.lit(True)
-    near = near.where((F.col("tier") == 1) | open_)
-    best = near.groupBy("q_part", "q_cat").agg(F.min("tier").alias("tier"))
-    rest = asked.where(open_).join(best, ["q_part", "q_cat"], "left_anti").select("q_part", "q_cat", F.lit(3).alias("tier"), F.lit(None).cast("string").alias("m_part"), F.lit(None).cast("string").alias("m_cat"))
-    return near.join(best, ["q_part", "q_cat", "tier"]).select("q_part", "q_cat", "tier", "m_part", "m_cat").unionByName(rest)
+    # Each table is read once: what no part fits stays as a row without memory keys.
+    tier = F.when(F.col("m_part").isNull(), 3).when((F.col("q_cat") == "") | (F.col("m_cat") == F.col("q_cat")), 1).otherwise(2)
+    near = asked.join(parts, "q_part", "left").join(held, "m_part", "left").withColumn("tier", tier)
+    if strict:
+        near = near.where((F.col("tier") == 1) | ~F.col("q_cat").isin(*strict))
+    best = F.min("tier").over(W.partitionBy("q_part", "q_cat"))
+    return near.withColumn("best", best).where("tier = best").select("q_part", "q_cat", "tier", "m_part", "m_cat")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
