@@ -38,12 +38,14 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def region_boxes(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """x, y, w, h and pixels of each region, in the order of first pixels."""
     row, first, end, region = runs_of(mask)
-    out = []
-    for r in np.unique(region):
-        at = region == r
-        x, y = int(first[at].min()), int(row[at].min())
-        out.append((x, y, int(end[at].max()) - x, int(row[at].max()) + 1 - y, int((end[at] - first[at]).sum())))
-    return out
+    if not len(row):
+        return []
+    order = np.argsort(region, kind="stable")
+    at = np.flatnonzero(np.diff(region[order], prepend=-1))
+    over = lambda f, v: f.reduceat(v[order], at)
+    x, y = over(np.minimum, first), over(np.minimum, row)
+    w, h = over(np.maximum, end) - x, over(np.maximum, row) + 1 - y
+    return list(zip(*(v.tolist() for v in (x, y, w, h, over(np.add, end - first))), strict=True))
 
 
 def linked_to(mask: np.ndarray, seeds: np.ndarray) -> np.ndarray:

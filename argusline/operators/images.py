@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from argusline.functions import kernels as K
 from argusline.functions import pixels as P
 from argusline.functions import vectors as V
+from argusline.functions.layout import layout
 from argusline.functions.masks import region_boxes
 from argusline.functions.text import parse_panel
-from argusline.operators.boxes import BOX, box_contained, dedup_boxes, extreme_box, largest_bar, looks_anomalous, sibling_box
-from argusline.operators.sequences import photo_extent
+from argusline.operators.boxes import BOX, box_contained, dedup_boxes, extreme_box, looks_anomalous
 
 
 def pair_align(gab: DataFrame, test: DataFrame) -> DataFrame:
@@ -381,34 +381,24 @@ def detect_layout(frames: DataFrame, bar: int = 2000, sibling: int = 1000, talle
     status (``ok``, ``no blue bar``, ``no red bar``, ``empty photo``), golden and
     suspect (struct x, y, w, h) and the text's board, parts and value.  The red
     bar is the blue one's sibling, else the largest; photos stand below the bars.
+    A frame is worked where it is: nothing is shuffled, no pixel becomes a row.
+    One without an image (null, of another size, with null pixels) has no bar.
     """
-    masks = frames.select("frame_id", "h", "w", "r", "g", "b", color_pixels("", "blue").alias("blue"), color_pixels("", "red").alias("red"))
-    blue = largest_bar(components(masks, "blue", "frame_id"), bar)
-    red = components(masks, "red", "frame_id")
-    beside = sibling_box(blue, red, sibling).where("is_sibling").select("image_id", F.struct(*BOX).alias("sibling"))
-    alone = largest_bar(red, bar).select("image_id", F.struct(*BOX).alias("alone"))
-    base = frames.select(F.col("frame_id").alias("image_id"), F.col("h").alias("fh"), F.col("w").alias("fw"), parse_panel(F.col("raw_text")).alias("text"))
-    bars = base.join(blue.select("image_id", F.struct(*BOX).alias("blue")), "image_id", "left").join(beside, "image_id", "left").join(alone, "image_id", "left")
-    bars = bars.withColumn("red", F.coalesce("sibling", "alone"))
-    bottom = F.greatest(F.col("blue.y") + F.col("blue.h"), F.col("red.y") + F.col("red.h"))
-    bars = bars.withColumn("tall", F.least(F.lit(tallest), F.col("fh") - bottom - 50))
-    strips = bars.where("blue IS NOT NULL AND red IS NOT NULL").select("image_id", "fh", "fw", "tall", F.explode(F.array(F.struct(F.lit("golden").alias("side"), F.col("blue").alias("bar")), F.struct(F.lit("suspect").alias("side"), F.col("red").alias("bar")))).alias("s"))
-    strips = strips.select("image_id", "s.side", F.greatest(F.lit(0), F.col("s.bar.x")).alias("sx"), (F.col("s.bar.y") + F.col("s.bar.h")).alias("sy"), F.least("fw", F.col("s.bar.x") + F.col("s.bar.w")).alias("ex"), F.least("fh", F.col("s.bar.y") + F.col("s.bar.h") + F.col("tall")).alias("ey"))
-    strips = strips.where((F.col("ey") - F.col("sy") >= least) & (F.col("ex") - F.col("sx") >= least))
-    # Interface gray of each strip's pixels; both strips of a frame are images of their own.
-    pixel = lambda p: P.neutral_mask(p["0"], p["1"], p["2"], P.to_hsv(p["0"], p["1"], p["2"])[1])
-    gray = masks.select(F.col("frame_id").alias("image_id"), "w", F.transform(F.arrays_zip(*[F.col(c).alias(str(i)) for i, c in enumerate(CHANNELS)]), pixel).alias("gray"))
-    key = F.struct("image_id", "side", "sx", "sy", "ex", "ey")
-    cut = strips.join(gray, "image_id").select(key.alias("image_id"), F.explode(F.sequence(F.col("sy"), F.col("ey") - 1)).alias("fy"), "w", "gray")
-    line = F.slice("gray", (F.col("fy") * F.col("w") + F.col("image_id.sx") + 1).cast("int"), (F.col("image_id.ex") - F.col("image_id.sx")).cast("int"))
-    pixels = cut.select("image_id", (F.col("fy") - F.col("image_id.sy")).alias("y"), F.posexplode(line).alias("x", "flag"))
-    extent = photo_extent(pixels, F.col("image_id.ey") - F.col("image_id.sy"), F.col("image_id.ex") - F.col("image_id.sx"))
-    box = F.struct((F.col("image_id.sx") + F.col("left")).alias("x"), (F.col("image_id.sy") + F.col("top")).alias("y"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"))
-    photos = extent.select(F.col("image_id.image_id").alias("image_id"), "image_id.side", box.alias("box")).groupBy("image_id").agg(
-        F.max(F.when(F.col("side") == "golden", F.col("box"))).alias("golden"), F.max(F.when(F.col("side") == "suspect", F.col("box"))).alias("suspect")
-    )
-    out = bars.join(photos, "image_id", "left")
-    both = F.col("golden").isNotNull() & F.col("suspect").isNotNull()
-    status = F.when(F.col("blue").isNull(), "no blue bar").when(F.col("red").isNull(), "no red bar").when(both, "ok").otherwise("empty photo")
-    shown = lambda c: F.when(both, F.col(c)).alias(c)
-    return out.select(F.col("image_id").alias("frame_id"), status.alias("status"), shown("golden"), shown("suspect"), *[F.when(both, F.col(f"text.{c}")).alias(c) for c in ("board", "parts", "value")])
+    kind = frames.schema["frame_id"].dataType.simpleString()
+    slim = frames.select("frame_id", "h", "w", *[F.col(c).cast("array<double>").alias(c) for c in CHANNELS], "raw_text")
+    box = pa.struct([(c, pa.int32()) for c in BOX])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = []
+            for h, w, *planes in zip(b.column("h").to_pylist(), b.column("w").to_pylist(), *(arrays_of(b.column(c)) for c in CHANNELS), strict=True):
+                grids = [K.grid(p, h, w) for p in planes]
+                told.append(("no blue bar", None, None) if any(g is None for g in grids) else layout(*grids, bar, sibling, tallest, least))
+            status, golden, suspect = zip(*told, strict=True) if told else ((), (), ())
+            boxes = [pa.array([x and dict(zip(BOX, x, strict=True)) for x in side], box) for side in (golden, suspect)]
+            yield pa.RecordBatch.from_arrays([b.column("frame_id"), pa.array(status, pa.string()), *boxes, b.column("raw_text")], ["frame_id", "status", "golden", "suspect", "raw_text"])
+
+    shape = "struct<x:int,y:int,w:int,h:int>"
+    out = slim.mapInArrow(run, f"frame_id {kind}, status string, golden {shape}, suspect {shape}, raw_text string")
+    text = F.when(F.col("status") == "ok", parse_panel(F.col("raw_text")))
+    return out.withColumn("text", text).select("frame_id", "status", "golden", "suspect", "text.board", "text.parts", "text.value")
