@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Collection
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,13 +114,28 @@ class ShardTable:
         for folder in {s.path.rsplit("/", 1)[0] for s in shards}:
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)
 
-    @staticmethod
-    def widened(known: T.StructType | None, new: T.StructType) -> T.StructType:
-        """Both schemas' columns by name (without case); a clash of types is an error."""
-        fields = {f.name.lower(): f for f in known or ()}
+    @classmethod
+    def nullable(cls, kind: T.DataType) -> T.DataType:
+        """The type with nulls allowed at every depth: tables take them everywhere."""
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, cls.nullable(f.dataType), True) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(cls.nullable(kind.elementType), True)
+        if isinstance(kind, T.MapType):
+            return T.MapType(cls.nullable(kind.keyType), cls.nullable(kind.valueType), True)
+        return kind
+
+    @classmethod
+    def widened(cls, known: T.StructType | None, new: T.StructType) -> T.StructType:
+        """Both schemas' columns by name (without case); a clash of types is an error.
+
+        Types that differ only in where nulls may be are one.
+        """
+        fields = {f.name.lower(): T.StructField(f.name, cls.nullable(f.dataType), True) for f in known or ()}
         for f in new:
-            old = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True))
-            if old.dataType != f.dataType:
+            kind = cls.nullable(f.dataType)
+            old = fields.setdefault(f.name.lower(), T.StructField(f.name, kind, True))
+            if old.dataType != kind:
                 raise ValueError(f"column {f.name} is {f.dataType.simpleString()} here and {old.dataType.simpleString()} in the table")
         return T.StructType(list(fields.values()))
 
@@ -142,13 +158,13 @@ class ShardTable:
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(size, 1) / self.least, self.fan_in))) if size > self.least else 0
 
-    def due(self, shards: list[Shard]) -> list[Shard]:
-        """Shards of the lowest tier that has ``fan_in`` below the target size."""
+    def due(self, shards: list[Shard], settled: Collection[int] = ()) -> list[Shard]:
+        """Shards of the lowest tier, but for settled ones, that has ``fan_in`` below the target size."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.size < self.target // 2:
                 tiers.setdefault(self.tier(s.size), []).append(s)
-        ready = [t for t, own in tiers.items() if len(own) >= self.fan_in]
+        ready = [t for t, own in tiers.items() if len(own) >= self.fan_in and t not in settled]
         return tiers[min(ready)] if ready else []
 
     def merge(self, shards: list[Shard], schema: T.StructType) -> list[Shard]:
@@ -160,17 +176,22 @@ class ShardTable:
         return self._write(session.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards]), "merged")
 
     def compact(self, rounds: int = 16) -> int:
-        """Merges due tiers until none is left; returns the latest version."""
+        """Merges due tiers until none is left; returns the latest version.
+
+        A tier whose merge makes no fewer files is settled, and higher ones go on.
+        """
+        settled: set[int] = set()
         for _ in range(rounds):
             base, old, schema = self.manifest()
-            ripe = self.due(old)
+            ripe = self.due(old, settled)
             if not ripe:
                 break
             gone = set(ripe)
             new = self.merge(ripe, schema)
             if len(new) >= len(ripe):
                 self._discard(new)
-                break  # the files are as large as the scan lets them be
+                settled.add(self.tier(ripe[0].size))  # the files are as large as the scan lets them be
+                continue
             try:
                 self.commit(base, [s for s in old if s not in gone] + new, schema)
             except Conflict:

@@ -6,6 +6,8 @@ it cannot take is shared among the others by weight.  The mix is then dealt in
 blocks of equally many words: the highest quotients ``target / (2 q + 1)`` give
 every source a whole number of blocks, and the same rule deals a source's
 blocks to its shards (parts of bounded size that a hash of the row chooses).
+Blocks are short against the smallest target (``FINE`` of them or more, down to
+one word), so that small sources too come near their targets.
 
 In a shard the documents lie in seeded hash order on a ring of blocks.  With
 ``q`` blocks to take from ``n``, every block is taken ``q // n`` times and
@@ -28,6 +30,8 @@ from argusline.llm.common import Stages, fresh, word_count
 #: Words of a shard on average at most, until there are MAX_SHARDS of them.
 SHARD_WORDS = 500_000
 MAX_SHARDS = 1 << 16
+#: Blocks of the smallest target, unless a block is one word.
+FINE = 16
 #: Columns of a mix.
 MIXED = ("size", "source_size", "target", "taken", "whole", "spans")
 
@@ -95,6 +99,14 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> lis
     return out
 
 
+def block_words(goal: Sequence[float], most: int) -> int:
+    """Words of a block: ``most`` halved until the smallest target has ``FINE`` blocks."""
+    least = min((g for g in goal if g > 0), default=float("inf"))
+    while most > 1 and least < FINE * most:
+        most //= 2
+    return max(1, most)
+
+
 def mix(
     docs: DataFrame,
     text_col: str = "text",
@@ -113,7 +125,8 @@ def mix(
     document is taken whole and ``spans`` lists further word ranges [start, end)
     taken once more.  Empty and null texts have size 0 and nothing taken.  Rows
     that are equal in id and text are told apart by nothing, so either may
-    stand first.  Columns of ``docs`` with these names are replaced.  The table
+    stand first.  ``block`` is the longest block (see ``block_words``).  Columns
+    of ``docs`` with these names are replaced.  The table
     of sources must fit the driver (it is the configuration of a mix), and so
     must that of shards, at most about ``2 * MAX_SHARDS`` besides one for each source.
     """
@@ -138,6 +151,7 @@ def mix(
     plan = spark.createDataFrame([(r.source, n, float(g), p) for r, n, g, p in zip(totals, sizes, goal, parts, strict=True)], "s string, source_size long, target double, parts int")
     keyed = lambda df, source, mark_: df.join(plan, F.col(source).eqNullSafe(F.col("s")), "inner").withColumn(shard, F.pmod(F.shiftright(mark_, 20), F.col("parts")).cast("int")).drop("s", "parts")
 
+    block = block_words(goal, block)
     seats = sainte_lague(goal, round(sum(goal) / block), [-(-max_repeat * n // block) for n in sizes])
     quota = {}
     by_shard = keyed(narrow, "source", F.col("order")).groupBy("source", shard).agg(F.sum("size").alias("n")).collect()

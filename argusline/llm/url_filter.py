@@ -21,10 +21,11 @@ from argusline.llm.components import components
 #: (verdict, host, path prefix); a list for the driver, compiled into the plan.
 Rule = tuple[str, str, str]
 
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: What a browser does not take for markup: comments and raw text.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp)\b[^>]*>.*?(?:</\1\b|\z)"
+LINK, META = r"(?is)<link[\s/][^>]*>", r"(?is)<meta[\s/][^>]*>"
+ATTRIBUTE = r"""(?s)[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)"""
 #: Query parameters that do not change the page that is meant.
 TRACKING = r"(?i)([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
@@ -96,16 +97,26 @@ def resolved(base: Column, goal: Column) -> Column:
     return F.when(scheme != "", F.when(goal.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://"), goal)).otherwise(out)
 
 
-def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """src, dst (as written, dst made absolute): declared canonical links and refreshes."""
-    url, html = F.col(url_col), F.col(html_col)
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of exactly that name; empty without one."""
+    own = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda t: F.lower(F.regexp_extract(t, r"\A[^\s=]+", 0)) == name)
+    return F.coalesce(F.regexp_extract(F.get(own, F.lit(0)), r"""(?s)\A[^=]*=\s*["']?\s*(.*?)\s*["']?\z""", 1), F.lit(""))
+
 
-    def edge(tag: str, attribute: str) -> DataFrame:
-        goal = unescaped(F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1))
-        rows = pages.where(url.contains("://") & html.rlike(tag)).select(url.alias("src"), goal.alias("goal"))
-        return rows.where("goal != ''").select("src", resolved(F.col("src"), F.col("goal")).alias("dst")).where("dst IS NOT NULL")
+def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """src, dst (as written, dst made absolute): every declared canonical link and refresh.
 
-    return edge(CANONICAL, HREF).union(edge(REFRESH, TARGET))
+    Comments, scripts and other raw text declare nothing.
+    """
+    url, html = F.col(url_col), F.col(html_col)
+    # Few pages declare any, so the tags are looked at in those only.
+    some = pages.where(url.contains("://") & html.rlike("(?i)canonical|refresh")).select(url.alias("src"), F.regexp_replace(html, UNSEEN, " ").alias("seen"))
+    tags = lambda pattern: F.regexp_extract_all("seen", F.lit(pattern), F.lit(0))
+    links = F.filter(tags(LINK), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(tags(META), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    goals = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: F.regexp_extract(unescaped(attribute(t, "content")), TARGET, 1)))
+    rows = some.select("src", F.explode(goals).alias("goal")).where("goal != ''").select("src", unescaped(F.col("goal")).alias("goal"))
+    return rows.select("src", resolved(F.col("src"), F.col("goal")).alias("dst")).where("dst IS NOT NULL")
 
 
 def judge(
