@@ -7,10 +7,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +17,7 @@ from argusline.functions.fixed import STRICT
 from argusline.functions.text import clean_key
 from argusline.functions.vectors import dot, norm
 from argusline.operators.components import shared_dir
+from argusline.operators.pivots import FOUND, M_BLOCK, Q_BLOCK, PivotIndex, meet, ranked, usable
 
 
 def with_keys(queries: DataFrame) -> DataFrame:
@@ -131,50 +130,39 @@ def candidates(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = ST
     return found if own else found.where("sample_id <> query_id")
 
 
-#: Queries and memory rows that meet at once.
-Q_BLOCK, M_BLOCK = 256, 4096
-
-
-def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str] = STRICT, own: bool = True, keys: DataFrame | None = None) -> DataFrame:
+def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str] = STRICT, own: bool = True, keys: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """The ``k`` nearest memory rows by cosine in each query's tier.
 
     query_id, tier, rank, sample_id, label, path, dist; ties go to OK, then to
-    the smaller id; zero vectors take no part.  Queries of one key and memory
-    rows of one key (for tier 3: all) meet block by block, and a block gives
-    out its ``k`` nearest for each query, so that no pairs are shuffled.
+    the smaller id; unusable vectors (null, zero, null or non-finite components)
+    take no part.  Queries of one key and memory rows of one key meet block by
+    block, and a block gives out its ``k`` nearest for each query, so that no
+    pairs are shuffled.  Tier 3 (left out without ``whole``) is one block if the
+    memory is no larger, else it is searched through ``PivotIndex``.
     """
     keys = tiered_keys(with_keys(queries), memory, strict) if keys is None else keys
-    block = lambda c, n: F.ceil(F.count("*").over(W.partitionBy(*c)) / n).cast("int")
-    salted = lambda df, c, i, n: df.withColumn("blk", F.pmod(F.xxhash64(i), block(c, n)).cast("int"))
-    q = salted(_asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb")).where(F.size("emb") > 0), ["q_part", "q_cat"], "query_id", Q_BLOCK)
+
+    def salted(df: DataFrame, by: Sequence[str], i: str, n: int) -> DataFrame:
+        # Counted apart: a window would sort all rows of a key in one task.
+        per = df.groupBy(*by).agg(F.ceil(F.count("*") / n).cast("int").alias("blks"))
+        return df.join(per, list(by)).withColumn("blk", F.pmod(F.xxhash64(i), F.col("blks")).cast("int")).drop("blks")
+
+    asked = _asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb")).where(usable("emb"))
+    q = salted(asked, ["q_part", "q_cat"], "query_id", Q_BLOCK)
     q = q.groupBy("q_part", "q_cat", F.size("emb").alias("dim"), "blk").agg(F.collect_list(F.struct("query_id", "emb")).alias("asked")).drop("blk")
-    rows = _memory(memory).where(F.size("sig") > 0)
-    m = salted(rows, ["m_part", "m_cat"], "sample_id", M_BLOCK).groupBy("m_part", "m_cat", F.size("sig").alias("dim"), "blk").agg(F.collect_list(F.struct("sample_id", "label", "path", "sig")).alias("held")).drop("blk")
-    some = q.join(keys.where("tier < 3"), ["q_part", "q_cat"]).join(m, ["m_part", "m_cat", "dim"]).select("tier", "asked", "held")
-    every = q.join(keys.where("tier = 3").select("q_part", "q_cat", "tier"), ["q_part", "q_cat"]).join(m.select("dim", "held"), "dim").select("tier", "asked", "held")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(whole.num_rows):
-                tier, asked, held = whole.column("tier")[at].as_py(), whole.column("asked")[at].values, whole.column("held")[at].values
-                x, y = (s.field(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(s), -1) for s, c in ((asked, "emb"), (held, "sig")))
-                ids, sids = asked.field("query_id").to_numpy(), held.field("sample_id").to_numpy()
-                labels, paths = (np.array(held.field(c).to_pylist(), object) for c in ("label", "path"))
-                size = np.sqrt((y * y).sum(axis=1))
-                rows = []
-                for i, v in zip(ids.tolist(), x, strict=True):
-                    both = size * np.sqrt((v * v).sum())
-                    d = 1 - (y * v).sum(axis=1) / np.where(both > 0, both, 1)
-                    ok = (both > 0) & (own | (sids != i))
-                    order = np.lexsort((sids, labels != "OK", d, ~ok))[:k]
-                    rows += [(i, tier, sids[j], labels[j], paths[j], d[j]) for j in order.tolist() if ok[j]]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "tier", "sample_id", "label", "path", "dist"])
-
-    found = some.unionByName(every).mapInArrow(run, "query_id long, tier int, sample_id long, label string, path string, dist double")
-    order = W.partitionBy("query_id").orderBy("dist", F.desc("label"), "sample_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = _memory(memory).where(usable("sig"))
+    row = F.struct("sample_id", "label", "path", "sig")
+    m = salted(rows, ["m_part", "m_cat"], "sample_id", M_BLOCK).groupBy("m_part", "m_cat", F.size("sig").alias("dim"), "blk").agg(F.collect_list(row).alias("held")).drop("blk")
+    found = q.join(keys.where("tier < 3"), ["q_part", "q_cat"]).join(m, ["m_part", "m_cat", "dim"]).select("tier", "asked", "held")
+    last = keys.where("tier = 3").select("q_part", "q_cat", "tier")
+    if not whole or last.isEmpty():
+        return ranked(found.mapInArrow(meet(k, own), FOUND), k)
+    if rows.limit(M_BLOCK + 1).count() > M_BLOCK:
+        far = PivotIndex(memory).nearest(asked.join(last, ["q_part", "q_cat"]), k, own).drop("rank")
+        return ranked(found.mapInArrow(meet(k, own), FOUND).unionByName(far), k)
+    all_ = rows.groupBy(F.size("sig").alias("dim")).agg(F.collect_list(row).alias("held"))
+    every = q.join(last, ["q_part", "q_cat"]).join(all_, "dim").select("tier", "asked", "held")
+    return ranked(found.unionByName(every).mapInArrow(meet(k, own), FOUND), k)
 
 
 def distances(found: DataFrame) -> DataFrame:
@@ -228,7 +216,7 @@ def mutual_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
         x, y = (df.where("group IS NOT NULL") for df in (x, y))
         asked = x.select(F.col("id").alias("query_id"), F.lit("").alias("part"), group.alias("category"), "emb")
         held = y.select(F.col("id").alias("sample_id"), F.lit("OK").alias("label"), F.lit("").alias("part_key"), clean_key(group).alias("category_key"), F.col("emb").alias("sig"), F.lit(None).cast("string").alias("path"))
-        return nearest(asked, held, 1).where("tier = 1")
+        return nearest(asked, held, 1, whole=False).where("tier = 1")
 
     first = one(a, b).select(F.col("query_id").alias("a_id"), F.col("sample_id").alias("b_id"), "dist")
     second = one(b, a).select(F.col("query_id").alias("b_id"), F.col("sample_id").alias("a_id"))

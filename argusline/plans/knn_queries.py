@@ -9,6 +9,7 @@ from argusline.functions import text as T
 from argusline.functions import vectors as V
 from argusline.operators import inspection, knn, routing, scoring as S
 from argusline.operators.images import pair_align
+from argusline.operators.pivots import PivotIndex
 from argusline.plans import bindings as B
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -52,6 +53,18 @@ def knn_vote(spark, d):
     return _vote(spark, d).withColumns({"vote_defect": F.round("vote_defect", 6), "best_similarity": F.round("best_similarity", 6)})
 
 
+@query(
+    "nearest_in_all",
+    B.with_("queries", "memory")
+    + """, d AS (SELECT query_id, sample_id, label, 1 - list_dot_product(emb, sig) / (sqrt(list_dot_product(emb, emb)) * sqrt(list_dot_product(sig, sig))) AS dist FROM queries, memory WHERE sample_id <> query_id)
+SELECT query_id, rank, sample_id, label, round(dist, 6) AS dist FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY dist, label DESC, sample_id))::INT AS rank FROM d) WHERE rank <= 5""",
+)
+def nearest_in_all(spark, d):
+    """The five nearest in the whole memory, whatever its keys, through pivots."""
+    found = PivotIndex(B.memory(spark, d), block=256).nearest(B.queries(spark, d), 5, own=False)
+    return found.select("query_id", "rank", "sample_id", "label", F.round("dist", 6).alias("dist"))
+
+
 @query("tiered_candidates", TIERS + "SELECT query_id, min(tier) AS tier, count(*) AS n FROM cand GROUP BY 1")
 def tiered_candidates(spark, d):
     return knn.candidate_counts(B.queries(spark, d), B.memory(spark, d), own=False).select("query_id", "tier", "n")
