@@ -10,6 +10,7 @@ from argusline.functions import pixels as P
 from argusline.functions import vectors as V
 from argusline.operators import images as I
 from argusline.operators import scoring as S
+from argusline.operators.components import components_of_masks
 from argusline.plans import bindings as B
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -291,6 +292,13 @@ def components(spark, d):
     return I.components(im, "mask", "vec_id").drop("ord")
 
 
+@query("components_tiled", CC)
+def components_tiled(spark, d):
+    """The same from pixel rows, as of images too large for a row: tiles by themselves, then their rims."""
+    im = B.images(spark, d).withColumn("mask", P.threshold(F.col("px"), 150))
+    return components_of_masks(I.mask_pixels(im, "mask", "vec_id"), tile=4).drop("ord")
+
+
 @query("ink_error")
 def ink_error(spark, d):
     """Ink of 8 x 8 images, with elements in proportion."""
