@@ -230,7 +230,19 @@ def band_fraction(spark, d):
     return Q.band_fraction(_bands(spark, d), "y").withColumn("share", F.round("share", 6))
 
 
-@query("photo_extent")
+EXTENT = f"WITH {BAND}," + """
+r AS (SELECT image_id, y AS i, avg(flag::INT) >= 0.75 AS flag FROM band GROUP BY 1, 2),
+t AS (SELECT *, avg(flag::INT) OVER w AS share, count(*) OVER w AS rest, min(CASE WHEN NOT flag THEN i END) OVER (PARTITION BY image_id) AS top FROM r WINDOW w AS (PARTITION BY image_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS (SELECT image_id, min(top) AS top, coalesce(min(i) FILTER (flag AND i > top AND rest >= 15 AND share >= 0.9), max(i) FILTER (NOT flag) + 1) AS bottom FROM t GROUP BY 1),
+e AS (SELECT image_id, CASE WHEN bottom - top >= 5 THEN top ELSE 0 END AS top, CASE WHEN bottom - top >= 5 THEN bottom ELSE 40 END AS bottom FROM g),
+c AS (SELECT image_id, x AS i, avg(flag::INT) >= 0.75 AS flag FROM band JOIN e USING (image_id) WHERE y >= top AND y < bottom GROUP BY 1, 2),
+f AS (SELECT *, i - lag(i) OVER (PARTITION BY image_id ORDER BY i) - 1 AS gap FROM c WHERE NOT flag),
+k AS (SELECT *, sum((coalesce(gap, 0) >= 6)::INT) OVER (PARTITION BY image_id ORDER BY i) AS brk FROM f),
+s AS (SELECT image_id, min(i) AS l, max(i) + 1 AS r FROM k WHERE brk = 0 GROUP BY 1)
+SELECT e.image_id, top, bottom, coalesce(l, 0) AS "left", coalesce(r, 40) AS "right" FROM e LEFT JOIN s ON s.image_id = e.image_id AND r - l >= 5"""
+
+
+@query("photo_extent", EXTENT)
 def photo_extent(spark, d):
     return Q.photo_extent(_bands(spark, d), 40, 40)
 

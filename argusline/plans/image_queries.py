@@ -274,9 +274,17 @@ def apply_shift(spark, d):
     return _pixels(im)
 
 
-@query("shift_estimate")
+SHIFT = B.with_("px", "pp") + """,
+o AS (SELECT dy::INT AS dy, dx::INT AS dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
+c AS (SELECT a.pair_id, dy, dx, CASE WHEN stddev_pop(a.g) > 0 AND stddev_pop(b.t) > 0 THEN corr(a.g, b.t) WHEN stddev_pop(a.g) = 0 AND stddev_pop(b.t) = 0 THEN 1 ELSE 0 END AS score
+  FROM pp a, o JOIN pp b ON b.pair_id = a.pair_id AND b.y = a.y - dy AND b.x = a.x - dx GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(score, 9) DESC, dx * dx + dy * dy, dy, dx) AS rn FROM c)
+SELECT pair_id, -dx AS dx, -dy AS dy, round(score, 9) AS score FROM r WHERE rn = 1"""
+
+
+@query("shift_estimate", SHIFT)
 def shift_estimate(spark, d):
-    return I.shift_estimate(B.pairs(spark, d)).withColumn("score", F.round("score", 5))
+    return I.shift_estimate(B.pairs(spark, d))
 
 
 CC = B.with_("px", recursive=True) + """,
