@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ def memory_summary(memory: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return memory.groupBy(*by).agg(F.count_if(is_ok).alias("n_ok"), F.count_if(F.col("label") == "NG").alias("n_ng"), F.count("*").alias("n_total"))
 
 
+#: Cells that a memory is dealt to where queries meet all of it.
+CELLS = 64
 #: Letters of the pieces that parts are indexed by.
 GRAM = 3
 
@@ -84,7 +86,11 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 
 def _memory(memory: DataFrame) -> DataFrame:
-    return memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), F.col("sig").cast("array<double>").alias("sig"), "path")
+    return memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), F.col("sig").cast("array<double>").alias("sig"), "path", *_codes(memory))
+
+
+def _codes(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "codes"]
 
 
 def written_keys(queries: DataFrame, memory: DataFrame, strict: Sequence[str] = STRICT) -> DataFrame:
@@ -139,24 +145,36 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, strict: Sequence[str]
     block, and a block gives out its ``k`` nearest for each query, so that no
     pairs are shuffled.  Tier 3 (left out without ``whole``) is one block if the
     memory is no larger, else it is searched through ``PivotIndex``.
+
+    If both have ``codes`` (int arrays of one length), only rows whose codes
+    agree in one place at least are neighbours; tier 3 then meets every block,
+    each in one of ``CELLS`` cells that its queries are copied to.
     """
     keys = tiered_keys(with_keys(queries), memory, strict) if keys is None else keys
 
-    def salted(df: DataFrame, by: Sequence[str], i: str, n: int) -> DataFrame:
+    def salted(df: DataFrame, by: Sequence[str], i: str | Column, n: int) -> DataFrame:
         # Counted apart: a window would sort all rows of a key in one task.
         per = df.groupBy(*by).agg(F.ceil(F.count("*") / n).cast("int").alias("blks"))
         return df.join(per, list(by)).withColumn("blk", F.pmod(F.xxhash64(i), F.col("blks")).cast("int")).drop("blks")
 
-    asked = _asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb")).where(usable("emb"))
+    codes = _codes(queries)
+    asked = _asked(queries).select("query_id", "q_part", "q_cat", F.col("emb").cast("array<double>").alias("emb"), *codes).where(usable("emb"))
     q = salted(asked, ["q_part", "q_cat"], "query_id", Q_BLOCK)
-    q = q.groupBy("q_part", "q_cat", F.size("emb").alias("dim"), "blk").agg(F.collect_list(F.struct("query_id", "emb")).alias("asked")).drop("blk")
+    q = q.groupBy("q_part", "q_cat", F.size("emb").alias("dim"), "blk").agg(F.collect_list(F.struct("query_id", "emb", *codes)).alias("asked")).drop("blk")
     rows = _memory(memory).where(usable("sig"))
-    row = F.struct("sample_id", "label", "path", "sig")
+    row = F.struct("sample_id", "label", "path", "sig", *codes)
     m = salted(rows, ["m_part", "m_cat"], "sample_id", M_BLOCK).groupBy("m_part", "m_cat", F.size("sig").alias("dim"), "blk").agg(F.collect_list(row).alias("held")).drop("blk")
     found = q.join(keys.where("tier < 3"), ["q_part", "q_cat"]).join(m, ["m_part", "m_cat", "dim"]).select("tier", "asked", "held")
     last = keys.where("tier = 3").select("q_part", "q_cat", "tier")
     if not whole or last.isEmpty():
         return ranked(found.mapInArrow(meet(k, own), FOUND), k)
+    if codes:
+        cell = F.pmod(F.xxhash64("sample_id"), F.lit(CELLS)).cast("int").alias("cell")
+        dealt = salted(rows.withColumn("cell", cell), ["cell"], F.hash("sample_id"), M_BLOCK)
+        held = dealt.groupBy("cell", F.size("sig").alias("dim"), "blk").agg(F.collect_list(row).alias("held")).drop("blk")
+        copies = q.join(last, ["q_part", "q_cat"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+        every = copies.join(held, ["cell", "dim"]).select("tier", "asked", "held")
+        return ranked(found.unionByName(every).mapInArrow(meet(k, own), FOUND), k)
     if rows.limit(M_BLOCK + 1).count() > M_BLOCK:
         far = PivotIndex(memory).nearest(asked.join(last, ["q_part", "q_cat"]), k, own).drop("rank")
         return ranked(found.mapInArrow(meet(k, own), FOUND).unionByName(far), k)

@@ -8,12 +8,12 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from argusline.functions.fixed import STRICT
-from argusline.functions.vectors import norm
-from argusline.operators.knn import knn_vote, tiered_keys, with_keys
+from argusline.functions.vectors import cosine_distance, norm
+from argusline.operators.knn import CELLS, knn_vote, nearest, written_keys
+from argusline.operators.pivots import usable
 
 
 def train_head(memory: DataFrame, emb: str = "sig", label: str = "label", max_iter: int = 20) -> LogisticRegressionModel:
@@ -40,35 +40,40 @@ def load_model(path: str) -> LogisticRegressionModel:
     return LogisticRegressionModel.load(path)
 
 
-def _unit(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
-    n = norm(v)
-    rows = df.where(n > 0).withColumn("n", n)
-    return rows.select(F.col(id_col).alias("id"), array_to_vector(F.transform(v, lambda x: x / F.col("n"))).alias("unit"))
+def coded(queries: DataFrame, memory: DataFrame, bucket: float = 0.5, tables: int = 8, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Both with ``codes``: the bucket of the unit vector in each random projection; unusable vectors go."""
 
+    def unit(df: DataFrame, vector: str) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        return df.where(usable(v)).withColumn("n", norm(v)).withColumn("unit", array_to_vector(F.transform(v, lambda x: x / F.col("n"))))
 
-def lsh_pairs(queries: DataFrame, memory: DataFrame, bucket: float = 0.5, tables: int = 8, seed: int = 5) -> DataFrame:
+    q, m = unit(queries, "emb"), unit(memory, "sig")
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(m)
+    codes = F.array(*[vector_to_array(F.col("hashes")[t])[0].cast("int") for t in range(tables)])
+    return tuple(lsh.transform(df).withColumn("codes", codes).drop("n", "unit", "hashes") for df in (q, m))
+
+
+def lsh_pairs(queries: DataFrame, memory: DataFrame, **lsh) -> DataFrame:
     """query_id, sample_id, dist of the pairs that share a bucket of a random projection.
 
-    Projections of unit vectors; the squared distance of the join is twice the
-    cosine distance.  No pair is left out for its distance.
+    Projections of unit vectors; ``dist`` is the cosine distance.  No pair is
+    left out for its distance, so there may be as many as queries times rows;
+    they are found block by block and not shuffled.
     """
-    q, m = _unit(queries, "query_id", "emb"), _unit(memory, "sample_id", "sig")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(m)
-    near = lsh.approxSimilarityJoin(q, m, 3.0, "euclid")
-    return near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("sample_id"), (F.col("euclid") * F.col("euclid") / 2).alias("dist"))
+    q, m = coded(queries, memory, **lsh)
+    asked = q.select("query_id", F.col("emb").cast("array<double>").alias("emb"), "codes", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
+    held = m.select("sample_id", F.col("sig").cast("array<double>").alias("sig"), F.col("codes").alias("held"), F.pmod(F.xxhash64("sample_id"), F.lit(CELLS)).cast("int").alias("cell"))
+    near = asked.join(held, "cell").where(F.exists(F.zip_with("codes", "held", lambda a, b: a == b), lambda same: same))
+    return near.select("query_id", "sample_id", cosine_distance(F.col("emb"), F.col("sig")).alias("dist"))
 
 
 def knn_vote_lsh(queries: DataFrame, memory: DataFrame, k: int = 5, strict: Sequence[str] = STRICT, own: bool = True, **lsh) -> DataFrame:
-    """``knn_vote`` over neighbours that random projections find: the same contract and tiers."""
-    keys = tiered_keys(with_keys(queries), memory, strict)
-    asked = with_keys(queries).select("query_id", F.col("part_key").alias("q_part"), F.col("category_key").alias("q_cat"))
-    held = memory.select("sample_id", "label", F.col("part_key").alias("m_part"), F.col("category_key").alias("m_cat"), "path")
-    rows = lsh_pairs(queries, memory, **lsh).join(asked, "query_id").join(held, "sample_id")
-    rows = rows if own else rows.where("sample_id <> query_id")
-    some = rows.join(keys.where("tier < 3"), ["q_part", "q_cat", "m_part", "m_cat"])
-    every = rows.join(keys.where("tier = 3").select("q_part", "q_cat", "tier"), ["q_part", "q_cat"])
-    near = some.unionByName(every.select(*some.columns)).select("query_id", "tier", "sample_id", "label", "path", "dist")
-    order = W.partitionBy("query_id").orderBy("dist", F.desc("label"), "sample_id")
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """``knn_vote`` over neighbours that random projections find: the same contract and tiers.
+
+    Blocks of queries meet blocks of memory rows of their tier; a row counts
+    if it shares a bucket with the query, and a block gives out the ``k``
+    nearest of these, so that no pairs are shuffled.
+    """
+    q, m = coded(queries, memory, **lsh)
+    near = nearest(q, m, k, strict, own, written_keys(queries, memory, strict))
     return knn_vote(queries, memory, k, strict, own, near)

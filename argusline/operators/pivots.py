@@ -48,12 +48,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dim)
 
 
+def alike(asked: pa.StructArray, held: pa.StructArray) -> np.ndarray | bool:
+    """Whether ``codes`` agree in one place at least, for each query and row; always without codes."""
+    if "codes" not in [f.name for f in asked.type]:
+        return True
+    p, q = (x.field("codes").flatten().to_numpy().reshape(len(x), -1) for x in (asked, held))
+    out = np.zeros((len(p), len(q)), bool)
+    for t in range(p.shape[1]):
+        out |= p[:, t, None] == q[None, :, t]
+    return out
+
+
 def meet(k: int, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each row's queries (``asked``) with each of its memory rows (``held``): the ``k`` nearest of each query.
 
     One matrix product tells which rows can be among them; the distances of
     those are then summed in the order of the components, so that equal vectors
     are equally far wherever they are met.  Ties go to OK, then to the smaller id.
+    If the rows have ``codes``, only rows that are ``alike`` are met.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +78,12 @@ def meet(k: int, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 ids, sids, ng = asked.field("query_id").to_numpy(), held.field("sample_id").to_numpy(), held.field("label").to_numpy(zero_copy_only=False) != "OK"
                 one, two = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
                 fit = (two > 0) & np.isfinite(two)
+                near = np.broadcast_to(alike(asked, held), (len(ids), len(sids)))
                 with np.errstate(all="ignore"):
                     about = 1 - (x @ y.T) / one[:, None] / two
                 who, where, far = [], [], []
                 for c in range(len(ids)):
-                    ok = np.flatnonzero(fit & (own | (sids != ids[c]))) if one[c] > 0 and np.isfinite(one[c]) else np.zeros(0, int)
+                    ok = np.flatnonzero(fit & near[c] & (own | (sids != ids[c]))) if one[c] > 0 and np.isfinite(one[c]) else np.zeros(0, int)
                     if len(ok) > k:
                         d = about[c, ok]
                         ok = ok[d <= np.partition(d, k - 1)[k - 1] + 1e-9]
