@@ -10,10 +10,12 @@ is held back from the target, and the scores of these give the threshold: one
 spread (of the middle and the lowest hundredth) below the lowest hundredth.
 Sums are whole numbers: equal texts are judged alike in every run.
 
-All of it is DataFrame functions: one scan counts (combined before the shuffle,
-so at most ``BUCKETS`` rows leave a task), one reads what is held back, one
-judges and shuffles nothing.  Weights and threshold reach it as scalar
-subqueries.
+All of it is DataFrame functions: one scan counts all texts and one the target
+(combined before the shuffle, so at most ``BUCKETS`` rows leave a task), one
+reads what is held back, one judges and shuffles nothing.  Every trusted text
+counts, in the target or for the threshold; where their ids are too many to be
+broadcast, a bitmap of them keeps most other texts from being shuffled.
+Weights, threshold and bitmap are scalar subqueries.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from argusline.llm.common import WORD, Stages
 
 #: Buckets that words and word pairs are hashed to: the weights are one array of so many numbers.
 BUCKETS = 1 << 16
-#: Trusted texts, at most (the first by a hash of the id); one of ``FOLDS`` is held back for the threshold.
-TRUSTED, FOLDS = 20_000, 4
+#: One of so many trusted texts is held back for the threshold.
+FOLDS = 4
+#: Bits of the bitmap of trusted ids (2 MB): more of them sift better among more ids.
+BITS = 1 << 24
 #: A millionth of a natural logarithm is the unit of weights.
 UNIT = 1_000_000
 #: Base rules: fewer words, or a larger share of repeated words, fail.
@@ -53,22 +57,35 @@ def _buckets(buckets: int) -> Column:
     return F.concat(F.transform("h", at), F.transform("pair", at))
 
 
-def _trusted(trusted: DataFrame, id_col: str, limit: int) -> DataFrame:
-    """``id, held``: at most ``limit`` ids, so few that they may be broadcast."""
+def _trusted(trusted: DataFrame, id_col: str, limit: int | None) -> DataFrame:
+    """``id, held``: every id once; with a ``limit`` the first so many by a hash."""
     ids = trusted.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
-    return ids.orderBy(F.xxhash64("id"), "id").limit(limit).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(FOLDS)) == 0)
+    if limit is not None:
+        ids = ids.orderBy(F.xxhash64("id"), "id").limit(limit)
+    return ids.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(FOLDS)) == 0)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = TRUSTED) -> DataFrame:
+def _among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> DataFrame:
+    """``id, text`` of the rows whose id is one of ``ids``, which a bitmap sifts before the join."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int")
+    word, flag = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+    set_ = ids.groupBy(word.alias("i")).agg(F.bit_or(flag).alias("flags"))
+    every = docs.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("i")).join(set_, "i", "left").select("i", F.coalesce("flags", F.lit(0).cast("long")).alias("flags"))
+    bitmap = every.agg(F.sort_array(F.collect_list(F.struct("i", "flags"))).alias("c")).select(F.col("c.flags"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return read.where(F.get(bitmap.scalar(), word).bitwiseAND(flag) != 0).join(ids.select("id"), "id", "left_semi")
+
+
+def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int | None = None) -> DataFrame:
     """One row ``weights``: for each bucket the log of target over corpus share.
 
     ``trusted`` holds ids; null ids and ids without a text say nothing, repeated
     ones count once.  Without any word of a trusted text all weights are 0.
     """
-    ids = _trusted(trusted, id_col, limit).select("id", (~F.col("held")).cast("int").alias("told"))
-    seen = _hashed(docs, id_col, text_col).join(F.broadcast(ids), "id", "left")
-    grams = seen.select(F.coalesce("told", F.lit(0)).alias("told"), F.explode(_buckets(buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("told").alias("t"))
+    ids = _trusted(trusted, id_col, limit).where("NOT held").select("id")
+    grams = lambda read, n, t: read.select(F.explode(_buckets(buckets)).alias("b"), F.lit(n).alias("n"), F.lit(t).alias("t"))
+    both = grams(_hashed(docs, id_col, text_col), 1, 0).unionByName(grams(_hashed(_among(docs, ids, id_col, text_col), "id", "text"), 0, 1))
+    counts = both.groupBy("b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     every = every.select("b", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
     row = every.agg(F.array_sort(F.collect_list(F.struct("b", "n", "t"))).alias("c"), F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
@@ -84,11 +101,10 @@ def _scored(read: DataFrame, told: DataFrame) -> DataFrame:
     return scored.withColumn("n_grams", F.size("grams").cast("long")).drop("weights", "grams")
 
 
-def threshold_of(docs: DataFrame, trusted: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = TRUSTED) -> DataFrame:
+def threshold_of(docs: DataFrame, trusted: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int | None = None) -> DataFrame:
     """One row ``threshold``, in units, from the trusted texts that are held back; null without any of enough words."""
     ids = _trusted(trusted, id_col, limit).where("held").select("id")
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")
-    read = _hashed(read, "id", "text").where(F.size("h") >= LEAST_WORDS).select(_buckets(buckets).alias("grams"))
+    read = _hashed(_among(docs, ids, id_col, text_col), "id", "text").where(F.size("h") >= LEAST_WORDS).select(_buckets(buckets).alias("grams"))
     score = _scored(read, told).select((F.col("total") / F.col("n_grams")).alias("score"))
     low, middle = F.percentile("score", 0.01), F.percentile("score", 0.5)
     return score.agg(F.floor(low - (middle - low)).alias("threshold"))
@@ -114,7 +130,7 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = BUCKETS,
-    limit: int = TRUSTED,
+    limit: int | None = None,
     threshold: int | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: counts, ``base_failed``, ``score`` and ``kept``.
