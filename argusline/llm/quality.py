@@ -197,9 +197,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample: int, seed: int) ->
 
     told = stages.write(narrow.mapInArrow(run, "code int, draw long, at array<int>, x array<double>"), "votes", batch=1000)
     posterior, _ = fit_votes({r.code: r.n for r in told.groupBy("code").agg(F.count("*").alias("n")).collect()})
-    drawn = told.where(F.col("at").isNotNull()).orderBy("draw", "code").limit(sample).select("code", "at", "x").collect()
+    # As Arrow: as rows of Python numbers the driver would hold many times their size.
+    drawn = told.where(F.col("at").isNotNull()).orderBy("draw", "code").limit(sample).select("code", "at", "x").toArrow()
     stages.drop(told)
-    return fit_scorer([(r["at"], r["x"], posterior[r.code]) for r in drawn])
+    codes, at, x = (drawn.column(c) for c in ("code", "at", "x"))
+    return fit_scorer([(i.values.to_numpy(), v.values.to_numpy(), posterior[c]) for c, i, v in zip(codes.to_pylist(), at, x, strict=True)])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "quality") -> DataFrame:
