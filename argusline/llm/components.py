@@ -5,6 +5,10 @@ halves paths, so a few rounds settle chains as well as stars.  A round is two
 aggregations (combined before the shuffle, so a hub costs one row per task)
 and two joins on the node that adaptive execution may split when a hub holds
 many edges.  Every round is written to the shared folder.
+
+Each job leaves broadcast buffers of some megabytes on the driver, so a round
+reads its edges as seldom as it can, the rounds end as soon as all edges are
+stars, and what a round leaves is released before the next.
 """
 
 from __future__ import annotations
@@ -15,8 +19,20 @@ from pyspark.sql import functions as F
 from argusline.llm.common import Stages
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """u, v, down: every edge from both of its ends, in one read; ``down`` is 1 from the larger."""
+    ways = F.array(F.struct("u", "v", F.lit(1).alias("down")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("down")))
+    return edges.select(F.explode(ways).alias("e")).select("e.u", "e.v", "e.down")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, which has none, or is such a node."""
+    seen = _both_ways(edges).groupBy("u").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return not seen.agg(F.max(F.expr("down > 0 AND n > 1"))).first()[0]
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _both_ways(edges).select("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
         both.join(least, "u")
@@ -49,16 +65,14 @@ def components(edges: DataFrame, a: str, b: str, stages: Stages, max_rounds: int
         .distinct(),
         "edges",
     )
-    mark = None
     for _ in range(max_rounds):
-        now = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.count_distinct("u").alias("d")).first()
-        # Done when every node but the roots has one edge and nothing moved.
-        if (now.n, now.x) == mark or not now.n:
+        # No edges are stars, too.
+        if _are_stars(state):
             break
-        mark = (now.n, now.x)
         wide = _large_star(state)
         step = stages.write(_small_star(wide), "edges")
         stages.drop(state)
+        stages.release()
         state = step
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

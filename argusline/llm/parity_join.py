@@ -416,6 +416,10 @@ class ParityJoin:
             nonlocal forest
             pairs = st.write(pairs, "pairs", batch=500)
             left = st.write(self.sift(pairs), "left")
+            if left.isEmpty():
+                st.drop(pairs, left)
+                st.release()
+                return False
             good = self.verify(left)
             st.drop(pairs, left)
             st.release()

@@ -282,8 +282,12 @@ def train_scanner(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
     else ``sample`` findings at most, planted in texts of ``docs``, are used.
     Without findings of both kinds nothing is a secret.
     """
+    stages = Stages(docs.sparkSession, "findings")
     language = learn_language(docs, text_col)
     if labelled is None:
-        stages = Stages(docs.sparkSession, "findings")
         labelled = stages.write(labelled_findings(docs, language, text_col, sample), "labelled")
-    return Scanner(language, train_forest(labelled))
+    # The driver holds broadcasts of each plan and of each level of the trees until then.
+    stages.release()
+    scanner = Scanner(language, train_forest(labelled))
+    stages.release()
+    return scanner
