@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows that Spark hands to a Python worker at once.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Spark reads from a Parquet file at once; arrays of all of them are held together.
+READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 class Stages:
@@ -53,17 +55,19 @@ class Stages:
         self.count = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}  # the frame is held, so its id stays its own
 
-    def write(self, df: DataFrame, label: str = "t", batch: int | None = None, **options: str) -> DataFrame:
-        """``df`` written and read back; ``batch``: rows handed to Python at once meanwhile."""
+    def write(self, df: DataFrame, label: str = "t", batch: int | None = None, read: int | None = None, **options: str) -> DataFrame:
+        """``df`` written and read back; ``batch``: rows handed to Python at once meanwhile, ``read``: and read."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{label}"
-        usual = self.spark.conf.get(BATCH)
+        meanwhile = {k: n for k, n in ((BATCH, batch), (READ, read)) if n}
+        usual = {k: self.spark.conf.get(k) for k in meanwhile}
         try:
-            if batch:
-                self.spark.conf.set(BATCH, str(batch))
-            df.write.option("compression", "zstd").options(**options).parquet(path)
+            for k, n in meanwhile.items():
+                self.spark.conf.set(k, str(n))
+            df.write.options(**{"compression": "zstd"} | options).parquet(path)
         finally:
-            self.spark.conf.set(BATCH, usual)
+            for k, n in usual.items():
+                self.spark.conf.set(k, n)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out

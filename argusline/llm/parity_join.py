@@ -58,8 +58,15 @@ BUCKETS = 1 << 18
 SEEN = 50_000
 #: Texts and characters that are worked on at once.
 SLICE, SLICE_CHARS = 256, 1 << 20
-#: Hashes do not repeat enough for dictionaries.
-PLAIN = {"parquet.enable.dictionary": "false"}
+#: Pairs of members, and 64-bit words of their sketches, that are compared at once.
+PAIRS, WORDS = 1 << 16, 1 << 18
+#: Rows of sets that are read from a file at once.
+READ = 256
+#: Hashes do not repeat enough for dictionaries.  What is read of a file at once, a
+#: column of a row group, takes memory beside the heap, so row groups are small.
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.block.size": str(4 << 20)}
+#: Sets, in sorted order or as bits, do not shrink either.
+SETS = PLAIN | {"compression": "uncompressed"}
 
 
 def _likely_empty(n: int, k: int, slack: int) -> bool:
@@ -145,6 +152,66 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, given: np.ndarray | None = None)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)), mask=mask)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows as they come, cut only where one of the columns ``by`` changes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if held and any(held[-1].column(c)[-1].as_py() != v[0] for c, v in zip(by, cols, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(cuts):
+            yield pa.Table.from_batches([*held, b.slice(0, cuts[-1])])
+            held = []
+        held.append(b.slice(cuts[-1] if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_in_cells(cells: pa.Table, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of differently labelled members of a cell, as sizes and bits allow.
+
+    ``cells`` has key, i, j, cid, label, blk, n, bits, and the rows of a cell
+    together.  A cell of two blocks pairs members of different ones.
+    """
+    key, i, j, cid, label, blk, n = (cells.column(c).to_numpy() for c in ("key", "i", "j", "cid", "label", "blk", "n"))
+    lists = cells.column("bits").combine_chunks()
+    bits, begin = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+    begin, wide = begin[:-1] - begin[0], np.diff(begin)
+    rows = np.arange(len(key))
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    end = np.repeat(np.r_[first[1:], len(key)], np.diff(np.r_[first, len(key)]))
+    many = end - rows - 1  # later members of the row's cell
+    upto, at = np.cumsum(many), 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - many[at] + PAIRS, side="right")))
+        own = many[at:to]
+        p = np.repeat(rows[at:to], own)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)
+        at = to
+        good = (label[p] != label[q]) & ((i[p] == j[p]) | (blk[p] != blk[q])) & (np.minimum(n[p], n[q]) * den >= num * np.maximum(n[p], n[q]))
+        p, q = p[good], q[good]
+        # The longer sketch first; it is folded, which keeps the bound.
+        p, q = np.where(wide[p] < wide[q], q, p), np.where(wide[p] < wide[q], p, q)
+        outs = [np.empty((2, 0), np.int64)]
+        both = wide[p] << 32 | wide[q]
+        for w, v in ((x >> 32, x & (1 << 32) - 1) for x in np.unique(both).tolist()):
+            these = np.flatnonzero(both == (w << 32 | v))
+            for k in range(0, len(these), max(1, WORDS // w)):
+                x, y = p[these[k : k + max(1, WORDS // w)]], q[these[k : k + max(1, WORDS // w)]]
+                long = np.bitwise_xor.reduce(bits[begin[x][:, None] + np.arange(w)].reshape(-1, w // v, v), axis=1)
+                apart = np.bitwise_count(long ^ bits[begin[y][:, None] + np.arange(v)]).sum(axis=1, dtype=np.int64)
+                near = apart * (den + num) <= (den - num) * (n[x] + n[y])
+                x, y = cid[x[near]], cid[y[near]]
+                outs.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        a, c = np.concatenate(outs, axis=1)
+        if len(a):
+            yield a, c
+
+
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold few texts and, but for single texts, few characters."""
     at = chars = 0
@@ -177,7 +244,7 @@ class ParityJoin:
         self.width, self.num, self.den = width, num, den
         self.stages = Stages(self.spark, "parity-join")
         st = self.stages
-        self.texts = st.write(self.sets(), "texts", batch=1000, **PLAIN)
+        self.texts = st.write(self.sets(), "texts", batch=1000, **SETS)
         # The first row of equal sets represents them; it always holds the set.
         told = self.texts.where("doc_id IS NOT NULL AND n > 0")
         self.classes = st.write(told.groupBy("d1", "d2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("first"), F.min("n").alias("n")), "classes")
@@ -271,7 +338,7 @@ class ParityJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_h)], ["key", "h"])
 
         st = self.stages
-        found = st.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words", batch=2000)
+        found = st.write(self.keys().repartition("key").sortWithinPartitions("key", "h").mapInArrow(runs, "key long, h long"), "words", batch=2000, read=READ, **PLAIN)
         st.release()
         # Keys with the same members say the same: one of them is enough.
         sign = found.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"), F.min("h").alias("z"))
@@ -321,11 +388,11 @@ class ParityJoin:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["item", "band", "cid", "n"])
                         out, held = [], 0
 
-        stated = st.write(asked.mapInArrow(run, "item long, band long, cid long, n long"), "stated", batch=1000, **PLAIN)
+        stated = st.write(asked.mapInArrow(run, "item long, band long, cid long, n long"), "stated", batch=1000, read=READ, **PLAIN)
         own = F.floor(F.log("n") / step + 1e-9)
         met = sets(members).select("cid", "n", own.alias("band"), F.explode("items").alias("item")).join(stated.select("item", "band").distinct(), ["item", "band"], "left_semi")
         rows = stated.select("item", "band", "cid", "n").union(met.select("item", "band", "cid", "n"))
-        out = st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined")
+        out = st.write(rows.select(F.xxhash64("band", "item").alias("key"), "cid", "n").distinct(), "refined", read=READ)
         st.drop(seekers, members, stated)
         return out
 
@@ -344,10 +411,10 @@ class ParityJoin:
         # Few classes are in pairs at this point: only their sets are moved.
         st = self.stages
         named = st.write(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "named")
-        own = st.write(self.texts.select("row", "items").join(named, "row", "left_semi"), "own", **PLAIN)
+        own = st.write(self.texts.select("row", "items").join(named, "row", "left_semi"), "own", read=READ, **SETS)
         side = lambda i, o: own.select(F.col("row").alias(i), F.col("items").alias(o))
         both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-        good = st.write(both.where(f"{den} * common >= {num} * (all - common)").select("a", "b").distinct(), "links")
+        good = st.write(both.where(f"{den} * common >= {num} * (all - common)").select("a", "b").distinct(), "links", read=READ)
         st.drop(named, own)
         return good
 
@@ -360,22 +427,10 @@ class ParityJoin:
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                outs = [np.empty((2, 0), np.int64)]
-                for i, j, cell in (row for at in range(0, b.num_rows, 100) for row in zip(*(b.slice(at, 100).column(c).to_pylist() for c in ("i", "j", "cell")), strict=True)):
-                    cid, label, n, blk = (np.array([r[c] for r in cell], np.int64) for c in ("cid", "label", "n", "blk"))
-                    wide = min(len(r["bits"]) for r in cell)
-                    # Longer sketches are folded, which keeps the bound.
-                    bits = np.stack([np.bitwise_xor.reduce(np.array(r["bits"], np.int64).view(np.uint64).reshape(-1, wide), axis=0) for r in cell])
-                    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-                    for p in left.tolist():
-                        q = right[right > p] if i == j else right
-                        q = q[(label[q] != label[p]) & (np.minimum(n[q], n[p]) * den >= num * np.maximum(n[q], n[p]))]
-                        apart = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1, dtype=np.int64)
-                        q = q[apart * (den + num) <= (den - num) * (n[q] + n[p])]
-                        outs.append(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])]))
-                a, c = np.concatenate(outs, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+            # The last cell of a batch may go on in the next one.
+            for cells in whole_runs(batches, ["key", "i", "j"]):
+                for a, c in near_in_cells(cells, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
         size = groups.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         placed = groups.join(size, "key").withColumn("blk", F.pmod(F.hash("cid"), "blocks"))
@@ -385,8 +440,9 @@ class ParityJoin:
             "key", "cid", "label", "n", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")
         )
         rows = single.union(many).join(self.texts.select(F.col("row").alias("cid"), "bits"), "cid")
-        whole = rows.groupBy("key", "i", "j").agg(F.collect_list(F.struct("cid", "label", "blk", "n", "bits")).alias("cell"))
-        return whole.select("i", "j", "cell").mapInArrow(run, "a long, b long").distinct()
+        # Rows of a cell follow each other, so that a task holds a cell and a batch, not lists of cells.
+        dealt = rows.select("key", "i", "j", "cid", "label", "blk", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInArrow(run, "a long, b long").distinct()
 
     # -- components -------------------------------------------------------------
     def shared_ids(self) -> DataFrame:
