@@ -55,6 +55,10 @@ _LETTERS = _byte_letters()
 MARKS = b'.,|!%&*#$":;?'
 
 
+#: Words whose ids a Python worker remembers; twice as many may take 250 MB.
+REMEMBER = 400_000
+
+
 class TokenBytes(dict):
     """Ids of a word as little-endian unsigned 32-bit bytes, remembered.
 
@@ -64,7 +68,7 @@ class TokenBytes(dict):
     marks'.  At most two times ``limit`` words are kept, the recent ones.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = REMEMBER):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -96,8 +100,8 @@ class TokenBytes(dict):
         return b"".join([self[w] for w in (raw if b"<|" in raw else raw.lower()).split()])
 
 
-#: One for each vocabulary file and Python worker, kept between tasks.
-_WORDS: dict[str, TokenBytes] = {}
+#: One for each vocabulary file, limit and Python worker, kept between tasks.
+_WORDS: dict[tuple[str, int], TokenBytes] = {}
 
 
 def default_tokenizer() -> str:
@@ -106,13 +110,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, with_ids: bool, remember: int = REMEMBER) -> DataFrame:
     """Cut every document's ids at multiples of ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = TokenBytes(path)
-        words, part = _WORDS[path], TaskContext.get().partitionId()
+        if (path, remember) not in _WORDS:
+            _WORDS[path, remember] = TokenBytes(path, remember)
+        words, part = _WORDS[path, remember], TaskContext.get().partitionId()
         end, ranks = np.asarray([END_ID], "<u4").tobytes(), Counter()
         for b in batches:
             rows = []
@@ -186,17 +190,18 @@ def places(steps: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """Pieces of all documents with their place in packed sequences.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
     and, with ``with_ids``, the ids as little-endian unsigned 32-bit bytes.  A
     null or empty text has the end id only; ids may be null or repeat: every
     row is packed by itself.  No rows give no pieces.  Other columns are not
-    read.
+    read.  Workers remember the ids of at most two times ``remember`` words,
+    also after the task, which changes their time and memory only.
     """
     stages = Stages(docs.sparkSession, "packing")
-    cut = stages.write(pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), capacity, with_ids), "pieces")
+    cut = stages.write(pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), capacity, with_ids, remember), "pieces")
     each = stages.write(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))

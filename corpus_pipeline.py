@@ -24,6 +24,8 @@ from argusline.llm.common import BATCH, Stages, fresh, table
 #: Rows that a Python worker is handed at once: texts may be long, and workers share
 #: the executor's memory with the JVM.
 ROWS = 1000
+#: Words whose ids a worker remembers: it keeps them while it works for later stages.
+WORDS = 50_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -77,7 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows; null and empty texts have the end id only."""
     _short_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remember=WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [
